@@ -54,6 +54,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(value, body):
+    """body(value) with value computed once: the optimizer may copy a column into
+    a lambda that names it, where it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------- components
 
 

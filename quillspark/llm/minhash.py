@@ -36,8 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 64
 BAND = 4
-#: Rounds with one hub a bucket before the remaining pairs are compared.
-HUB_ROUNDS = 2
+#: Rounds with one random hub a bucket, after the first round, before the remaining pairs are compared.
+HUB_ROUNDS = 6
 
 
 def bags(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +165,18 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, linked boolean")
 
 
+def _crossing(state: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs of a bucket whose components differ, each from the first band that the two share."""
+    most = state.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
+    full = state.select("band", "h", "bag", "component").join(groups.select("bag", "bands"), "bag")
+    minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx")
+    both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by"), ["band", "h"])
+    met = F.expr("exists(sequence(0, band), i -> i < band and bx[i] = by[i])")
+    both = both.where((F.col("cx") != F.col("cy")) & ~met)
+    swap = F.col("x") > F.col("y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("ca"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("cb")).dropDuplicates(["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept."""
     feats = written(pick(docs, doc_id="long", text="string").mapInArrow(_features, "doc_id long, bag binary, bands array<long>, text string"), "minhash")
@@ -175,23 +187,25 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     used = members.select("bag").distinct()
     texts = written(feats.join(used, "bag", "left_semi").groupBy("bag").agg(F.max("text").alias("text")), "texts")
 
-    tested = written(_compare(members.where("bag <> hub").selectExpr("bag a", "hub b").distinct(), texts), "links")
-    for r in range(1, hub_rounds + 1):
-        label = components(tested.where("linked").select("a", "b"))
-        state = members.drop("hub").join(label.withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag"))
+    linked = lambda pairs: _compare(pairs, texts).where("linked")
+    first = linked(members.where("bag <> hub").selectExpr("bag a", "hub b").distinct()).select("a", "b")
+    label = written(used.join(components(first).withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag")), "labels")
+    state = members.select("band", "h", "bag")
+    for r in range(hub_rounds + 1):
+        state = state.select("band", "h", "bag").join(label, "bag")
         mixed = state.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64("bag", F.lit(r)), "bag", "component")).alias("hub")).where("c0 <> c1")
-        state = written(state.join(mixed, ["band", "h"]), "open")
+        state = written(state.join(mixed.select("band", "h", "hub"), ["band", "h"]), "open")
         if r < hub_rounds:
-            pairs = state.where("component <> hub.component").selectExpr("least(bag, hub.bag) a", "greatest(bag, hub.bag) b")
+            pairs = state.where("component <> hub.component").selectExpr("bag a", "hub.bag b", "component ca", "hub.component cb").dropDuplicates(["a", "b"])
         else:
-            minor = state.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
-            few = state.join(minor, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx")
-            pairs = few.join(state.selectExpr("band", "h", "bag y", "component cy"), ["band", "h"]).where("cx <> cy").selectExpr("least(x, y) a", "greatest(x, y) b")
-        fresh = pairs.distinct().join(tested.selectExpr("least(a, b) a", "greatest(a, b) b"), ["a", "b"], "left_anti")
-        tested = tested.union(written(_compare(fresh, texts), "links"))
-    label = written(components(tested.where("linked").select("a", "b")), "classes")
-
-    placed = groups.select("bag", "least", "n").join(label.withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag"))
+            pairs = _crossing(state, groups)
+        found = written(linked(pairs.select("a", "b")).join(pairs, ["a", "b"]).selectExpr("ca a", "cb b").distinct(), "links")
+        if found.isEmpty():
+            continue
+        moved = components(found).selectExpr("node component", "component moved")
+        label = written(label.join(moved, "component", "left").select("bag", F.coalesce("moved", "component").alias("component")), "labels")
+
+    placed = groups.select("bag", "least", "n").join(label, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     whole = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     by_bag = placed.join(whole, "component").select("bag", "class_id", "class_size")
     dup = by_bag.where("class_size > 1")

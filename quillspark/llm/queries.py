@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import decontaminate, minhash, mixing, pii, quality
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_minhash": minhash.op3_minhash,
+    "op7_winnowing": decontaminate.op7_winnowing,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_winnowing": decontaminate.OP7_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
