@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, components, mix, pick, shingles, table, text_bytes, unit, word_hashes, written
+from .common import chunked, components, mix, pick, shingles, small, table, text_bytes, unit, word_hashes, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -124,11 +124,12 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"),
+                b.column("k"),
                 pa.array([None if e else x.tobytes() for e, x in zip(empty, bag, strict=True)], pa.binary()),
                 pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands.shape[1], bands.reshape(-1).view(np.int64)),
                 text,
             ],
-            ["doc_id", "bag", "bands", "text"],
+            ["doc_id", "k", "bag", "bands", "text"],
         )
 
 
@@ -178,8 +179,10 @@ def _crossing(state: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept."""
-    feats = written(pick(docs, doc_id="long", text="string").mapInArrow(_features, "doc_id long, bag binary, bands array<long>, text string"), "minhash")
+    """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept, and
+    k, which identifies a row by id and text."""
+    rows = pick(docs, doc_id="long", text="string").withColumn("k", F.xxhash64("doc_id", "text"))
+    feats = written(rows.mapInArrow(_features, "doc_id long, k long, bag binary, bands array<long>, text string"), "minhash")
     groups = written(feats.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("bands").alias("bands")), "bags")
     rows = groups.select("bag", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("bag").alias("hub"), F.max("bag").alias("far")).where("hub <> far").drop("far")
@@ -210,14 +213,30 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     by_bag = placed.join(whole, "component").select("bag", "class_id", "class_size")
     dup = by_bag.where("class_size > 1")
     # Most bags stand alone: only rows of larger classes need the join.
-    out = feats.select("doc_id", "bag").join(dup, "bag", "left")
+    out = feats.select("doc_id", "k", "bag").join(dup, "bag", "left")
     return out.select(
         "doc_id",
         F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.when(F.col("class_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "k",
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each class."""
+    names = docs.columns
+    plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
+    k = F.xxhash64(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
+    plain = plain.withColumn("_k", k)
+    verdict = written(near_duplicates(docs).where("class_size > 1").groupBy(F.col("k").alias("_k")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "verdict")
+    rest = plain.join(small(verdict.where("not kept").select("_k")), "_k", "left_anti")
+    again = verdict.where("kept and n > 1").select("_k")
+    if not again.isEmpty():
+        again = small(again)
+        rest = rest.join(again, "_k", "left_anti").unionByName(rest.join(again, "_k", "left_semi").dropDuplicates(["_k"]))
+    return rest.drop("_k").toDF(*names)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("k")

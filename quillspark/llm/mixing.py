@@ -85,6 +85,23 @@ def mix(docs: DataFrame) -> DataFrame:
     return below.union(edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "k")
 
 
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes words of, with all their columns and size, source_size, target, taken."""
+    names = docs.columns
+    plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
+    k = F.xxhash64(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
+    # Equal rows may be taken in different parts: the n-th row of a key gets the n-th part.
+    nth = F.row_number().over(W.partitionBy("_k").orderBy(F.lit(0)))
+    more = ("size", "source_size", "target", "taken")
+    taken = mix(docs).withColumn("_k", F.col("k")).withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(F.desc("taken"))))
+    taken = written(taken.select("_k", "_n", *(F.col(c).alias(f"_{c}") for c in more)), "taken")
+    unique = taken.where("_n > 1").isEmpty()
+    taken = taken.where("_taken > 0")
+    plain = plain.withColumn("_k", k)
+    out = plain.join(taken, "_k") if unique else plain.withColumn("_n", nth).join(taken, ["_k", "_n"])
+    return out.select(*(f"_p{i}" for i in range(len(names))), *(f"_{c}" for c in more)).toDF(*names, *more)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
