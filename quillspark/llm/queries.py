@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html, minhash, mixing, pii, quality
+from . import decontaminate, embeddings, html, minhash, mixing, passages, pii, quality
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_minhash": minhash.op3_minhash,
     "op4_html": html.op4_html,
     "op5_itq": embeddings.op5_itq,
+    "op6_chaining": passages.op6_chaining,
     "op7_winnowing": decontaminate.op7_winnowing,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
