@@ -14,7 +14,7 @@ for a document with an empty register.
 
 Equal bags collapse first (by a 128-bit bag hash), so copies are never compared.
 Signatures are cut into bands; in a bucket of equal bands every bag is compared with
-one hub. Buckets that still hold several components get another, random hub, and at
+one hub. Members of buckets that still hold several components are compared with HUBS random hubs, and at
 last all pairs of a bucket that lie in different components are compared, so no
 candidate is given up. All comparisons use the exact bags.
 
@@ -36,8 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 64
 BAND = 4
-#: Rounds with one random hub a bucket, after the first round, before the remaining pairs are compared.
-HUB_ROUNDS = 6
+#: Random hubs of a bucket that still holds several components, before the remaining pairs are compared.
+HUBS = 4
 
 
 def bags(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def _crossing(state: DataFrame, groups: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("ca"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("cb")).dropDuplicates(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept, and
     k, which identifies a row by id and text."""
     rows = pick(docs, doc_id="long", text="string").withColumn("k", F.xxhash64("doc_id", "text"))
@@ -194,14 +194,16 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     first = linked(members.where("bag <> hub").selectExpr("bag a", "hub b").distinct()).select("a", "b")
     label = written(used.join(components(first).withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag")), "labels")
     state = members.select("band", "h", "bag")
-    for r in range(hub_rounds + 1):
+    for last in (False, True):
         state = state.select("band", "h", "bag").join(label, "bag")
-        mixed = state.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64("bag", F.lit(r)), "bag", "component")).alias("hub")).where("c0 <> c1")
-        state = written(state.join(mixed.select("band", "h", "hub"), ["band", "h"]), "open")
-        if r < hub_rounds:
-            pairs = state.where("component <> hub.component").selectExpr("bag a", "hub.bag b", "component ca", "hub.component cb").dropDuplicates(["a", "b"])
-        else:
+        hubs = F.array(*(F.min(F.struct(F.xxhash64("bag", F.lit(r)).alias("draw"), "bag", "component")) for r in range(HUBS)))
+        mixed = state.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), hubs.alias("hubs")).where("c0 <> c1")
+        state = written(state.join(mixed.select("band", "h", "hubs"), ["band", "h"]), "open")
+        if last:
             pairs = _crossing(state, groups)
+        else:
+            pairs = state.select("bag", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+            pairs = pairs.selectExpr("bag a", "hub.bag b", "component ca", "hub.component cb").dropDuplicates(["a", "b"])
         found = written(linked(pairs.select("a", "b")).join(pairs, ["a", "b"]).selectExpr("ca a", "cb b").distinct(), "links")
         if found.isEmpty():
             continue
