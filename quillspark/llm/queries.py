@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html, minhash, mixing, passages, pii, quality
+from . import decontaminate, embeddings, html, licenses, lm, minhash, mixing, passages, pii, quality
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_pii": pii.op2_pii,
     "op3_minhash": minhash.op3_minhash,
     "op4_html": html.op4_html,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_winnowing": decontaminate.op7_winnowing,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
+    "op10_attention": lm.op10_attention,
 }
 
 ORACLE_SQL: dict[str, str] = {
