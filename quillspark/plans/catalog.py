@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalog_analytics, catalog_ingest, catalog_tools
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalog_analytics.QUERIES, **catalog_tools.QUERIES, **catalog_ingest.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalog_analytics.ORACLE_SQL, **catalog_tools.ORACLE_SQL, **catalog_ingest.ORACLE_SQL}
