@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; longer texts form a chunk of their own.
 CHUNK_BYTES = 1 << 20
+#: Rows handled at once, so that a row number fits into 16 bits.
+CHUNK_ROWS = 1 << 15
 #: Largest table, in rows, that is sent to every executor; beyond it a shuffled join is used.
 BROADCAST_ROWS = 50_000
 
@@ -145,6 +147,7 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = C
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            to = min(to, at + CHUNK_ROWS)
             yield batch.slice(at, to - at)
             at = to
 

@@ -47,13 +47,13 @@ def bags(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarr
     s, r = shingles(h, row, n_rows, words)
     if not len(s):
         return np.zeros(0, np.int64), s, np.zeros(0, np.int64)
-    bits = np.uint64(max(1, int(n_rows - 1).bit_length()))
+    bits = np.uint64(16)  # of the row number; a chunk has fewer rows
     key = np.sort((r.astype(np.uint64) << (np.uint64(64) - bits)) | (s >> bits))
     new = np.concatenate(([True], key[1:] != key[:-1]))
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(key)))
     key = key[at]
-    return (key >> (np.uint64(64) - bits)).astype(np.int64), (key << bits) >> np.uint64(10) << np.uint64(10), count
+    return (key >> (np.uint64(64) - bits)).astype(np.int64), key << bits, count
 
 
 def signatures(row: np.ndarray, item: np.ndarray, count: np.ndarray, n_rows: int, registers: int = REGISTERS) -> np.ndarray:
@@ -127,9 +127,10 @@ def _features(batches):
                 b.column("k"),
                 pa.array([None if e else x.tobytes() for e, x in zip(empty, bag, strict=True)], pa.binary()),
                 pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands.shape[1], bands.reshape(-1).view(np.int64)),
+                pa.array(np.bincount(row, weights=count, minlength=n).astype(np.int64)),
                 text,
             ],
-            ["doc_id", "k", "bag", "bands", "text"],
+            ["doc_id", "k", "bag", "bands", "weight", "text"],
         )
 
 
@@ -156,7 +157,7 @@ def _verify(batches):
                 if len(seen) > 64:
                     seen.clear()
                 seen[hubs[i]] = _bag_of(hub_text[i].as_py())
-            keep.append(similarity(_bag_of(t.as_py()), seen[hubs[i]]) >= SIMILARITY)
+            keep.append(similarity(_bag_of(t.as_py()), seen[hubs[i]]) >= SIMILARITY - 1e-12)
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
@@ -166,14 +167,30 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, linked boolean")
 
 
-def _crossing(state: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose components differ, each from the first band that the two share."""
-    most = state.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
-    full = state.select("band", "h", "bag", "component").join(groups.select("bag", "bands"), "bag")
-    minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx")
-    both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by"), ["band", "h"])
+def _shingle_rows(batches):
+    for b in chunked(batches):
+        row, item, count = bags(*text_bytes(b.column("text")))
+        yield pa.RecordBatch.from_arrays([b.column("bag").take(pa.array(row)), pa.array(item.view(np.int64)), pa.array(count.astype(np.int64))], ["bag", "item", "n"])
+
+
+def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of a bucket whose components differ and that can still be similar, each from the first band that the two share.
+
+    Shingles of one bag alone overlap with nothing: two bags share at most the lesser of what is left of
+    their weights. Copies of one text with edits of their own fall under the limit by that, without a comparison."""
+    kept = texts.join(state.select("bag").distinct(), "bag", "left_semi")
+    items = kept.select("bag", "text").mapInArrow(_shingle_rows, "bag binary, item long, n long")
+    own = items.groupBy("item").agg(F.count("*").alias("bags"), F.min("bag").alias("bag"), F.sum("n").alias("n")).where("bags = 1").groupBy("bag").agg(F.sum("n").alias("own"))
+    shared = groups.join(state.select("bag").distinct(), "bag", "left_semi").join(own, "bag", "left").select("bag", "bands", "weight", (F.col("weight") - F.coalesce("own", F.lit(0))).alias("shared"))
+    # A bag with too much of its own is like no other.
+    shared = written(shared.where(F.col("shared") >= SIMILARITY * F.col("weight") - 1e-6), "shared")
+    full = state.select("band", "h", "bag", "component").join(shared, "bag")
+    most = full.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
+    minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx", "weight wx", "shared sx")
+    both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by", "weight wy", "shared sy"), ["band", "h"])
     met = F.expr("exists(sequence(0, band), i -> i < band and bx[i] = by[i])")
-    both = both.where((F.col("cx") != F.col("cy")) & ~met)
+    most_common = F.least("sx", "sy")
+    both = both.where((F.col("cx") != F.col("cy")) & (most_common >= SIMILARITY * (F.col("wx") + F.col("wy") - most_common) - 1e-6) & ~met)
     swap = F.col("x") > F.col("y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("ca"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("cb")).dropDuplicates(["a", "b"])
 
@@ -182,8 +199,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept, and
     k, which identifies a row by id and text."""
     rows = pick(docs, doc_id="long", text="string").withColumn("k", F.xxhash64("doc_id", "text"))
-    feats = written(rows.mapInArrow(_features, "doc_id long, k long, bag binary, bands array<long>, text string"), "minhash")
-    groups = written(feats.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("bands").alias("bands")), "bags")
+    feats = written(rows.mapInArrow(_features, "doc_id long, k long, bag binary, bands array<long>, weight long, text string"), "minhash")
+    groups = written(feats.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("bands").alias("bands"), F.max("weight").alias("weight")), "bags")
     rows = groups.select("bag", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("bag").alias("hub"), F.max("bag").alias("far")).where("hub <> far").drop("far")
     members = written(rows.join(buckets, ["band", "h"]), "buckets")
@@ -200,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = state.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), hubs.alias("hubs")).where("c0 <> c1")
         state = written(state.join(mixed.select("band", "h", "hubs"), ["band", "h"]), "open")
         if last:
-            pairs = _crossing(state, groups)
+            pairs = _crossing(state, groups, texts)
         else:
             pairs = state.select("bag", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
             pairs = pairs.selectExpr("bag a", "hub.bag b", "component ca", "hub.component cb").dropDuplicates(["a", "b"])
