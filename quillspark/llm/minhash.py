@@ -36,6 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 64
 BAND = 4
+#: Slots of the bound on two bags' overlap.
+SLOTS = 64
 #: Random hubs of a bucket that still holds several components, before the remaining pairs are compared.
 HUBS = 4
 
@@ -176,21 +178,27 @@ def _shingle_rows(batches):
 def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs of a bucket whose components differ and that can still be similar, each from the first band that the two share.
 
-    Shingles of one bag alone overlap with nothing: two bags share at most the lesser of what is left of
-    their weights. Copies of one text with edits of their own fall under the limit by that, without a comparison."""
-    kept = texts.join(state.select("bag").distinct(), "bag", "left_semi")
-    items = kept.select("bag", "text").mapInArrow(_shingle_rows, "bag binary, item long, n long")
-    own = items.groupBy("item").agg(F.count("*").alias("bags"), F.min("bag").alias("bag"), F.sum("n").alias("n")).where("bags = 1").groupBy("bag").agg(F.sum("n").alias("own"))
-    shared = groups.join(state.select("bag").distinct(), "bag", "left_semi").join(own, "bag", "left").select("bag", "bands", "weight", (F.col("weight") - F.coalesce("own", F.lit(0))).alias("shared"))
+    Shingles of one bag alone overlap with nothing, and the others are summed into SLOTS by their hash: two bags
+    share at most the sum of the lesser weights of each slot. Copies of one text with edits of their own fall
+    under the limit by that, without a comparison."""
+    open_bags = state.select("bag").distinct()
+    items = texts.join(open_bags, "bag", "left_semi").select("bag", "text").mapInArrow(_shingle_rows, "bag binary, item long, n long")
+    items = written(items.withColumn("slot", F.shiftright("item", 16).bitwiseAND(SLOTS - 1).cast("int")), "items")
+    own = items.groupBy("item").agg(F.count("*").alias("bags"), F.min("bag").alias("bag"), F.sum("n").alias("n"), F.min("slot").alias("slot")).where("bags = 1").select("bag", "slot", (-F.col("n")).alias("n"))
+    slots = items.select("bag", "slot", "n").union(own).groupBy("bag", "slot").agg(F.sum("n").cast("int").alias("n"))
+    slots = slots.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sum("n").alias("shared"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    shared = groups.select("bag", "bands", "weight").join(slots.select("bag", "shared", filled.alias("slots")), "bag")
     # A bag with too much of its own is like no other.
     shared = written(shared.where(F.col("shared") >= SIMILARITY * F.col("weight") - 1e-6), "shared")
     full = state.select("band", "h", "bag", "component").join(shared, "bag")
     most = full.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
-    minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx", "weight wx", "shared sx")
-    both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by", "weight wy", "shared sy"), ["band", "h"])
+    minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx", "weight wx", "shared sx", "slots vx")
+    both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by", "weight wy", "shared sy", "slots vy"), ["band", "h"])
     met = F.expr("exists(sequence(0, band), i -> i < band and bx[i] = by[i])")
-    most_common = F.least("sx", "sy")
-    both = both.where((F.col("cx") != F.col("cy")) & (most_common >= SIMILARITY * (F.col("wx") + F.col("wy") - most_common) - 1e-6) & ~met)
+    can = lambda common: common >= SIMILARITY * (F.col("wx") + F.col("wy") - common) - 1e-6
+    overlap = F.aggregate(F.zip_with("vx", "vy", lambda m, n: F.least(m, n)), F.lit(0), lambda t, m: t + m)
+    both = both.where((F.col("cx") != F.col("cy")) & can(F.least("sx", "sy")) & can(overlap) & ~met)
     swap = F.col("x") > F.col("y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("ca"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("cb")).dropDuplicates(["a", "b"])
 
