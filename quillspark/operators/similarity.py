@@ -32,13 +32,16 @@ def similar_pairs(case_signals: DataFrame, embeddings: DataFrame | None = None,
     weighted = weighted.withColumn("total", F.sum("weight").over(by)).withColumn("before", F.coalesce(run, F.lit(0.0)))
     prefix = weighted.where(F.col("total") - F.col("before") >= F.col("total") * (least - 1e-9)).select("case_id", "signal_key")
     pairs = prefix.withColumnRenamed("case_id", "case_a").join(prefix.withColumnRenamed("case_id", "case_b"), "signal_key").where("case_a < case_b").select("case_a", "case_b").distinct()
-    profile = weighted.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("weight", "signal_key"))).alias("s"), F.max("total").alias("t"))
+    # As strings, since only arrays of atomic values intersect by hashing.
+    text = F.concat_ws("|", F.col("weight").cast("string"), "signal_key")
+    profile = weighted.groupBy("case_id").agg(F.array_sort(F.collect_list(text)).alias("s"), F.max("total").alias("t"))
     if embeddings is not None:
         profile = profile.join(embeddings.groupBy("case_id").agg(F.first("embedding").alias("e")), "case_id", "left")
     side = lambda x: profile.select(*(F.col(c).alias({"case_id": f"case_{x}"}.get(c, f"{c}_{x}")) for c in profile.columns))
-    both = pairs.join(side("a"), "case_a").join(side("b"), "case_b").withColumn("overlap", F.array_intersect("s_a", "s_b"))
-    common = F.aggregate("overlap", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    both = both.withColumn("common", common).withColumn("signal_score", F.col("common") / (F.col("t_a") + F.col("t_b") - F.col("common")))
+    both = pairs.join(side("a"), "case_a").join(side("b"), "case_b").withColumn("shared", F.array_intersect("s_a", "s_b"))
+    common = F.aggregate("shared", F.lit(0.0), lambda acc, x: acc + F.substring_index(x, "|", 1).cast("double"))
+    overlap = F.transform("shared", lambda x: F.struct(F.substring_index(x, "|", 1).cast("double").alias("weight"), F.substring(x, F.locate("|", x) + 1, F.length(x)).alias("signal_key")))
+    both = both.withColumn("common", common).withColumn("overlap", overlap).withColumn("signal_score", F.col("common") / (F.col("t_a") + F.col("t_b") - F.col("common")))
     semantic = cosine(F.col("e_a"), F.col("e_b")) if embeddings is not None else F.lit(None).cast("double")
     both = both.withColumn("semantic_score", semantic)
     blend = F.when(F.col("semantic_score").isNull(), F.col("signal_score")).otherwise(K.SIGNAL_SHARE * F.col("signal_score") + K.SEMANTIC_SHARE * F.col("semantic_score"))

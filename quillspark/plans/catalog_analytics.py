@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.stats import weighted_quantiles
 from quillspark.operators import cohorts, signals, similarity
 
+from quillspark.sources.scratch import materialize
+
 from .registry import Registry
 
 R = Registry()
@@ -26,7 +28,8 @@ def reach(p):
 
 
 def neighbours(p):
-    return similarity.prune(similarity.similar_pairs(case_signals(p), p.embeddings))
+    """The published similarity edges: a derived table that feeds several joins."""
+    return materialize(similarity.prune(materialize(similarity.similar_pairs(materialize(case_signals(p), "signals"), p.embeddings), "pairs")), "neighbours")
 
 
 @R.add("cohort_common_signals", "SELECT cohort_key, scope, scope_type, stage, sub_stage, signal_key, round(support, 6) AS support, round(lift, 6) AS lift, round(weight, 6) AS weight, median_lead_days, position FROM common")
@@ -76,12 +79,12 @@ def _(p):
 
 @R.add("similar_pairs_signal", "SELECT case_a, case_b, round(signal_score, 6) AS signal_score FROM sp")
 def _(p):
-    return similarity.similar_pairs(case_signals(p)).select("case_a", "case_b", *r6("signal_score"))
+    return similarity.similar_pairs(materialize(case_signals(p), "signals")).select("case_a", "case_b", *r6("signal_score"))
 
 
 @R.add("similar_pairs_blended", "SELECT case_a, case_b, round(signal_score, 6) AS signal_score, round(semantic_score, 6) AS semantic_score, round(combined_score, 6) AS combined_score FROM pairs")
 def _(p):
-    return similarity.similar_pairs(case_signals(p), p.embeddings).select("case_a", "case_b", *r6("signal_score", "semantic_score", "combined_score"))
+    return similarity.similar_pairs(materialize(case_signals(p), "signals"), p.embeddings).select("case_a", "case_b", *r6("signal_score", "semantic_score", "combined_score"))
 
 
 @R.add("similar_top_k_either_side", "SELECT case_a, case_b, round(combined_score, 6) AS combined_score FROM sim")

@@ -80,4 +80,5 @@ near AS (SELECT case_a AS case_id, case_b AS other_id, combined_score FROM sim U
 
 
 def with_base(sql: str) -> str:
-    return f"WITH {BASE.strip()}\n{sql.strip()}"
+    sql = sql.strip()
+    return f"WITH {BASE.strip()}{sql}" if sql.startswith(",") else f"WITH {BASE.strip()}\n{sql}"
