@@ -1,4 +1,126 @@
+"""Queries over ingest transforms, text chunks, facts and full-text search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as tx
+from quillspark.operators import chunks, facts, ingest, search
+
 from .registry import Registry
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
+
+
+def _contacts(p):
+    """Source contacts of the test tables: few names, shared addresses, some contacts without any."""
+    ids = p.case_contacts.groupBy("contact_id").agg(F.array_sort(F.collect_set(F.col("case_id").cast("string"))).alias("caseIds"))
+    n = F.col("contact_id")
+    email = F.when(n % 3 == 0, F.concat(F.lit(" C"), (n % 25).cast("string"), F.lit("@X.org ")))
+    phone = F.when(n % 2 == 0, F.concat(F.lit("+1 (555) "), F.lpad((n % 20).cast("string"), 4, "0")))
+    kind = F.when(n % 11 == 0, "admin").otherwise(F.col("contact_type"))
+    name = F.concat(F.lit(" Contact  "), (n % 4).cast("string"), F.lit("'"))
+    return p.contacts.join(ids, "contact_id", "left").select(n.cast("string").alias("_id"), name.alias("name"), kind.alias("contactType"), phone.alias("phone"), email.alias("email"), "caseIds")
+
+
+_CONTACTS = """src AS (SELECT contact_id::VARCHAR AS id, 'contact ' || (contact_id % 4) AS nn, CASE WHEN contact_id % 11 = 0 THEN 'admin' ELSE contact_type END AS kind, CASE WHEN contact_id % 3 = 0 THEN 'e:c' || (contact_id % 25) || '@x.org'
+  WHEN contact_id % 2 = 0 THEN 'p:1555' || lpad((contact_id % 20)::VARCHAR, 4, '0') ELSE '' END AS point FROM contacts),
+node AS (SELECT CASE WHEN point = '' THEN 'uniq:' || id ELSE nn || '|' || kind || '|' || point END AS dedup_key, id, kind FROM src WHERE kind <> 'admin')"""
+
+
+@R.add("contact_dedup", f", {_CONTACTS} SELECT dedup_key, string_agg(DISTINCT id, ',' ORDER BY id) AS source_ids, (SELECT count(DISTINCT case_id) FROM case_contacts k WHERE k.contact_id IN (SELECT m.id::BIGINT FROM node m WHERE m.dedup_key = node.dedup_key)) AS cases FROM node GROUP BY dedup_key")
+def _(p):
+    return ingest.contact_nodes(_contacts(p)).select("dedup_key", F.array_join("source_ids", ",").alias("source_ids"), F.size("case_ids").cast("long").alias("cases"))
+
+
+@R.add("contact_case_edges", f", {_CONTACTS} SELECT DISTINCT dedup_key, case_id::VARCHAR AS case_id FROM node JOIN case_contacts k ON k.contact_id = id::BIGINT")
+def _(p):
+    known = p.cases.select(F.col("case_id").cast("string").alias("caseId"))
+    return ingest.contact_edges(ingest.contact_nodes(_contacts(p)), known).select("dedup_key", "case_id")
+
+
+@R.add(
+    "client_resolution",
+    """, named AS (SELECT case_id, '5' AS contact_id FROM cases WHERE case_id % 3 = 0),
+one AS (SELECT case_id, min(contact_id)::VARCHAR AS contact_id FROM case_contacts JOIN contacts USING (contact_id) WHERE contact_type = 'client' AND contact_id % 11 <> 0 GROUP BY 1 HAVING count(*) = 1)
+SELECT case_id::VARCHAR AS case_id, coalesce(named.contact_id, one.contact_id) AS contact_id FROM cases LEFT JOIN named USING (case_id) LEFT JOIN one USING (case_id) WHERE coalesce(named.contact_id, one.contact_id) IS NOT NULL""",
+)
+def _(p):
+    cases = p.cases.select(F.col("case_id").cast("string").alias("caseId"), F.when(F.col("case_id") % 3 == 0, "5").alias("clientContactId"))
+    return ingest.resolve_clients(cases, _contacts(p))
+
+
+@R.add("insurer_canonical", "SELECT DISTINCT case_id, normalized FROM insurers")
+def _(p):
+    raw = p.insurers.select("case_id", F.concat(F.lit("Group; "), "name", F.lit(' חברה לביטוח בע"מ')).alias("raw"))
+    return raw.select("case_id", tx.term("insurer", "raw").alias("normalized")).distinct()
+
+
+@R.add("stage_backfill_anti_join", "SELECT case_id, legal_stage AS stage, stage_entered_at AS occurred_at FROM cases c WHERE legal_stage IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stage_events e WHERE e.case_id = c.case_id AND e.stage = c.legal_stage AND source = 'activity_log')")
+def _(p):
+    snap = p.cases.where("legal_stage is not null").select("case_id", F.col("legal_stage").alias("stage"), F.col("stage_entered_at").alias("occurred_at"))
+    return ingest.backfill(snap, p.stage_events.where("source = 'activity_log'"))
+
+
+@R.add("current_injury_overrides", "SELECT case_id, normalized, CASE WHEN bool_or(l_returnflag = 'R') THEN 'current' ELSE 'initial' END AS status FROM (SELECT case_id, lower(p_type) AS normalized, l_returnflag FROM prt) GROUP BY 1, 2")
+def _(p):
+    parts = p.injuries.select(F.col("case_id").cast("string").alias("caseId"), F.lit(1.0).alias("version"), F.lit(None).cast("string").alias("analysisDate"), "name", "status")
+    some = lambda s: F.array_sort(F.collect_list(F.when(F.lit(s == "initial") | (F.col("status") == s), F.concat(F.col("name"), F.lit(" ")))))
+    proj = parts.groupBy("caseId", "version", "analysisDate").agg(some("initial").alias("initialInjuries"), some("current").alias("currentInjuries"))
+    return ingest.injury_edges(proj).select(F.col("case_id").cast("long").alias("case_id"), "normalized", "status")
+
+
+@R.add("content_hashes", "SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS content_hash FROM documents", base=False)
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", tx.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
+
+
+@R.add("document_chunks")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    return chunks.chunk_rows(docs).select("chunk_id", "document_id", "chunk_number", "char_count", "chunk_hash")
+
+
+@R.add("evidence_facts_generic")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    rows = facts.extract_facts(chunks.chunk_rows(docs).select("chunk_id", "document_id", "text"), facts.GENERIC_PACK)
+    return rows.groupBy("kind", "subtype").agg(F.count("*").alias("facts"), F.countDistinct("document_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@R.add(
+    "fulltext_search",
+    """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}_@.-]+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT doc_id, len(list_filter(w, lambda x: starts_with(x, 'licen'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'apache'))) AS b FROM d),
+n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
+SELECT doc_id, round(CASE WHEN a > 0 THEN ln(1 + a) * ln(1 + n / da) ELSE 0 END + CASE WHEN b > 0 THEN ln(1 + b) * ln(1 + n / db) ELSE 0 END, 6) AS score FROM c, n WHERE a > 0 OR b > 0
+ORDER BY round(CASE WHEN a > 0 THEN ln(1 + a) * ln(1 + n / da) ELSE 0 END + CASE WHEN b > 0 THEN ln(1 + b) * ln(1 + n / db) ELSE 0 END, 9) DESC, doc_id LIMIT 20""",
+    base=False,
+)
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return search.fulltext(docs, "licen* apache", "doc_id", limit=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_NEURO, _SPINE = ("ther", "promo"), ("tion", "brand#2")
+
+
+@R.add(
+    "medical_evidence_score",
+    """, chk AS (SELECT doc_id % n AS case_id, lower(coalesce(text, '')) AS t FROM documents, n), pool AS (SELECT case_id FROM cases WHERE contains(main_injury, 'promo') UNION SELECT case_id FROM injuries WHERE contains(normalized, 'promo')),
+h AS (SELECT case_id, count(*) FILTER ((contains(t, 'ther') OR contains(t, 'promo')) AND (contains(t, 'tion') OR contains(t, 'brand#2'))) AS combined, count(*) FILTER (contains(t, 'ther') OR contains(t, 'promo')) AS neuro, count(*) FILTER (contains(t, 'tion') OR contains(t, 'brand#2')) AS spine FROM chk GROUP BY 1)
+SELECT case_id, case_name, 8 + CASE WHEN EXISTS (SELECT 1 FROM body_parts b WHERE b.case_id = c.case_id AND contains(b.normalized, 'brand#2')) THEN 4 ELSE 0 END + 3 * least(coalesce(combined, 0), 5) + least(coalesce(neuro, 0), 5) + least(coalesce(spine, 0), 5) AS score,
+  coalesce(combined, 0) AS combined, coalesce(neuro, 0) AS neuro, coalesce(spine, 0) AS spine FROM cases c JOIN pool USING (case_id) LEFT JOIN h USING (case_id) ORDER BY score DESC, case_name, case_id LIMIT 20""",
+)
+def _(p):
+    rows = p.texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "case_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("char_count", F.length("text"))
+    return search.medical_evidence(p.cases, p.injuries, p.body_parts, rows, "promo", neurological=_NEURO, spine=_SPINE).drop("snippets")
+
+
+@R.add("reach_from_log_only", "SELECT case_id, stage, min(occurred_at) AS reached_at FROM stage_events WHERE source = 'activity_log' GROUP BY 1, 2")
+def _(p):
+    from quillspark.operators.cohorts import reaches
+
+    return reaches(p.stage_events.where("source = 'activity_log'"), p.cases).groupBy("case_id", "stage").agg(F.min("reached_at").alias("reached_at"))

@@ -261,17 +261,17 @@ def _(p):
 @R.add(
     "estimate_time_to_stage",
     f""", pe AS (SELECT c.case_id, r.case_id AS other_id, coalesce(combined_score, 0) AS s, r.source, date_sub('day', r.event_date, reached_at) AS days, floor((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(c.event_date)) / 86400000000.0) AS age
-  FROM cases c JOIN reaches r ON stage = '{STAGE}' AND sub_stage = '' LEFT JOIN near n ON n.case_id = c.case_id AND n.other_id = r.case_id WHERE c.case_id < 40),
+  FROM cases c JOIN reaches r ON stage = '{STAGE}' AND sub_stage = '' LEFT JOIN near n ON n.case_id = c.case_id AND n.other_id = r.case_id),
 t8 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(s, 9) DESC, other_id) AS r FROM pe),
 tm AS (SELECT case_id, days - age AS rem, greatest(s, 0.05) AS w, s FROM t8 WHERE r <= 8 AND source = 'activity_log' AND days >= 0),
 cu AS (SELECT *, sum(w) OVER (PARTITION BY case_id ORDER BY rem RANGE UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY case_id) AS tot FROM tm),
 q AS (SELECT case_id, count(*) AS n, median(s) AS ms, min(rem) FILTER (run >= tot * 0.5) AS p50, min(rem) FILTER (run >= tot * 0.25) AS p25, min(rem) FILTER (run >= tot * 0.75) AS p75 FROM cu GROUP BY 1)
 SELECT c.case_id, CASE WHEN coalesce(n, 0) < 3 THEN 'no_estimate' WHEN p50 < 0 THEN 'behind' ELSE 'future' END AS status, CASE WHEN n >= 3 THEN abs(p50)::DOUBLE END AS median_days,
   CASE WHEN n >= 3 THEN CASE WHEN p50 < 0 AND p25 < 0 THEN -p25 WHEN p50 >= 0 AND p25 >= 0 THEN p25 END END::DOUBLE AS p25_days, CASE WHEN n >= 3 THEN CASE WHEN p50 < 0 AND p75 < 0 THEN -p75 WHEN p50 >= 0 AND p75 >= 0 THEN p75 END END::DOUBLE AS p75_days,
-  coalesce(n, 0) AS timed_peers, CASE WHEN n >= 10 AND ms >= 0.375 THEN 'high' WHEN n >= 4 AND ms >= 0.225 THEN 'medium' ELSE 'low' END AS confidence FROM cases c LEFT JOIN q USING (case_id) WHERE c.case_id < 40""",
+  coalesce(n, 0) AS timed_peers, CASE WHEN n >= 10 AND ms >= 0.375 THEN 'high' WHEN n >= 4 AND ms >= 0.225 THEN 'medium' ELSE 'low' END AS confidence FROM cases c LEFT JOIN q USING (case_id)""",
 )
 def _(p):
-    target = p.cases.where("case_id < 40").select("case_id", "event_date")
+    target = p.cases.select("case_id", "event_date")
     out = readiness.estimate(reach(p), target, STAGE, similarity.both_ways(neighbours(p)), AS_OF)
     return out.withColumns({c: F.col(c).cast("double") for c in ("median_days", "p25_days", "p75_days")})
 

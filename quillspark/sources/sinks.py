@@ -19,10 +19,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _pointer(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, f"{path}/_current.json")
+    p, fs = _fs(spark, f"{path}/current.json")
     if not fs.exists(p):
         return None
-    rows = spark.read.text(f"{path}/_current.json").collect()  # one line
+    rows = spark.read.text(f"{path}/current.json").collect()  # one line
     return json.loads(rows[0][0])["version"]
 
 
@@ -37,11 +37,11 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    new, fs = _fs(spark, f"{path}/_{version}.json")
+    new, fs = _fs(spark, f"{path}/{version}.json")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    current, _ = _fs(spark, f"{path}/_current.json")
+    current, _ = _fs(spark, f"{path}/current.json")
     fs.delete(current, False)
     fs.rename(new, current)
 
