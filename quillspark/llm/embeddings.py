@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 Only vectors of equal, non-null label and equal length are compared, by cosine in double precision. ITQ learns, from a
-bounded sample, rotations that turn centred principal components into balanced binary codes; several rotations give
+bounded sample, rotations that turn principal components into balanced binary codes; several rotations give
 codes as long as the tables need. Each table indexes one piece of the code; vectors that share a piece are candidates,
 are filtered by the Hamming distance of their whole codes, and reranked with the original vectors. A pair counts in
 the first table in which it meets, so links are counted once. Piece length follows the number of rows of
@@ -44,14 +44,15 @@ def plan_tables(rows: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) of ITQ codes; each rotation gives as many bits as there are dimensions."""
+def learn(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
+    """Projection (dimensions x bits) of ITQ codes of unit vectors; each rotation gives as many bits as there are dimensions.
+
+    The vectors are not centred: planes through the origin part two vectors by their angle alone, while
+    planes through a mean would cut a tight group that lies about it at random."""
     d = sample.shape[1]
-    mean = sample.mean(axis=0)
-    x = sample - mean
-    values, vectors = np.linalg.eigh(np.cov(x.T).reshape(d, d) + 1e-12 * np.eye(d))
+    _, vectors = np.linalg.eigh(sample.T @ sample / max(len(sample), 1) + 1e-12 * np.eye(d))
     pca = vectors[:, ::-1]
-    v = x @ pca
+    v = sample @ pca
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(math.ceil(bits / d)):
@@ -60,12 +61,12 @@ def learn(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.
             u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
             r = (u @ w).T
         out.append(pca @ r)
-    return mean, np.hstack(out)[:, :bits]
+    return np.hstack(out)[:, :bits]
 
 
-def _pieces(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def _pieces(x: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Pieces of the codes of unit vectors, rows x tables."""
-    code = ((x - mean) @ projection > 0).reshape(len(x), tables, bits)
+    code = (x @ projection > 0).reshape(len(x), tables, bits)
     return code @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -179,12 +180,12 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         sample = own.select("x").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_ROWS / max(total, SAMPLE_ROWS)))
         sample = np.array([r["x"] for r in sample.collect()]).reshape(-1, d)
         sample = sample[np.lexsort(sample.T)]
-        mean, projection = learn(sample, bits * tables) if len(sample) > 1 else (np.zeros(d), np.zeros((d, bits * tables)))
+        projection = learn(sample, bits * tables)
 
-        def encode(batches, mean=mean, projection=projection, bits=bits, tables=tables, d=d):
+        def encode(batches, projection=projection, bits=bits, tables=tables, d=d):
             for b in batches:
                 x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                p = _pieces(x, mean, projection, bits, tables)
+                p = _pieces(x, projection, bits, tables)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * tables, p.reshape(-1))], [*b.schema.names, "pieces"])
 
         coded = written(own.select("key", "label", "size", "x").mapInArrow(encode, "key binary, label int, size long, x array<double>, pieces array<long>"), "codes")
