@@ -82,11 +82,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _stars(e):
             return e.selectExpr("u node", "v component").union(e.selectExpr("v node", "v component").distinct())
+        # There are at most twice as many nodes as edges: few of them are sent to all tasks.
+        side = F.broadcast if 2 * e.count() <= BROADCAST_ROWS else lambda df: df
         both = e.union(e.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u and v <> m").selectExpr("v u", "m v").union(low.where("u <> m").selectExpr("u", "m v")).distinct()
+        e = both.join(side(low), "u").where("v > u and v <> m").selectExpr("v u", "m v").union(low.where("u <> m").selectExpr("u", "m v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = written(e.join(low, "u").where("v <> m").selectExpr("v u", "m v").union(low.selectExpr("u", "m v")).distinct(), "edges")
+        e = written(e.join(side(low), "u").where("v <> m").selectExpr("v u", "m v").union(low.selectExpr("u", "m v")).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

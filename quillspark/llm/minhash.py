@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, components, mix, pick, shingles, small, table, text_bytes, unit, word_hashes, written
+from .common import BROADCAST_ROWS, chunked, components, mix, pick, shingles, small, table, text_bytes, unit, word_hashes, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -160,13 +160,14 @@ def _verify(batches):
                     seen.clear()
                 seen[hubs[i]] = _bag_of(hub_text[i].as_py())
             keep.append(similarity(_bag_of(t.as_py()), seen[hubs[i]]) >= SIMILARITY - 1e-12)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+        at = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([b.column("ca").take(at), b.column("cb").take(at)], ["a", "b"])
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked) of candidate pairs, by the exact bags."""
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from candidate pairs (a, b, ca, cb), by the exact bags."""
     full = pairs.join(texts.selectExpr("bag a", "text text_a"), "a").join(texts.selectExpr("bag b", "text text_b"), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, linked boolean")
+    return full.select("b", "ca", "cb", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
 def _shingle_rows(batches):
@@ -181,7 +182,7 @@ def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFram
     Shingles of one bag alone overlap with nothing, and the others are summed into SLOTS by their hash: two bags
     share at most the sum of the lesser weights of each slot. Copies of one text with edits of their own fall
     under the limit by that, without a comparison."""
-    open_bags = state.select("bag").distinct()
+    open_bags = small(written(state.select("bag").distinct(), "open-bags"))
     items = texts.join(open_bags, "bag", "left_semi").select("bag", "text").mapInArrow(_shingle_rows, "bag binary, item long, n long")
     items = written(items.withColumn("slot", F.shiftright("item", 16).bitwiseAND(SLOTS - 1).cast("int")), "items")
     own = items.groupBy("item").agg(F.count("*").alias("bags"), F.min("bag").alias("bag"), F.sum("n").alias("n"), F.min("slot").alias("slot")).where("bags = 1").select("bag", "slot", (-F.col("n")).alias("n"))
@@ -191,7 +192,7 @@ def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFram
     shared = groups.select("bag", "bands", "weight").join(slots.select("bag", "shared", filled.alias("slots")), "bag")
     # A bag with too much of its own is like no other.
     shared = written(shared.where(F.col("shared") >= SIMILARITY * F.col("weight") - 1e-6), "shared")
-    full = state.select("band", "h", "bag", "component").join(shared, "bag")
+    full = state.select("band", "h", "bag", "component").join(small(shared, BROADCAST_ROWS // 4), "bag")
     most = full.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
     minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx", "weight wx", "shared sx", "slots vx")
     both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by", "weight wy", "shared sy", "slots vy"), ["band", "h"])
@@ -212,15 +213,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = groups.select("bag", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("bag").alias("hub"), F.max("bag").alias("far")).where("hub <> far").drop("far")
     members = written(rows.join(buckets, ["band", "h"]), "buckets")
-    used = members.select("bag").distinct()
-    texts = written(feats.join(used, "bag", "left_semi").groupBy("bag").agg(F.max("text").alias("text")), "texts")
+    used = written(members.select("bag").distinct(), "used")
+    texts = written(feats.join(small(used), "bag", "left_semi").groupBy("bag").agg(F.max("text").alias("text")), "texts")
 
-    linked = lambda pairs: _compare(pairs, texts).where("linked")
-    first = linked(members.where("bag <> hub").selectExpr("bag a", "hub b").distinct()).select("a", "b")
-    label = written(used.join(components(first).withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag")), "labels")
+    first = members.where("bag <> hub").selectExpr("bag a", "hub b").distinct()
+    label = written(used.join(components(_linked(first.selectExpr("a", "b", "a ca", "b cb"), texts)).withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag")), "labels")
     state = members.select("band", "h", "bag")
     for last in (False, True):
-        state = state.select("band", "h", "bag").join(label, "bag")
+        state = state.select("band", "h", "bag").join(small(label), "bag")
         hubs = F.array(*(F.min(F.struct(F.xxhash64("bag", F.lit(r)).alias("draw"), "bag", "component")) for r in range(HUBS)))
         mixed = state.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), hubs.alias("hubs")).where("c0 <> c1")
         state = written(state.join(mixed.select("band", "h", "hubs"), ["band", "h"]), "open")
@@ -229,18 +229,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             pairs = state.select("bag", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
             pairs = pairs.selectExpr("bag a", "hub.bag b", "component ca", "hub.component cb").dropDuplicates(["a", "b"])
-        found = written(linked(pairs.select("a", "b")).join(pairs, ["a", "b"]).selectExpr("ca a", "cb b").distinct(), "links")
+        found = written(_linked(pairs, texts).distinct(), "links")
         if found.isEmpty():
             continue
         moved = components(found).selectExpr("node component", "component moved")
-        label = written(label.join(moved, "component", "left").select("bag", F.coalesce("moved", "component").alias("component")), "labels")
+        label = written(label.join(small(moved), "component", "left").select("bag", F.coalesce("moved", "component").alias("component")), "labels")
 
     placed = groups.select("bag", "least", "n").join(label, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     whole = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     by_bag = placed.join(whole, "component").select("bag", "class_id", "class_size")
     dup = by_bag.where("class_size > 1")
     # Most bags stand alone: only rows of larger classes need the join.
-    out = feats.select("doc_id", "k", "bag").join(dup, "bag", "left")
+    out = feats.select("doc_id", "k", "bag").join(small(written(dup, "larger")), "bag", "left")
     return out.select(
         "doc_id",
         F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
