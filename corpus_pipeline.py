@@ -18,7 +18,7 @@ from quillspark.llm.common import table, written
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where(f"_score >= {quality.THRESHOLD}").drop("_score")
+    return quality.good_rows(docs, model)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,11 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return train(x[order], y[order])
 
 
-def score_documents(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """docs with all their columns, and score as the last one (named _score)."""
-    names = docs.columns
-    at = names.index(text)
-    plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
+def _scored(docs: DataFrame, model: Trees) -> DataFrame:
+    """docs with columns named by place, and _score."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"_p{i}" for i in range(len(docs.columns))))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema), T.StructField("_score", T.DoubleType())])
 
     def run(batches):
@@ -198,7 +197,17 @@ def score_documents(docs: DataFrame, model: Trees, text: str = "text") -> DataFr
             raw, off = text_bytes(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(statistics(raw, off)))], [*b.schema.names, "_score"])
 
-    return plain.mapInArrow(run, schema).toDF(*names, "_score")
+    return plain.mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, model: Trees, name: str = "_score") -> DataFrame:
+    """docs with all their columns, and the score as the last one."""
+    return _scored(docs, model).toDF(*docs.columns, name)
+
+
+def good_rows(docs: DataFrame, model: Trees, least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is least or more."""
+    return _scored(docs, model).where(F.col("_score") >= least).drop("_score").toDF(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
