@@ -133,3 +133,25 @@ class ArtifactComposer:
             return None
         self._given.add(key)
         return ReadinessArtifact(case_id, stage, reasons=list(known), **self._parts[key])
+
+
+def availability(cohort_rows: DataFrame, reach: DataFrame, case: DataFrame, stage: str, sub_stage: str = "") -> tuple[str, int]:
+    """cohort, sparse_stage or none, and how many other cases reached the stage. case is one row."""
+    own = applicable_cohorts(cohort_rows.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage)), case)
+    peers = reach.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage)).join(case.select("case_id"), "case_id", "left_anti").agg(F.countDistinct("case_id")).first()[0]
+    return ("none" if not peers else "sparse_stage" if own.isEmpty() else "cohort"), peers
+
+
+def explain(case: DataFrame, stage: str, cohort_rows: DataFrame, common: DataFrame, case_signals: DataFrame, reach: DataFrame, neighbours: DataFrame, as_of: str, sub_stage: str = "") -> ReadinessArtifact:
+    """Pattern, comparison and estimate for one case (a frame of one row), with the reasons for doubt, each once."""
+    row = case.select("case_id", "event_date").first()
+    basis, peers = availability(cohort_rows, reach, case, stage, sub_stage)
+    told = pattern(cohort_rows, common, case, stage, sub_stage)
+    target = case.select("case_id", "event_date")
+    reasons = []
+    if basis != "cohort":
+        reasons.append(f"only {peers} historical peer{'' if peers == 1 else 's'} reached {stage}")
+    if row["event_date"] is None:
+        reasons.append("the case has no eventDate")
+    guess = estimate(reach, target, stage, neighbours, as_of, sub_stage) if basis == "cohort" else sparse_estimate(reach, target, stage, as_of, sub_stage)
+    return ReadinessArtifact(row["case_id"], stage, told, compare(told, case_signals), guess, list(dict.fromkeys(reasons)))

@@ -124,3 +124,20 @@ def _(p):
     from quillspark.operators.cohorts import reaches
 
     return reaches(p.stage_events.where("source = 'activity_log'"), p.cases).groupBy("case_id", "stage").agg(F.min("reached_at").alias("reached_at"))
+
+
+@R.add(
+    "search_document_evidence",
+    """, cc AS (SELECT case_id, case_name FROM cases WHERE case_type = 'BUILDING'),
+d AS (SELECT doc_id::VARCHAR AS id, case_id, case_name, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}_@.-]+'), lambda w: starts_with(w, 'licensed')) AS a, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}_@.-]+'), lambda w: starts_with(w, 'permanent')) AS b
+  FROM (SELECT doc_id, doc_id % n AS case_id, text FROM documents, n) JOIN cc USING (case_id)),
+f AS (SELECT fact_id AS id, case_id, case_name, CASE WHEN subtype = 'permanent' THEN 1 ELSE 0 END AS b FROM facts JOIN cc USING (case_id)),
+hits AS (SELECT 'chunk' AS hit, id, case_id, case_name, CASE WHEN len(a) > 0 THEN ln(1 + len(a)) * ln(1 + (SELECT count(*) FROM d) / (SELECT count(*) FROM d WHERE len(a) > 0)) ELSE 0 END + CASE WHEN len(b) > 0 THEN ln(1 + len(b)) * ln(1 + (SELECT count(*) FROM d) / (SELECT count(*) FROM d WHERE len(b) > 0)) ELSE 0 END AS score FROM d WHERE len(a) > 0 OR len(b) > 0
+  UNION ALL SELECT 'fact', id, case_id, case_name, ln(2) * ln(1 + (SELECT count(*) FROM f) / (SELECT count(*) FROM f WHERE b > 0)) FROM f WHERE b > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY round(score, 9) DESC, id) AS r FROM hits)
+SELECT hit, id, case_id, round(score, 6) AS score FROM top WHERE r <= 12 ORDER BY round(top.score, 9) DESC, case_name, id LIMIT 12""",
+)
+def _(p):
+    rows = p.texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "case_id", "text")
+    said = p.facts.select("fact_id", "case_id", "kind", "subtype", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("quote"))
+    return search.search_evidence(rows, said, p.cases, "licensed permanent", limit=12, case_type="BUILDING").select("hit", "id", "case_id", F.round("score", 6).alias("score"))

@@ -223,3 +223,25 @@ def test_sinks(spark, tmp_path):
     assert [(r.k, r.k2) for r in sinks.read_table(spark, str(tmp_path / "e")).collect()] == [(1, 2)]
     sinks.clear(spark, path)
     assert sinks.read_table(spark, path) is None
+
+
+def test_decision_for_target_and_sparse_stage(spark):
+    """Twelve peers reach file_claim 94 days after their event; the target lacks evidence. The sparse stage has one peer."""
+    day = lambda n: T0 + n * DAY
+    cases = spark.createDataFrame([(0, "liability", day(0)), (1, "liability", None), *((10 + i, "liability", day(i)) for i in range(1, 13))], "case_id long, case_type string, event_date timestamp")
+    events = [(10 + i, "file_claim", None, day(i + 94), "activity_log") for i in range(1, 13)] + [(11, "rare", None, day(101), "activity_log")]
+    reach = cohorts.reaches(spark.createDataFrame(events, "case_id long, stage string, sub_stage string, occurred_at timestamp, source string"), cases)
+    sig = [(10 + i, f"documentCategory:{c}", day(i + 1)) for i in range(1, 13) for c in ("medical", "evidence")] + [(0, "documentCategory:medical", day(5))]
+    sig = spark.createDataFrame(sig, "case_id long, signal_key string, first_observed timestamp")
+    rows, common = cohorts.cohorts(reach), cohorts.common_signals(reach, sig, cases)
+    near = spark.createDataFrame([(0, 10 + i, 0.5) for i in range(1, 13)] + [(1, 11, 0.5)], "case_id long, other_id long, combined_score double")
+    assert {r.members for r in rows.collect()} == {12}
+    a = readiness.explain(cases.where("case_id = 0"), "file_claim", rows, common, sig, reach, near, "2026-02-10")
+    assert {(r.signal_key, r.status) for r in a.comparison.collect()} == {("documentCategory:evidence", "missing"), ("documentCategory:medical", "matched")}
+    assert 0 < readiness.coverage(a.comparison).first().coverage < 1 and a.reasons == []
+    e = a.estimate.first()
+    assert (e.status, e.median_days, e.timed_peers, e.confidence) == ("future", 94 - 40, 8, "medium")
+    undated = readiness.explain(cases.where("case_id = 1"), "file_claim", rows, common, sig, reach, near, "2026-02-10")
+    assert undated.estimate.first().status == "no_estimate" and "eventDate" in undated.reasons[0]
+    sparse = readiness.explain(cases.where("case_id = 0"), "rare", rows, common, sig, reach, near, "2026-02-10")
+    assert sparse.estimate.first().confidence == "low" and sparse.estimate.first().median_days == 60 and sparse.reasons == ["only 1 historical peer reached rare"]
