@@ -267,3 +267,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("k")
+
+
+#: The exact classes: all pairs that share a shingle, and reachability. The query finds them by LSH, whose misses are rarer than 2e-4 a pair.
+OP3_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS o FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN t tx ON tx.doc_id = x JOIN t ty ON ty.doc_id = y WHERE 10 * o >= 8 * (tx.t + ty.t - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.label FROM r JOIN e ON r.node = e.x WHERE r.label < e.y),
+k AS (SELECT node, min(label) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM d JOIN k ON node = doc_id
+"""

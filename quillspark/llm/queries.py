@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": minhash.OP3_SQL,
+    "op5_itq": embeddings.OP5_SQL,
     "op7_winnowing": decontaminate.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
