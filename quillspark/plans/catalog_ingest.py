@@ -77,10 +77,20 @@ def _(spark, sf_dir):
     return docs.select("doc_id", tx.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
-@R.add("document_chunks")
+@R.add(
+    "document_chunks",
+    r"""WITH t AS (SELECT doc_id AS document_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+p AS (SELECT document_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM t),
+q AS (SELECT document_id, flatten(list_transform(ps, lambda x: CASE WHEN length(x) > 2600 THEN list_transform(range(0, (length(x) - 1) // 2200 + 1), lambda i: substring(x, i * 2200 + 1, 2200)) ELSE [x] END)) AS ps FROM p),
+r AS (SELECT document_id, list_reduce(list_transform(ps, lambda x: {'done': []::VARCHAR[], 'open': x}), lambda a, b: CASE WHEN length(a.open || chr(10) || chr(10) || b.open) <= 2600 THEN {'done': a.done, 'open': a.open || chr(10) || chr(10) || b.open}
+  ELSE {'done': list_append(a.done, a.open), 'open': CASE WHEN trim(right(a.open, 180)) = '' THEN b.open ELSE trim(right(a.open, 180)) || chr(10) || chr(10) || b.open END} END) AS r FROM q WHERE len(ps) > 0),
+c AS (SELECT document_id, unnest(list_append(r.done, r.open)) AS chunk, generate_subscripts(list_append(r.done, r.open), 1) AS n FROM r)
+SELECT document_id || ':chunk:' || n AS chunk_id, document_id, n AS chunk_number, length(chunk) AS char_count, sha256(trim(regexp_replace(chunk, '\s+', ' ', 'g'))) AS chunk_hash FROM c""",
+    base=False,
+)
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
-    return chunks.chunk_rows(docs).select("chunk_id", "document_id", "chunk_number", "char_count", "chunk_hash")
+    return chunks.chunk_rows(docs).select("chunk_id", "document_id", F.col("chunk_number").cast("long"), F.col("char_count").cast("long"), "chunk_hash")
 
 
 @R.add("evidence_facts_generic")
