@@ -310,6 +310,13 @@ def test_planted_passages_are_found(spark, words):
     assert want <= found and not found - want - {1, 90, 91}
 
 
+def test_passages_of_parts_that_others_hold(spark, words):
+    shared = words(70)
+    rows = [(i, " ".join(words(20) + (shared if i < 2 else shared[:40] if i % 2 else shared[-40:]) + words(20))) for i in range(200)]
+    got = {r.doc_id: r for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1} and {r.class_id for r in got.values()} == {0} and all(r.n_links == 1 and r.n_words >= 70 for r in got.values())
+
+
 def test_chains_follow_order():
     a, b = [0, 5, 10, 15, 3], [100, 105, 110, 115, 400]
     assert (0, 15, 100, 115) in passages.chains(a, b)
