@@ -1,14 +1,16 @@
 """Licence scans by a trained paragraph classifier; the scan itself uses DataFrame functions only.
 
-A paragraph (a line of a text) is the set of its word 1- to 3-grams (runs of letters and digits, lower-cased). A multinomial
+A paragraph (a line of a text, or several in a row, as notices are often wrapped) is the set of its word 1- to 3-grams (runs of letters and digits, lower-cased). A multinomial
 logistic regression over the n-grams of the licence templates scores each family against "unknown". It is trained on the driver, in
 numpy, from the templates (whole, cut, and set among corpus words), hard negatives (shuffled and single licence
 words among corpus words), and a bounded sample of corpus paragraphs (SAMPLE_ROWS documents). A held-out part of the
 training rows calibrates a temperature and the least probability below which a prediction falls to
 unknown. A prediction counts only if a template of its family confirms it: CONTAINED of the template's 3-grams occur in the paragraph.
 
-Every template holds one of STEMS, and so does every confirmed paragraph, so texts without any are left out
-of the scan without loss. Weights are a fixed, small table, joined to the n-grams.
+Paragraphs of several lines start at each line and end with any line that the longest template could reach from there; lines
+without words count for nothing. One counts only if no shorter one of the same family lies within it, nor an earlier one overlaps it.
+Texts and paragraphs without any of MARKS are left out of the scan without loss: a paragraph that holds CONTAINED of a
+template's 3-grams holds one of its marks. Weights are a fixed, small table, joined to the n-grams.
 
 Defined cases: null and empty texts have no licences; equal rows repeat their result.
 """
@@ -20,6 +22,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import let, pick, small, table, written
 
@@ -38,7 +41,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "public-domain": ("released into the public domain without any license", "this is free and unencumbered software released into the public domain with no license", "licensed under cc0 1.0 universal", "this work is dedicated to the public domain copyright is waived"),
     "reserved": ("copyright all rights reserved", "all rights reserved no part may be reproduced without permission", "proprietary and confidential all rights reserved", "copyright c 2020 all rights reserved"),
 }
-STEMS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "permission is hereby", "general public", "creative commons")
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 CONTAINED = 0.7
@@ -55,6 +57,33 @@ def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def _of(template: str) -> list[str]:
+    """The 3-grams of a template, or the template, if it has fewer words."""
+    words = _tokens(template)
+    n = min(3, len(words))
+    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def _marks(template: str) -> set[str]:
+    """Words of which each paragraph that holds CONTAINED of the template's 3-grams has one: without all
+    of their 3-grams too few are left. Forms of licence come first, then long words."""
+    grams = set(_of(template))
+    out: set[str] = set()
+    for w in sorted(set(_tokens(template)), key=lambda w: (not w.startswith("licens"), -len(w), w)):
+        if sum(not out & set(g.split()) for g in grams) < CONTAINED * len(grams):
+            break
+        out.add("licens" if w.startswith("licens") else w)
+        if "licens" in out:
+            out |= {x for x in _tokens(template) if x.startswith("licens")}
+    return out
+
+
+#: Every paragraph of a licence has one of these in its lower-cased text.
+MARKS = sorted({"licens" if m.startswith("licens") else m for ts in TEMPLATES.values() for t in ts for m in _marks(t)})
+#: Words of the longest template.
+LONGEST = max(len(_tokens(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def train(filler: list[str], seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
     """Vocabulary, weights (n-grams x families), biases, temperature, and least probability."""
     rng = np.random.default_rng(seed)
@@ -105,46 +134,65 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _has_stem(text: Column) -> Column:
+def _has_mark(text: Column) -> Column:
     lower = F.lower(text)
-    out = lower.contains(STEMS[0])
-    for s in STEMS[1:]:
-        out = out | lower.contains(s)
+    out = lower.contains(MARKS[0])
+    for m in MARKS[1:]:
+        out = out | lower.contains(m)
     return out
 
 
+def _paragraphs(lines: Column) -> Column:
+    """Lines (line, p, n words) to all paragraphs (line, last, p): a line, and as many of the next as LONGEST words need."""
+
+    def from_line(i):
+        rest = F.slice(lines, i + 1, F.least(F.size(lines) - i, F.lit(LONGEST)))
+        # Lines of which LONGEST words or more lie before, after the first line, are not needed.
+        many = F.size(F.filter(F.transform(rest, lambda x, at: F.aggregate(F.slice(rest, 1, at), F.lit(0), lambda a, y: a + y["n"])), lambda before: before < LONGEST))
+        return F.transform(F.sequence(F.lit(0), many), lambda m: let(F.slice(lines, i, m + 1), lambda ls: F.struct(F.element_at(ls, 1)["line"].alias("line"), F.element_at(ls, -1)["line"].alias("last"), F.array_join(F.transform(ls, lambda x: x["p"]), "\n").alias("p"))))
+
+    return F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), from_line)))
+
+
 def find_licenses(docs: DataFrame) -> DataFrame:
-    """(k, line, family, probability, template, contained) of licence paragraphs; k identifies a row by id and text."""
+    """(k, line, last, family, probability, template, contained) of licence paragraphs; k identifies a row by id and text."""
     spark = docs.sparkSession
     keyed = pick(docs, doc_id="long", text="string").where("text is not null").withColumn("k", F.xxhash64("doc_id", "text"))
     n = max(docs.count(), 1)
     sample = keyed.where(F.pmod(F.col("k"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_ROWS / n)))
-    sample = sample.select(F.explode(F.slice(F.split("text", "\n", -1), 1, 20)).alias("p")).where(~_has_stem(F.col("p"))).select(F.left("p", F.lit(400)).alias("p"))
+    sample = sample.select(F.explode(F.slice(F.split("text", "\n", -1), 1, 20)).alias("p")).where(~_has_mark(F.col("p"))).select(F.left("p", F.lit(400)).alias("p"))
     vocabulary, w, b, temperature, least = train(sorted(r["p"] for r in sample.collect()))
 
     rows = [(g, [float(v) for v in w[i]]) for i, g in enumerate(vocabulary)]
     weights = spark.createDataFrame(rows, "gram string, w array<double>")
-    triples = {(f, f"{f}/{i}", g, len(gs)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) if (gs := [g for g in _grams(_tokens(t)) if g.count(" ") == min(2, len(_tokens(t)) - 1)]) for g in gs}
+    triples = {(f, f"{f}/{i}", g, len(gs)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) if (gs := sorted(set(_of(t)))) for g in gs}
     templates = spark.createDataFrame(sorted(triples), "family string, template string, gram string, of int")
 
-    hit = keyed.where(_has_stem(F.col("text"))).dropDuplicates(["k"])
-    lines = hit.select("k", F.posexplode(F.split("text", "\n", -1)).alias("line", "p")).where(_has_stem(F.col("p")))
+    hit = keyed.where(_has_mark(F.col("text"))).dropDuplicates(["k"])
+    count = lambda p: F.size(F.array_remove(F.split(F.lower(p), "[^a-z0-9]+", -1), ""))
+    numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("p"), count(p).alias("n"))), lambda x: x["n"] > 0)
+    lines = hit.select("k", F.inline(let(numbered, _paragraphs))).where(_has_mark(F.col("p")))
     words = F.array_remove(F.split(F.lower("p"), "[^a-z0-9]+", -1), "")
 
     def grams(v: Column) -> Column:
         of = lambda m: F.when(F.size(v) >= m, F.transform(F.sequence(F.lit(1), F.size(v) - m + 1), lambda i: F.array_join(F.slice(v, i, m), " "))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
-    grams_of = written(lines.select("k", "line", F.explode(let(words, grams)).alias("gram")), "grams")
+    grams_of = written(lines.select("k", "line", "last", F.explode(let(words, grams)).alias("gram")), "grams")
     sums = [F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(len(FAMILIES))]
-    logits = grams_of.join(F.broadcast(weights), "gram").groupBy("k", "line").agg(*sums)
+    logits = grams_of.join(F.broadcast(weights), "gram").groupBy("k", "line", "last").agg(*sums)
     z = F.array(*(F.struct(((F.col(f"z{i}") + float(b[i])) / temperature).alias("z"), F.lit(f).alias("family")) for i, f in enumerate(FAMILIES)))
-    best = logits.select("k", "line", z.alias("z")).select("k", "line", "z", F.array_max("z").alias("best"))
+    best = logits.select("k", "line", "last", z.alias("z")).select("k", "line", "last", "z", F.array_max("z").alias("best"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - F.col("best.z")))
-    best = best.select("k", "line", F.col("best.family").alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    match = grams_of.join(F.broadcast(templates), "gram").groupBy("k", "line", "family", "template").agg((F.count("*") / F.max("of")).alias("contained")).where(F.col("contained") >= CONTAINED)
-    match = match.groupBy("k", "line", "family").agg(F.max(F.struct("contained", "template")).alias("m"))
-    return written(best.join(match, ["k", "line", "family"]).select("k", "line", "family", "probability", "m.template", "m.contained"), "licenses")
+    best = best.select("k", "line", "last", F.col("best.family").alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    match = grams_of.join(F.broadcast(templates), "gram").groupBy("k", "line", "last", "family", "template").agg((F.count("*") / F.max("of")).alias("contained")).where(F.col("contained") >= CONTAINED)
+    match = match.groupBy("k", "line", "last", "family").agg(F.max(F.struct("contained", "template")).alias("m"))
+    found = written(best.join(match, ["k", "line", "last", "family"]).select("k", "line", "last", "family", "probability", "m.template", "m.contained"), "found")
+    # A paragraph with a shorter one of its family goes: the first and last line of any that starts later end later, too.
+    later = W.partitionBy("k", "family").orderBy(F.desc("line"), "last").rowsBetween(W.unboundedPreceding, -1)
+    shortest = found.withColumn("within", F.min("last").over(later)).where("within is null or within > last").drop("within")
+    before = F.lag("last").over(W.partitionBy("k", "family").orderBy("line"))
+    return written(shortest.withColumn("before", before).where("before is null or before < line").drop("before"), "licenses")
 
 
 def documents_with_licenses(docs: DataFrame) -> DataFrame:

@@ -334,3 +334,13 @@ def test_license_families(spark, words):
     rows += [(9, f"{notes[1]}\n{notes[2]}")]
     got = {r.doc_id: r.families for r in licenses.documents_with_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache", 2: "mit", 3: "gpl", 4: "cc-by-nc", 5: "", 6: "", 7: "", 9: "apache,mit"}
+
+
+def test_licenses_of_wrapped_notices(spark, words):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    gpl = " * you can redistribute it and/or modify\n * it under the terms of the GNU General\n *\n * Public License as published by\n * the Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    notes = {1: mit, 2: gpl, 3: bsd, 4: f"{mit}\n{gpl}", 5: "Released under the MIT License.\nReleased under the MIT License."}
+    rows = [(i, f"{' '.join(words(30))}\n{n}\n{' '.join(words(30))}") for i, n in notes.items()]
+    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.documents_with_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1), 2: ("gpl", 1), 3: ("bsd", 1), 4: ("gpl,mit", 2), 5: ("mit", 2)}
