@@ -41,6 +41,13 @@ NOISE = re.compile(
     re.I,
 )
 MAIN_NAMES = {"article", "main"}
+#: Class names that tell of a page's layout or state, not of what an element is.
+LAYOUT = re.compile(r"^(?:has|no|with|without|is)[_-]|[_-](?:open|opened|closed|enabled|disabled)$|^(?:content|main|page|site)[_-].*[_-](?:wrap|wrapper)$", re.I)
+
+
+def noisy(value: str) -> bool:
+    """Whether a class or id names something beside the content."""
+    return any(NOISE.search(name) and not LAYOUT.search(name) for name in value.split())
 
 
 class _Page(HTMLParser):
@@ -74,9 +81,11 @@ class _Page(HTMLParser):
             self.links += 1
         bad = tag in SKIP
         main = tag in MAIN_NAMES
+        # Articles inside another are often comments or teasers, and named so.
+        outer = main and not any(at in self.mains for _, at, _ in self.stack)
         for name, value in attrs:
             if name in ("class", "id") and value:
-                bad = bad or (tag not in ("html", "body") and bool(NOISE.search(value)))
+                bad = bad or (tag not in ("html", "body") and not outer and noisy(value))
             elif name == "role" and value:
                 bad, main = bad or value.lower() in ROLES, main or value.lower() == "main"
             elif name == "itemprop" and value:

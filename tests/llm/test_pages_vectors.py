@@ -21,6 +21,17 @@ def test_region_without_article():
     assert html.extract(page) == ("long text here " * 20).strip() + "\nShort."
 
 
+@pytest.mark.parametrize("wrapper", ['div class="page has-sidebar"', 'div id="content-sidebar-wrap"', 'article class="post comments-open"', 'article class="comments"'])
+def test_wrappers_named_after_the_layout(wrapper):
+    page = f"<body><{wrapper}><p>{'long text here ' * 20}</p><div class='widget sidebar'>Links</div></{wrapper.split()[0]}></body>"
+    assert html.extract(page) == ("long text here " * 20).strip()
+
+
+def test_wrappers_of_noise_are_skipped():
+    assert html.extract("<div><p>text</p></div><div class='sidebar-wrapper'>Links</div><div id='footer-wrap'>c</div>") == "text"
+    assert html.extract("<article><p>text</p><article class='comment'>Said</article></article>") == "text"
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1)], "page_id long, url string, html string, TEXT long")
     rows = html.extract_pages(pages).collect()
