@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillspark.functions.text import content_hash
 
@@ -61,3 +62,11 @@ def chunk_rows(texts: DataFrame, key: str = "document_id", text: str = "text") -
     cut = texts.select(key, F.posexplode(pack(pieces(compact(F.coalesce(text, F.lit("")))))).alias("i", "chunk"))
     number = F.col("i") + 1
     return cut.select(F.concat_ws(":", F.col(key).cast("string"), F.lit("chunk"), number.cast("string")).alias("chunk_id"), key, number.alias("chunk_number"), F.col("chunk").alias("text"), F.left("chunk", F.lit(PREVIEW)).alias("preview"), F.length("chunk").alias("char_count"), content_hash("chunk").alias("chunk_hash"))
+
+
+def file_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of files, numbered through all texts of a file in their order, with the page range of the text they come from."""
+    cut = source_texts(files).select("document_id", "source", "pos", "page_range", F.posexplode(pack(pieces(compact("text")))).alias("i", "chunk"))
+    number = F.row_number().over(W.partitionBy("document_id").orderBy("pos", "i"))
+    rows = cut.withColumn("chunk_number", number)
+    return rows.select(F.concat_ws(":", "document_id", F.lit("chunk"), F.col("chunk_number").cast("string")).alias("chunk_id"), "document_id", "chunk_number", "source", "page_range", F.col("chunk").alias("text"), F.left("chunk", F.lit(PREVIEW)).alias("preview"), F.length("chunk").alias("char_count"), content_hash("chunk").alias("chunk_hash"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,6 +18,8 @@ from quillspark.functions.text import WHITE, normalize, strip_white
 RADIUS = 190
 QUOTE = 700
 KEY_CHARS = 120
+#: Of the rules; a cache of facts is keyed by it.
+VERSION = "1"
 
 
 @dataclass(frozen=True)
@@ -85,41 +87,11 @@ GENERIC_PACK: tuple[Rule, ...] = (
 )
 
 
-def _one(rule: Rule, number: int, chunks: DataFrame) -> DataFrame:
-    """All matches of one rule: positions follow from the lengths of gaps and matches."""
-    hit = chunks.where(F.col("text").rlike(rule.pattern)).select("*", F.split("text", rule.pattern, -1).alias("_gaps"), F.regexp_extract_all("text", F.lit(f"({rule.pattern})"), F.lit(1)).alias("_found"))
-    cells = hit.select(*chunks.columns, F.posexplode(F.arrays_zip(F.slice("_gaps", F.lit(1), F.size("_found")).alias("g"), F.col("_found").alias("f"))).alias("i", "m"))
-    upto = W.partitionBy("chunk_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.sum(F.length("m.g") + F.length("m.f")).over(upto)
-    rows = cells.withColumn("at", (end - F.length("m.f")).cast("int")).withColumn("matched", F.col("m.f"))
-    lo = F.greatest(F.lit(0), F.col("at") - rule.radius)
-    around = strip_white(F.regexp_replace(F.substring(F.col("text"), lo + 1, F.col("at") + rule.radius - lo), WHITE, " "))
-    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.length("text"))
-    sentence = F.concat(F.regexp_extract(before, r"([^.\n]*)$", 1), F.regexp_extract(after, r"^([^.\n]*)", 1))
-    rows = rows.withColumn("context", around).withColumn("sentence", sentence)
-    if rule.context:
-        rows = rows.where(F.col("context").rlike(rule.context))
-    scope = F.col(rule.scope)
-    subtype = F.lit(rule.subtype)
-    for pattern, name in reversed(rule.subtypes):
-        subtype = F.when(scope.rlike(pattern), name).otherwise(subtype)
-    if rule.capture:
-        got = F.regexp_extract("context", f"({rule.capture})", 1)
-        subtype = F.when(got != "", got).otherwise(subtype)
-    rows = rows.withColumn("subtype", subtype)
-    num = F.lit(rule.number).cast("double")
-    if rule.number_most is not None:
-        num = F.regexp_extract("matched", rule.pattern, 1).try_cast("double")
-        rows = rows.where(num <= rule.number_most)
-    value = F.concat(num.cast("int").cast("string"), F.lit(rule.value)) if rule.number_most is not None else F.lit(rule.value) if rule.value else F.when(F.col("subtype") != rule.subtype, F.col("subtype")) if rule.capture else F.col("subtype")
-    dates = dates_in(scope if rule.scope == "sentence" else F.col("context"))
-    nth = lambda n: F.try_element_at(dates, F.lit(n)) if rule.dates >= n else F.lit(None).cast("string")
-    conf = F.lit(rule.confidence) if rule.fallback is None else F.when(F.col("subtype") == rule.subtype, rule.fallback).otherwise(rule.confidence)
-    keep = [c for c in chunks.columns if c != "text"]
-    return rows.select(
-        *keep, F.lit(number).alias("rule"), "at", F.lit(rule.kind).alias("kind"), "subtype", value.alias("value"), num.alias("numeric_value"), F.lit(rule.unit or None).cast("string").alias("unit"),
-        nth(1).alias("from_date"), nth(2).alias("to_date"), conf.cast("double").alias("confidence"), F.left("context", F.lit(QUOTE)).alias("quote"),
-    )
+def _matches(pattern: str) -> Column:
+    """(at, matched) of all matches in a text: positions follow from the lengths of gaps and matches. Chunks are short, so the sums are cheap."""
+    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
+    upto = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(found, lambda m, i: F.struct((upto(gaps, i + 1) + upto(found, i)).alias("at"), m.alias("matched")))
 
 
 def _key() -> list[Column]:
@@ -127,13 +99,50 @@ def _key() -> list[Column]:
     return [text("kind"), text("subtype"), text("value"), text("numeric_value"), text("from_date"), text("to_date"), F.left("quote", F.lit(KEY_CHARS))]
 
 
-def extract_facts(chunks: DataFrame, pack: tuple[Rule, ...] = HEBREW_PACK, source: str = "regex") -> DataFrame:
-    """Facts of chunks (chunk_id, text, and other columns to carry), numbered in order of rule and position; equal ones once."""
+def _rule_rows(spark: SparkSession, pack: tuple[Rule, ...]) -> DataFrame:
+    """The pack as a table: one row for each rule."""
+    rows = [(i, r.kind, r.pattern, r.subtype, r.context, r.radius, [*r.subtypes], r.scope == "sentence", r.capture, r.value, None if r.number is None else float(r.number), None if r.number_most is None else float(r.number_most), r.unit or None, r.dates, r.confidence, r.fallback) for i, r in enumerate(pack)]
+    return spark.createDataFrame(rows, "rule int, kind string, pattern string, own string, needs string, radius int, subtypes array<struct<pattern:string,name:string>>, in_sentence boolean, capture string, said string, number double, number_most double, unit string, dates int, sure double, fallback double")
+
+
+def extract_facts(chunks: DataFrame, pack: tuple[Rule, ...] = HEBREW_PACK, source: str = "regex", version: str = VERSION) -> DataFrame:
+    """Facts of chunks (chunk_id, text, and other columns to carry), numbered in order of rule and position; equal ones once.
+
+    One scan finds the matches of all rules; what a match counts as follows from its rule. metadata tells extractor, version and chunk hash."""
     chunks = chunks.withColumn("text", strip_white("text"))
-    out = None
-    for i, rule in enumerate(pack):
-        rows = _one(rule, i, chunks)
-        out = rows if out is None else out.unionByName(rows)
+    carried = [c for c in chunks.columns if c != "text"]
+
+    def found(number: int, r: Rule) -> Column:
+        all_of = F.transform(_matches(r.pattern), lambda m: F.struct(F.lit(number).alias("rule"), m["at"].alias("at"), m["matched"].alias("matched")))
+        return F.when(F.col("text").rlike(r.pattern), all_of)
+
+    per = F.array(*(found(i, r) for i, r in enumerate(pack)))
+    rows = chunks.select("*", F.explode(F.flatten(F.filter(per, lambda x: x.isNotNull()))).alias("m")).select(*chunks.columns, "m.*")
+    rows = rows.join(F.broadcast(_rule_rows(chunks.sparkSession, pack)), "rule")
+    lo = F.greatest(F.lit(0), F.col("at") - F.col("radius"))
+    around = strip_white(F.regexp_replace(F.substring(F.col("text"), lo + 1, F.col("at") + F.col("radius") - lo), WHITE, " "))
+    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.length("text"))
+    sentence = F.concat(F.regexp_extract(before, r"([^.\n]*)$", 1), F.regexp_extract(after, r"^([^.\n]*)", 1))
+    rows = rows.withColumn("context", around).withColumn("scope", F.when(F.col("in_sentence"), sentence).otherwise(F.col("context"))).drop("text")
+    rows = rows.where(F.regexp_like("context", F.col("needs")))
+    named = F.try_element_at(F.filter("subtypes", lambda x: F.regexp_like(F.col("scope"), x["pattern"])), F.lit(1))["name"]
+    captured = F.when(F.col("capture") != "", F.nullif(F.regexp_substr("context", F.col("capture")), F.lit("")))
+    rows = rows.withColumn("subtype", F.coalesce(captured, named, "own"))
+    rows = rows.withColumn("numeric_value", F.when(F.col("number_most").isNotNull(), F.expr("try_cast(regexp_extract(matched, pattern, 1) as double)")).otherwise(F.col("number")))
+    rows = rows.where("number_most is null or numeric_value <= number_most")
+    value = (
+        F.when(F.col("number_most").isNotNull(), F.concat(F.col("numeric_value").cast("int").cast("string"), "said")).when(F.col("said") != "", F.col("said"))
+        .when(F.col("capture") != "", F.when(F.col("subtype") != F.col("own"), F.col("subtype"))).otherwise(F.col("subtype"))
+    )
+    rows = rows.withColumn("found_dates", F.when(F.col("dates") > 0, dates_in("scope")))
+    nth = lambda n: F.when(F.col("dates") >= n, F.try_element_at("found_dates", F.lit(n)))
+    conf = F.when(F.col("subtype") == F.col("own"), F.coalesce("fallback", "sure")).otherwise(F.col("sure"))
+    digest = F.col("chunk_hash") if "chunk_hash" in carried else F.lit(None).cast("string")
+    out = rows.select(
+        *carried, "rule", "at", "kind", "subtype", value.alias("value"), "numeric_value", "unit",
+        nth(1).alias("from_date"), nth(2).alias("to_date"), conf.alias("confidence"), F.left("context", F.lit(QUOTE)).alias("quote"),
+        F.to_json(F.struct(F.lit(source).alias("extractor"), F.lit(version).alias("version"), digest.alias("chunk_hash"), F.col("at").alias("at"))).alias("metadata"),
+    )
     first = F.row_number().over(W.partitionBy("chunk_id", *_key()).orderBy("rule", "at"))
     out = out.withColumn("_f", first).where("_f = 1").drop("_f")
     n = F.row_number().over(W.partitionBy("chunk_id").orderBy("rule", "at"))
@@ -156,16 +165,35 @@ def merge_facts(regex: DataFrame, other: DataFrame) -> DataFrame:
     return both.withColumn("_r", rank).where("_r = 1").drop("_r", "_p")
 
 
-def with_provider(chunks: DataFrame, provider, cache: DataFrame | None = None, version: str = "1") -> DataFrame:
-    """Drafts of a provider (a mapInPandas function from chunk_id, text to DRAFTS) for chunks that the cache
-    (chunk_hash, version and draft columns) doesn't hold, and the cache's for the others."""
+def _in_batches(provider, size: int):
+    """The provider, called with at most `size` chunks at once."""
+
+    def run(frames):
+        for f in frames:
+            for at in range(0, len(f), size):
+                yield from provider(iter([f.iloc[at : at + size]]))
+
+    return run
+
+
+def with_provider(chunks: DataFrame, provider, cache: DataFrame | None = None, version: str = VERSION, batch: int = 5, calls: int = 8) -> DataFrame:
+    """Drafts of a provider (a mapInPandas function from chunk_id, text to DRAFTS) for chunks that the cache (chunk_hash, version
+    and draft columns) doesn't hold, and the cache's for the others, under the ids of these chunks.
+
+    The provider gets `batch` chunks in a call, and at most `calls` calls run at once. Where chunks have an observed_date, drafts get it."""
     keyed = chunks.withColumn("version", F.lit(version))
     fresh = keyed if cache is None else keyed.join(cache.select("chunk_hash", "version").distinct(), ["chunk_hash", "version"], "left_anti")
-    made = fresh.select("chunk_id", "text").mapInPandas(provider, DRAFTS)
-    if cache is None:
-        return made
-    old = keyed.select("chunk_id", "chunk_hash", "version").join(cache.drop("chunk_id"), ["chunk_hash", "version"]).select(*made.columns)
-    return made.unionByName(old)
+    made = fresh.select("chunk_id", "text").repartition(calls, "chunk_id").mapInPandas(_in_batches(provider, batch), DRAFTS)
+    if cache is not None:
+        old = keyed.select("chunk_id", "chunk_hash", "version").join(cache.drop("chunk_id"), ["chunk_hash", "version"]).select(*made.columns)
+        made = made.unionByName(old)
+    return made.join(chunks.select("chunk_id", "observed_date"), "chunk_id", "left") if "observed_date" in chunks.columns else made
+
+
+def numbered(facts: DataFrame, name: str = "fact") -> DataFrame:
+    """facts with ids anew, in order of kind, subtype and quote within a chunk."""
+    n = F.row_number().over(W.partitionBy("chunk_id").orderBy("kind", "subtype", "quote"))
+    return facts.withColumn("fact_id", F.concat_ws(":", "chunk_id", F.lit(name), n.cast("string")))
 
 
 DRAFTS = "chunk_id string, kind string, subtype string, value string, numeric_value double, unit string, from_date string, to_date string, confidence double, quote string"

@@ -142,6 +142,17 @@ def stage_events(activity: DataFrame, cases: DataFrame) -> DataFrame:
     return log.unionByName(backfill(now.where("stage is not null and occurred_at is not null"), log))
 
 
+def stage_names(cases: DataFrame) -> DataFrame:
+    """The stage dimension: one row for each stage that a case is in."""
+    return cases.where("legalStage is not null").select(F.col("legalStage").alias("name")).distinct()
+
+
+def reached_stages(events: DataFrame) -> DataFrame:
+    """case_id, stage, at, source of the event written last: the greatest time, then key."""
+    last = F.max_by(F.struct("occurred_at", "source"), F.struct("occurred_at", "key"))
+    return events.groupBy("case_id", "stage").agg(last.alias("e")).select("case_id", "stage", F.col("e.occurred_at").alias("at"), "e.source")
+
+
 def backfill(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     """Snapshots of stages for which the case has no event."""
     return snapshots.join(events.select("case_id", "stage").distinct(), ["case_id", "stage"], "left_anti").select(*snapshots.columns)

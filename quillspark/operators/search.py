@@ -1,7 +1,8 @@
 """Full-text search by prefix terms, and medical evidence search with term expansion.
 
 Score of a text: the sum over query terms that prefix one of its words of ln(1 + count) * ln(1 + N / df); ties go to the lesser id.
-Terms are expressions over the words array, so a search is one scan, one aggregate for df, and a top-k."""
+Terms are expressions over the words array, so a search is one scan, one aggregate for df, and a top-k. Tables that are searched often
+get an inverted index, of which a search reads only the words with its prefixes."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ SPINE = ("עמוד שדרה", "שדרה", "תעלת השדרה", "גב", "צוו
 NEUROLOGICAL_INTENT = re.compile("נוירולוג|עצב|עצבי|תחושה|נימול|רדימות|הקרנה|emg", re.I)
 SPINE_INTENT = re.compile("עמוד|שדרה|גב|צוואר|צואר|דיסק|חוליה|מותני|צווארי|צוארי", re.I)
 SPECIALS = re.compile(r"[+\-&|!(){}\[\]^\"~*?:\\/]")
+#: Default of the chunks that the medical search takes from full text; None takes all.
 CANDIDATES = 500
 
 
@@ -51,6 +53,25 @@ def fulltext(rows: DataFrame, query: str, key: str, text: str = "text", limit: i
     return found.select(*rows.columns, score.alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
+def build_index(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """word, key, count, n (texts in all), to be written sorted by word: prefixes are then pushed down to few row groups."""
+    words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w@.-]+"), lambda w: w != "")).alias("word"))
+    n = rows.agg(F.count("*").alias("n"), F.lit(1).alias("_one"))
+    counted = words.groupBy("word", key).agg(F.count("*").alias("count")).withColumn("_one", F.lit(1))
+    return counted.join(F.broadcast(n), "_one").drop("_one").repartitionByRange("word").sortWithinPartitions("word")
+
+
+def search_index(index: DataFrame, query: str, key: str, limit: int = 10) -> DataFrame:
+    """key, score of the texts that fulltext() would find, from an index."""
+    hits = None
+    for t in query_terms(query):
+        some = index.where(F.col("word").startswith(t)).groupBy(key).agg(F.sum("count").alias("c"), F.max("n").alias("n")).withColumn("term", F.lit(t))
+        hits = some if hits is None else hits.union(some)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    scored = hits.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(F.log1p("c") * F.log1p(F.col("n") / F.col("df"))).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+
+
 def search_evidence(chunks: DataFrame, facts: DataFrame, cases: DataFrame, query: str, limit: int = 10, kinds: tuple[str, ...] = (), **equal: str) -> DataFrame:
     """Chunks and facts that match a query, under filters on case columns and fact kinds, by score and case name."""
     c = cases

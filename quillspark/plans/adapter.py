@@ -103,7 +103,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         cases=cases, documents=documents, communications=communications, activities=activities, stage_events=stage_events, injuries=injuries,
         body_parts=parts.select("case_id", F.lower("p_brand").alias("normalized"), F.col("p_brand").alias("name")).distinct(),
         insurers=suppliers.join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("case_id", F.lower("n_name").alias("normalized"), F.col("n_name").alias("name")).distinct(),
-        experts=suppliers.where("l_suppkey % 10 = 0 and l_returnflag in ('A', 'R')").select("case_id", F.lower("s_name").alias("key"), F.col("s_name").alias("name"), F.when(F.col("l_returnflag") == "A", "ours").otherwise("court").alias("side")).distinct(),
+        experts=suppliers.where("l_returnflag in ('A', 'R')").select("case_id", F.lower("s_name").alias("key"), F.col("s_name").alias("name"), F.when(F.col("l_returnflag") == "A", "ours").otherwise("court").alias("side")).distinct(),
         contacts=contacts, case_contacts=suppliers.select("case_id", F.col("l_suppkey").alias("contact_id")).distinct(),
         valuations=valuations, components=wide, facts=facts, embeddings=t("embeddings").select(F.col("vec_id").alias("case_id"), "embedding"), texts=texts,
     )

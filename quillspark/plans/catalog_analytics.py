@@ -29,7 +29,7 @@ def reach(p):
 
 def neighbours(p):
     """The published similarity edges: a derived table that feeds several joins."""
-    return materialize(similarity.prune(materialize(similarity.similar_pairs(materialize(case_signals(p), "signals"), p.embeddings), "pairs")), "neighbours")
+    return materialize(similarity.neighbours(materialize(case_signals(p), "signals"), p.embeddings), "neighbours")
 
 
 @R.add("cohort_common_signals", "SELECT cohort_key, scope, scope_type, stage, sub_stage, signal_key, round(support, 6) AS support, round(lift, 6) AS lift, round(weight, 6) AS weight, median_lead_days, position FROM common")
@@ -105,13 +105,40 @@ def _(p):
 
 @R.add(
     "similarity_reasons",
-    """SELECT case_a, case_b, array_to_string(list_slice(list(a.signal_key ORDER BY round(weight, 9) DESC, a.signal_key), 1, 3), ',') AS reasons FROM sim JOIN sig a ON a.case_id = case_a JOIN sig b ON b.case_id = case_b AND a.signal_key = b.signal_key JOIN idf ON idf.signal_key = a.signal_key GROUP BY 1, 2""",
+    """SELECT case_a, case_b, array_to_string(list_slice(list(a.signal_key ORDER BY round(weight, 9) DESC, a.signal_key), 1, 3), ',') || CASE WHEN any_value(semantic_score) >= 0.7 THEN ',Semantic summary match' ELSE '' END AS reasons
+  FROM sim JOIN sig a ON a.case_id = case_a JOIN sig b ON b.case_id = case_b AND a.signal_key = b.signal_key JOIN idf ON idf.signal_key = a.signal_key GROUP BY 1, 2""",
 )
 def _(p):
-    pairs = similarity.reasons(neighbours(p).withColumn("semantic_score", F.lit(None).cast("double")))
+    own = materialize(case_signals(p), "signals")
+    pairs = similarity.reasons(similarity.overlaps(materialize(similarity.neighbours(own, p.embeddings), "neighbours"), own))
     return pairs.select("case_a", "case_b", F.array_join("reasons", ",").alias("reasons"))
 
 
+@R.add(
+    "embedding_texts",
+    """, x AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM injuries GROUP BY 1), y AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM body_parts GROUP BY 1), z AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM insurers GROUP BY 1)
+SELECT case_id, concat_ws(chr(10), 'name: ' || case_name, 'type: ' || case_type, 'stage: ' || legal_stage, 'phase: ' || phase, 'main injury: ' || main_injury, 'injuries: ' || x.t, 'body parts: ' || y.t, 'insurers: ' || z.t) AS text FROM cases LEFT JOIN x USING (case_id) LEFT JOIN y USING (case_id) LEFT JOIN z USING (case_id)""",
+)
+def _(p):
+    return similarity.embedding_text(p.cases, p.injuries, p.body_parts, p.insurers)
+
+
+def _lengths(batches):
+    """A stand-in for an embedding model: numbers of a text that SQL can count as well."""
+    for b in batches:
+        yield b.assign(embedding=[[float(len(t)), float(t.count("o")), float(t.count("e")), 1.0] for t in b["text"]])[["case_id", "embedding"]]
+
+
+@R.add(
+    "similarity_with_provider",
+    """, x AS (SELECT case_id, case_name || chr(10) || case_type AS t FROM cases), e AS (SELECT case_id, [length(t), length(t) - length(replace(t, 'o', '')), length(t) - length(replace(t, 'e', '')), 1]::DOUBLE[] AS e FROM x)
+SELECT case_a, case_b, round(list_cosine_similarity(a.e, b.e), 6) AS semantic_score FROM sp JOIN e a ON a.case_id = case_a JOIN e b ON b.case_id = case_b WHERE 0.55 * signal_score + 0.45 * list_cosine_similarity(a.e, b.e) >= 0.8""",
+)
+def _(p):
+    made = similarity.with_embeddings(p.cases.select("case_id", F.concat_ws("\n", "case_name", "case_type").alias("text")), _lengths)
+    return similarity.similar_pairs(materialize(case_signals(p), "signals"), made, min_score=0.8).select("case_a", "case_b", *r6("semantic_score"))
+
+
 @R.add(
     "weighted_quantiles",
     """SELECT case_type, min(months_since_event) FILTER (run >= total * 0.25) AS p25, min(months_since_event) FILTER (run >= total * 0.5) AS p50, min(months_since_event) FILTER (run >= total * 0.75) AS p75

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import chunks, facts, ingest, search
+from quillspark.sources.scratch import materialize
 
 from .registry import Registry
 
@@ -77,15 +78,18 @@ def _(spark, sf_dir):
     return docs.select("doc_id", tx.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
-@R.add(
-    "document_chunks",
-    r"""WITH t AS (SELECT doc_id AS document_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+_CHUNKS = r"""WITH t AS (SELECT doc_id AS document_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
 p AS (SELECT document_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM t),
 q AS (SELECT document_id, flatten(list_transform(ps, lambda x: CASE WHEN length(x) > 2600 THEN list_transform(range(0, (length(x) - 1) // 2200 + 1), lambda i: substring(x, i * 2200 + 1, 2200)) ELSE [x] END)) AS ps FROM p),
 r AS (SELECT document_id, list_reduce(list_transform(ps, lambda x: {'done': []::VARCHAR[], 'open': x}), lambda a, b: CASE WHEN length(a.open || chr(10) || chr(10) || b.open) <= 2600 THEN {'done': a.done, 'open': a.open || chr(10) || chr(10) || b.open}
   ELSE {'done': list_append(a.done, a.open), 'open': CASE WHEN trim(right(a.open, 180)) = '' THEN b.open ELSE trim(right(a.open, 180)) || chr(10) || chr(10) || b.open END} END) AS r FROM q WHERE len(ps) > 0),
-c AS (SELECT document_id, unnest(list_append(r.done, r.open)) AS chunk, generate_subscripts(list_append(r.done, r.open), 1) AS n FROM r)
-SELECT document_id || ':chunk:' || n AS chunk_id, document_id, n AS chunk_number, length(chunk) AS char_count, sha256(trim(regexp_replace(chunk, '\s+', ' ', 'g'))) AS chunk_hash FROM c""",
+c AS (SELECT document_id, unnest(list_append(r.done, r.open)) AS chunk, generate_subscripts(list_append(r.done, r.open), 1) AS n FROM r)"""
+
+
+@R.add(
+    "document_chunks",
+    _CHUNKS
+    + r"""SELECT document_id || ':chunk:' || n AS chunk_id, document_id, n AS chunk_number, length(chunk) AS char_count, sha256(trim(regexp_replace(chunk, '\s+', ' ', 'g'))) AS chunk_hash FROM c""",
     base=False,
 )
 def _(spark, sf_dir):
@@ -93,11 +97,23 @@ def _(spark, sf_dir):
     return chunks.chunk_rows(docs).select("chunk_id", "document_id", F.col("chunk_number").cast("long"), F.col("char_count").cast("long"), "chunk_hash")
 
 
-@R.add("evidence_facts_generic")
+_RULES = r"""
+x AS (SELECT document_id, document_id || ':chunk:' || n AS chunk_id, chunk AS t FROM c),
+rules(rule, p) AS (VALUES (0, '[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,10}'), (1, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b'), (2, '(?i)licensed under|released under')),
+m AS (SELECT document_id, chunk_id, t, rule, CASE rule WHEN 0 THEN regexp_extract_all(t, '[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,10}') WHEN 1 THEN regexp_extract_all(t, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') ELSE regexp_extract_all(t, '(?i)licensed under|released under') END AS f,
+  CASE rule WHEN 0 THEN regexp_split_to_array(t, '[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,10}') WHEN 1 THEN regexp_split_to_array(t, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') ELSE regexp_split_to_array(t, '(?i)licensed under|released under') END AS g FROM x, rules),
+hit AS (SELECT document_id, chunk_id, t, rule, f, g, unnest(range(1, len(f) + 1)) AS i FROM m WHERE len(f) > 0),
+pos AS (SELECT *, (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0))::BIGINT AS place FROM hit),
+ctx AS (SELECT *, trim(regexp_replace(substring(t, greatest(0, place - 190) + 1, place + 190 - greatest(0, place - 190)), '\s+', ' ', 'g')) AS q FROM pos),
+fact AS (SELECT DISTINCT document_id, chunk_id, rule, (['email', 'network', 'licence'])[rule + 1] AS kind, CASE rule WHEN 0 THEN 'address' WHEN 1 THEN 'ip' ELSE CASE WHEN regexp_matches(q, '(?i)apache') THEN 'apache' WHEN regexp_matches(q, '(?i)\bmit\b') THEN 'mit' WHEN regexp_matches(q, '(?i)gnu') THEN 'gpl' WHEN regexp_matches(q, '(?i)\bcc\b') THEN 'cc' ELSE 'notice' END END AS subtype, left(q, 120) AS q FROM ctx)
+SELECT chunk_id, kind, subtype, count(*) AS facts, CASE WHEN rule = 0 THEN 0.95 WHEN rule = 1 OR subtype <> 'notice' THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM fact GROUP BY ALL"""
+
+
+@R.add("evidence_facts_generic", _CHUNKS + "," + _RULES, base=False)
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
-    rows = facts.extract_facts(chunks.chunk_rows(docs).select("chunk_id", "document_id", "text"), facts.GENERIC_PACK)
-    return rows.groupBy("kind", "subtype").agg(F.count("*").alias("facts"), F.countDistinct("document_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    rows = facts.extract_facts(chunks.chunk_rows(docs).select("chunk_id", "document_id", "text", "chunk_hash"), facts.GENERIC_PACK)
+    return rows.groupBy("chunk_id", "kind", "subtype").agg(F.count("*").alias("facts"), F.max("confidence").alias("confidence"))
 
 
 @R.add(
@@ -114,6 +130,13 @@ def _(spark, sf_dir):
     return search.fulltext(docs, "licen* apache", "doc_id", limit=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@R.add("fulltext_index_search", ORACLE_SQL["fulltext_search"], base=False)
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    index = materialize(search.build_index(docs, "doc_id"), "index")
+    return search.search_index(index, "licen* apache", "doc_id", limit=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _NEURO, _SPINE = ("ther", "promo"), ("tion", "brand#2")
 
 

@@ -12,7 +12,7 @@ sup AS (SELECT * FROM lin JOIN supplier ON l_suppkey = s_suppkey),
 injuries AS (SELECT case_id, lower(p_type) AS normalized, p_type AS name, CASE WHEN bool_or(l_returnflag = 'R') THEN 'current' ELSE 'initial' END AS status FROM prt GROUP BY case_id, p_type),
 body_parts AS (SELECT DISTINCT case_id, lower(p_brand) AS normalized, p_brand AS name FROM prt),
 insurers AS (SELECT DISTINCT case_id, lower(n_name) AS normalized, n_name AS name FROM sup JOIN nation ON s_nationkey = n_nationkey),
-experts AS (SELECT DISTINCT case_id, lower(s_name) AS key, s_name AS name, CASE l_returnflag WHEN 'A' THEN 'ours' ELSE 'court' END AS side FROM sup WHERE l_suppkey % 10 = 0 AND l_returnflag IN ('A', 'R')),
+experts AS (SELECT DISTINCT case_id, lower(s_name) AS key, s_name AS name, CASE l_returnflag WHEN 'A' THEN 'ours' ELSE 'court' END AS side FROM sup WHERE l_returnflag IN ('A', 'R')),
 contacts AS (SELECT s_suppkey AS contact_id, s_name AS name, 'contact ' || (s_suppkey % 40) AS normalized_name, (['insurer', 'lawyer', 'client'])[s_suppkey % 3 + 1] AS contact_type, s_suppkey % 2 = 0 AS has_phone, s_acctbal > 0 AS has_email FROM supplier),
 case_contacts AS (SELECT DISTINCT case_id, l_suppkey AS contact_id FROM sup),
 po AS (SELECT case_id, min(o_orderdate) AS event_date, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, list(DISTINCT o_orderpriority) AS used FROM ord GROUP BY 1),

@@ -1,49 +1,50 @@
-"""Sinks over Parquet tables: keyed upsert, edge upsert, replacement, cache, clearing.
+"""Sinks over Parquet tables: keyed upsert, edge upsert, replacement, bounded history, cache, clearing.
 
-A table is a folder of versions and a pointer file; readers follow the pointer, so a replacement becomes
-visible at once or, if its write fails, not at all."""
+A table is a folder of versions, and an empty pointer file for each that is whole. The pointer of the greatest number is the current
+one: it appears at once when its version is written, and no earlier one is touched before, so a table is never without content.
+Of the older versions KEPT stay, for readers that have opened them."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+KEPT = 1
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _pointer(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, f"{path}/current.json")
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions, the current one last."""
+    p, fs = _fs(spark, path)
     if not fs.exists(p):
-        return None
-    rows = spark.read.text(f"{path}/current.json").collect()  # one line
-    return json.loads(rows[0][0])["version"]
+        return []
+    return sorted(n.removeprefix("current-") for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.startswith("current-"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The current version, or None for a table that was never written."""
-    version = _pointer(spark, path)
-    return spark.read.parquet(f"{path}/{version}") if version else None
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
 
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Publishes df as the table's whole content."""
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    before = _versions(spark, path)
+    version = f"{int(before[-1].split('-')[0]) + 1 if before else 0:010d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    new, fs = _fs(spark, f"{path}/{version}.json")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    current, _ = _fs(spark, f"{path}/current.json")
-    fs.delete(current, False)
-    fs.rename(new, current)
+    pointer, fs = _fs(spark, f"{path}/current-{version}")
+    fs.create(pointer, False).close()
+    for old in before[: max(0, len(before) - KEPT)]:
+        for name in (f"current-{old}", old):  # the pointer first: a version without one is not seen
+            fs.delete(_fs(spark, f"{path}/{name}")[0], True)
 
 
 def upsert_rows(df: DataFrame, path: str, keys: list[str], order: str | None = None) -> None:
@@ -61,6 +62,22 @@ def upsert_edges(df: DataFrame, path: str, src: DataFrame, dst: DataFrame, src_k
     upsert_rows(kept, path, [src_key, dst_key, *extra])
 
 
+def upsert_last(df: DataFrame, path: str, group: str, order: str, keep: int = 20, ceiling: int = 2000) -> None:
+    """Adds rows by (group, order), of which each group keeps the last `keep`, at most `ceiling`: a bounded history."""
+    spark = df.sparkSession
+    old = read_table(spark, path)
+    both = df if old is None else old.join(df.select(group, order), [group, order], "left_anti").unionByName(df, allowMissingColumns=True)
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc(order)))
+    replace_table(both.withColumn("_rank", rank).where(F.col("_rank") <= min(keep, ceiling)).drop("_rank"), path)
+
+
+def add_to_cache(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes entries (keyed by version and content hash) that a cache doesn't hold yet; entries never change."""
+    fresh = cache_misses(df, read_table(df.sparkSession, path), keys).dropDuplicates(keys)
+    old = read_table(df.sparkSession, path)
+    replace_table(fresh if old is None else old.unionByName(fresh), path)
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame | None, keys: list[str]) -> DataFrame:
     """Rows without an entry in a cache table keyed by version and content hash."""
     return wanted if cache is None else wanted.join(cache.select(*keys).distinct(), keys, "left_anti")
