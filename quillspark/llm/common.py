@@ -11,13 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python worker; longer texts form a chunk of their own.
 CHUNK_BYTES = 1 << 20
 #: Rows handled at once, so that a row number fits into 16 bits.
 CHUNK_ROWS = 1 << 15
-#: Largest table, in rows, that is sent to every executor; beyond it a shuffled join is used.
-BROADCAST_ROWS = 50_000
+#: Largest table that is sent to every executor, in bytes and in rows; beyond it a shuffled join is used.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 200_000
+#: A key with more than this share of a table's rows is joined by broadcast: there are at most 1 / HEAVY of them.
+HEAVY = 1 / 2000
 
 
 # ---------------------------------------------------------------- tables
@@ -35,12 +38,28 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return plain.select(*(F.col(f"_p{names.index(c)}").cast(t).alias(c) for c, t in types.items()))
 
 
+def row_key(doc_id, text):
+    """128 bits that stand for a row's id and text; a null text counts as an empty one."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.unhex(F.md5(F.concat(F.coalesce(c(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c(text), F.lit("")))))
+
+
+def share(key, rows: int, of: int):
+    """A condition that keeps about `rows` of `of` rows by a 64-bit hash column; exact at every size."""
+    if rows >= of:
+        return F.lit(True)
+    return key < F.lit((rows << 64) // of - (1 << 63))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir, or, only
-    where that is unset (local tests), a temporary folder."""
+    where that is unset and the session is local (tests), a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
     return sc.getCheckpointDir()
 
 
@@ -51,9 +70,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most `rows` rows; else it joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(field: T.StructField):
+    """About how many bytes a value takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks df for broadcast if it has at most `most` bytes and `rows` rows, which are counted; else it joins by shuffle."""
+    sized = df.limit(rows + 1).select(sum((_bytes(f) for f in df.schema), F.lit(16)).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if sized["n"] <= rows and sized["b"] <= most else df
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each key and the number n of its rows in left, of total. Keys with more than
+    HEAVY of all rows, of which there can only be 1 / HEAVY, are broadcast, so that no task gets all rows of one."""
+    limit = max(1, int(total * HEAVY))
+    heavy = right.where(F.col(n) > limit)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(n) <= limit), key)
+    return left.join(F.broadcast(heavy), key).unionByName(rest)
 
 
 def let(value, body):
