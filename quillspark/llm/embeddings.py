@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, pick, table, written
+from .common import components, pick, share, table, written
 
 COSINE = 0.93
 RECALL = 0.98
@@ -177,8 +177,10 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         own = classes.where(F.size("x") == d)
         bits, tables = plan_tables(n)
         total = own.count()
-        sample = own.select("x").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_ROWS / max(total, SAMPLE_ROWS)))
+        sample = own.select("x").where(share(F.xxhash64("key"), SAMPLE_ROWS, total))
         sample = np.array([r["x"] for r in sample.collect()]).reshape(-1, d)
+        if total and not len(sample):
+            raise RuntimeError("no vector was drawn to learn the rotations from")
         sample = sample[np.lexsort(sample.T)]
         projection = learn(sample, bits * tables)
 

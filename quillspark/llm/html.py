@@ -2,13 +2,16 @@
 
 The standard library's HTML parser streams events. Block elements cut the page into lines (blocks of text); for each line
 the ratio of its text to its tags is taken, smoothed with a Gaussian over its neighbours, and the smoothed ratios are
-clustered in two by a threshold. The text of the upper cluster selects the content region: the article-like element
-that holds most of it, or, on pages without one, the innermost block element that holds nearly all of it. The region's
-lines are the text; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments never count, by element, role or class and id names.
+clustered in two by a threshold; lines of mostly links are never of the upper cluster. The text of the upper cluster selects the
+region: the article-like element that holds most of it, whose lines are all text, or, on pages without one, the innermost block
+element that holds nearly all of it. There the upper cluster selects the lines as well: those from its first to its last line, and
+those of blocks that directly hold one of it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments never count, by element, role or class and id names; an element that is only named so counts if it
+holds the article or, on pages without one, WRAPS of the text.
 
 Defined cases: null and empty pages, and pages without content, give an empty text; unclosed elements end with
-their parent or the page; equal rows repeat their result.
+their parent or the page; very long and deeply nested pages take time in proportion; equal rows repeat their result; columns that
+differ from the three only in case do no harm.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ SIGMA = 1.0
 RADIUS = 3
 #: Share of the upper cluster's text that a region of a page without an article must hold.
 HOLDS = 0.9
-#: Share of a line's text inside links from which it is a menu, on pages without an article.
+#: Share of a line's text inside links from which it is of the lower cluster.
 LINKS = 0.6
+#: Share of the text of a page without an article from which an element is a wrapper, whatever its name.
+WRAPS = 0.75
 
 # Names of HTML elements and attributes, and customary class names.
 SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "textarea", "svg", "iframe", "object", "head", "dialog", "menu", "canvas", "audio", "video", "title"}
@@ -51,12 +56,14 @@ def noisy(value: str) -> bool:
 
 
 class _Page(HTMLParser):
-    """Lines as [text parts, tags, characters in links, ids of enclosing elements]; main elements by id."""
+    """Lines as (text, tags, characters in links, enclosing element). Elements are numbered in order of their start, so parents come
+    first: parents, and sets of those that are article-like or only named like something beside the content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines, self.stack, self.mains, self.parents = [], [], set(), {}
-        self.skipped = self.links = self.count = 0
+        self.lines, self.stack, self.parents, self.mains, self.named = [], [], [0], set(), set()
+        self.skipped = self.links = self.open_mains = 0
+        self.open: dict[str, int] = {}
         self.parts, self.tags, self.linked = [], 0, 0
 
     def cut(self):
@@ -68,8 +75,10 @@ class _Page(HTMLParser):
 
     def pop(self, to: int):
         while len(self.stack) > to:
-            _, _, skip = self.stack.pop()
+            tag, at, skip = self.stack.pop()
+            self.open[tag] -= 1
             self.skipped -= skip
+            self.open_mains -= at in self.mains
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -79,13 +88,12 @@ class _Page(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        bad = tag in SKIP
-        main = tag in MAIN_NAMES
+        bad, named, main = tag in SKIP, False, tag in MAIN_NAMES
         # Articles inside another are often comments or teasers, and named so.
-        outer = main and not any(at in self.mains for _, at, _ in self.stack)
+        outer = main and not self.open_mains
         for name, value in attrs:
             if name in ("class", "id") and value:
-                bad = bad or (tag not in ("html", "body") and not outer and noisy(value))
+                named = named or (tag not in ("html", "body") and not outer and noisy(value))
             elif name == "role" and value:
                 bad, main = bad or value.lower() in ROLES, main or value.lower() == "main"
             elif name == "itemprop" and value:
@@ -94,22 +102,26 @@ class _Page(HTMLParser):
                 bad = True
         if tag in BLOCK or tag in SKIP:
             self.cut()
-            if tag == "body":  # ends a head whose end tag is missing
-                self.pop(next((i for i, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+            if tag == "body" and self.open.get("head"):  # ends a head whose end tag is missing
+                self.pop(next(i for i, x in enumerate(self.stack) if x[0] == "head"))
             # A new block ends an open paragraph, whose end tag may be missing.
-            for i in range(len(self.stack) - 1, -1, -1):
+            for i in range(len(self.stack) - 1, -1, -1) if self.open.get("p") else ():
                 if self.stack[i][0] in FRAME or self.stack[i][0] in SKIP:
                     break
                 if self.stack[i][0] == "p":
                     self.pop(i)
                     break
-        if (tag in FRAME or tag in SKIP or bad) and tag not in VOID:
-            self.count += 1
-            self.parents[self.count] = self.stack[-1][1] if self.stack else 0
-            self.stack.append((tag, self.count, int(bad)))
+        if (tag in FRAME or tag in SKIP or bad or named) and tag not in VOID:
+            at = len(self.parents)
+            self.parents.append(self.stack[-1][1] if self.stack else 0)
+            self.stack.append((tag, at, int(bad)))
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.skipped += bad
-            if main and not bad:
-                self.mains.add(self.count)
+            if named:
+                self.named.add(at)
+            elif main and not bad:
+                self.mains.add(at)
+                self.open_mains += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -122,7 +134,7 @@ class _Page(HTMLParser):
             self.links -= 1
         if tag in BLOCK or tag in SKIP:
             self.cut()
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
             if self.stack[i][0] == tag:
                 self.pop(i)
                 break
@@ -163,43 +175,70 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def _held(parents: list[int], sizes: list[float]) -> list[float]:
+    """What each element holds with all inside it. Children have greater numbers than their parents."""
+    held = list(sizes)
+    for at in range(len(parents) - 1, 0, -1):
+        held[parents[at]] += held[at]
+    return held
+
+
+def _content(page: _Page) -> list[tuple[str, int, int, int]]:
+    """The page's lines without those of elements named like something beside the content."""
+    n = len(page.parents)
+    if not page.named:
+        return page.lines
+    sizes, mains = [0.0] * n, [0.0] * n
+    for text, _, _, at in page.lines:
+        sizes[at] += len(text)
+    for at in page.mains:
+        mains[at] = 1.0
+    held, of_mains = _held(page.parents, sizes), _held(page.parents, mains)
+    noise = [False] * n
+    for at in range(1, n):
+        wraps = of_mains[at] > 0 or not page.mains and held[at] >= WRAPS * held[0]
+        noise[at] = noise[page.parents[at]] or at in page.named and not wraps
+    page.mains = {at for at in page.mains if not noise[at]}
+    return [x for x in page.lines if not noise[x[3]]]
+
+
 def extract(html: str | None) -> str:
     """The main text of one page, blocks joined by a newline."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.cut()
-    lines = page.lines
+    lines = _content(page)
     if not lines:
         return ""
-    ratio = smoothed([len(t) / (1 + tags) for t, tags, _, _ in lines])
+    raw = [len(t) / (1 + tags) for t, tags, _, _ in lines]
+    ratio = smoothed(raw)
     cut = threshold(ratio)
-    within: dict[int, float] = {}
-    upper = 0.0
-    for (text, _, _, at), r in zip(lines, ratio, strict=True):
+    upper = [r >= cut and linked <= LINKS * len(t) for (t, _, linked, _), r in zip(lines, ratio, strict=True)]
+    n = len(page.parents)
+    sizes = [0.0] * n
+    for (text, _, _, at), up in zip(lines, upper, strict=True):
         # The lower cluster decides only between regions without any of the upper one.
-        size = len(text) * (1.0 if r >= cut else 1e-6)
-        upper += size
-        while True:
-            within[at] = within.get(at, 0.0) + size
-            if at == 0:
-                break
-            at = page.parents[at]
-    mains = [m for m in page.mains if within.get(m)]
+        sizes[at] += len(text) * (1.0 if up else 1e-6)
+    held = _held(page.parents, sizes)
+    mains = [m for m in page.mains if held[m]]
     if mains:
         # The fullest; of nested ones with the same text the innermost.
-        region = max(mains, key=lambda m: (within[m], m))
+        region = max(mains, key=lambda m: (held[m], m))
     else:
-        region = 0
-        while inner := [c for c, p in page.parents.items() if p == region and within.get(c, 0) >= HOLDS * upper]:
-            region = inner[0]
-
-    def inside(at: int) -> bool:
-        while at > region:
-            at = page.parents[at]
-        return at == region
-
-    return "\n".join(t for t, _, linked, at in lines if inside(at) and (mains or linked <= LINKS * len(t)))
+        # Elements that hold nearly all lie inside each other: the last one is the innermost.
+        region = next(at for at in range(n - 1, -1, -1) if held[at] >= HOLDS * held[0])
+    inside = [False] * n
+    for at in range(region, n):
+        inside[at] = at == region or inside[page.parents[at]]
+    own = [i for i, x in enumerate(lines) if inside[x[3]]]
+    # Smoothing lifts a line beside the text as well: the first and the last one reach the threshold themselves.
+    tops = [i for i in own if upper[i]]
+    tops = [i for i in tops if raw[i] >= cut] or tops
+    if not mains and tops:
+        blocks = {lines[i][3] for i in tops}
+        own = [i for i in own if tops[0] <= i <= tops[-1] or lines[i][3] in blocks]
+    return "\n".join(lines[i][0] for i in own)
 
 
 def _texts(batches):

@@ -3,8 +3,8 @@
 A paragraph (a line of a text, or several in a row, as notices are often wrapped) is the set of its word 1- to 3-grams (runs of letters and digits, lower-cased). A multinomial
 logistic regression over the n-grams of the licence templates scores each family against "unknown". It is trained on the driver, in
 numpy, from the templates (whole, cut, and set among corpus words), hard negatives (shuffled and single licence
-words among corpus words), and a bounded sample of corpus paragraphs (SAMPLE_ROWS documents). A held-out part of the
-training rows calibrates a temperature and the least probability below which a prediction falls to
+words among corpus words), and a bounded sample of corpus lines (SAMPLE_LINES of whole texts of SAMPLE_ROWS documents). Held-out
+templates calibrate a temperature and the least probability below which a prediction falls to
 unknown. A prediction counts only if a template of its family confirms it: CONTAINED of the template's 3-grams occur in the paragraph.
 
 Paragraphs of several lines start at each line and end with any line that the longest template could reach from there; lines
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, pick, small, table, written
+from .common import let, pick, row_key, share, small, table, written
 
 # Customary wordings of licence notices, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -44,7 +44,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 CONTAINED = 0.7
-SAMPLE_ROWS = 400
+#: Bounds of the negatives: about so many documents, and of the lines of their whole texts about so many.
+SAMPLE_ROWS, SAMPLE_LINES = 400, 4000
 COPIES = 24
 ROUNDS = 300
 
@@ -84,48 +85,57 @@ MARKS = sorted({"licens" if m.startswith("licens") else m for ts in TEMPLATES.va
 LONGEST = max(len(_tokens(t)) for ts in TEMPLATES.values() for t in ts)
 
 
+def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the regression on rows x of families y."""
+    w, b = np.zeros((x.shape[1], len(FAMILIES))), np.zeros(len(FAMILIES))
+    goal = np.eye(len(FAMILIES))[y]
+    step = 4.0 / max(1.0, float((x**2).sum(axis=1).mean())) * 4
+    for _ in range(ROUNDS):
+        p = _softmax(x @ w + b)
+        w -= step * (x.T @ (p - goal) / len(x) + 1e-4 * w)
+        b -= step * (p - goal).mean(axis=0)
+    return w, b
+
+
 def train(filler: list[str], seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
-    """Vocabulary, weights (n-grams x families), biases, temperature, and least probability."""
+    """Vocabulary, weights (n-grams x families), biases, temperature, and least probability.
+
+    Every fifth template of a family, with all rows made of it, is held out of a first fit, which gives temperature and least
+    probability: they come from wordings that it hasn't seen. The weights are then fitted on all rows."""
     rng = np.random.default_rng(seed)
     vocabulary = sorted(set().union(*(_grams(_tokens(t)) for ts in TEMPLATES.values() for t in ts)))
     index = {g: i for i, g in enumerate(vocabulary)}
     lines = [w for w in map(_tokens, filler) if w] or [["lorem", "ipsum", "dolor"]]
     some = lambda most: (w := lines[rng.integers(len(lines))])[: rng.integers(0, most + 1)] if most else []
-    rows: list[tuple[list[str], int]] = []
+    rows: list[tuple[list[str], int, bool]] = []
     for y, family in enumerate(FAMILIES):
-        for t in TEMPLATES.get(family, ()):
+        for i, t in enumerate(TEMPLATES.get(family, ())):
             words = [w for w in _tokens(t)]
             for c in range(COPIES):
                 part = list(words)
                 if c % 4 == 3 and len(part) > 6:  # a cut end
                     part = part[: len(part) - int(rng.integers(1, 3))]
-                rows.append((some(12 * (c > 0)) + part + some(40 * (c > 0)), y))
+                rows.append((some(12 * (c > 0)) + part + some(40 * (c > 0)), y, i % 5 == 4))
                 # The same words, but not the wording.
                 mixed = list(words)
                 rng.shuffle(mixed)
-                rows.append((some(12) + (mixed[: int(rng.integers(1, 4))] if c % 2 else mixed) + some(30), 0))
-    rows += [(w, 0) for w in lines]
+                rows.append((some(12) + (mixed[: int(rng.integers(1, 4))] if c % 2 else mixed) + some(30), 0, i % 5 == 4))
+    rows += [(w, 0, i % 5 == 4) for i, w in enumerate(lines)]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, (words, _) in enumerate(rows):
+    for i, (words, _, _) in enumerate(rows):
         for g in _grams(words):
             if g in index:
                 x[i, index[g]] = 1
-    y = np.array([r[1] for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    w, b = np.zeros((len(vocabulary), len(FAMILIES))), np.zeros(len(FAMILIES))
-    xt, goal = x[~held], np.eye(len(FAMILIES))[y[~held]]
-    step = 4.0 / max(1.0, float((xt**2).sum(axis=1).mean())) * 4
-    for _ in range(ROUNDS):
-        p = _softmax(xt @ w + b)
-        w -= step * (xt.T @ (p - goal) / len(xt) + 1e-4 * w)
-        b -= step * (p - goal).mean(axis=0)
-    w[np.abs(w) < 1e-3] = 0
+    y, held = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    w, b = _fitted(x[~held], y[~held])
     z, yh = x[held] @ w + b, y[held]
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(yh)), yh] + 1e-12).mean()
     temperature = min(np.geomspace(0.05, 5, 60), key=loss)
     p = _softmax(z / temperature)
     wrong = p[(p.argmax(axis=1) != yh) & (p.argmax(axis=1) > 0)].max(axis=1) if len(p) else np.zeros(0)
     least = float(min(0.9, max(0.5, np.quantile(wrong, 0.9)))) if len(wrong) else 0.5
+    w, b = _fitted(x, y)
+    w[np.abs(w) < 1e-3] = 0
     return vocabulary, w, b, float(temperature), least
 
 
@@ -157,10 +167,10 @@ def _paragraphs(lines: Column) -> Column:
 def find_licenses(docs: DataFrame) -> DataFrame:
     """(k, line, last, family, probability, template, contained) of licence paragraphs; k identifies a row by id and text."""
     spark = docs.sparkSession
-    keyed = pick(docs, doc_id="long", text="string").where("text is not null").withColumn("k", F.xxhash64("doc_id", "text"))
-    n = max(docs.count(), 1)
-    sample = keyed.where(F.pmod(F.col("k"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_ROWS / n)))
-    sample = sample.select(F.explode(F.slice(F.split("text", "\n", -1), 1, 20)).alias("p")).where(~_has_mark(F.col("p"))).select(F.left("p", F.lit(400)).alias("p"))
+    keyed = pick(docs, doc_id="long", text="string").where("text is not null").withColumn("k", row_key("doc_id", "text"))
+    drawn = keyed.where(share(F.xxhash64("doc_id", "text"), SAMPLE_ROWS, docs.count()))
+    lines = written(drawn.select("k", F.posexplode(F.split("text", "\n", -1)).alias("i", "p")).where((F.trim("p") != "") & ~_has_mark(F.col("p"))), "negatives")
+    sample = lines.where(share(F.xxhash64("k", "i"), SAMPLE_LINES, lines.count())).select("p")
     vocabulary, w, b, temperature, least = train(sorted(r["p"] for r in sample.collect()))
 
     rows = [(g, [float(v) for v in w[i]]) for i, g in enumerate(vocabulary)]
@@ -199,7 +209,7 @@ def documents_with_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs (with a licence), families (sorted, comma-joined), templates, probability (the least); all document rows."""
     found = find_licenses(docs)
     per = found.groupBy("k").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.array_join(F.sort_array(F.collect_set("template")), ",").alias("templates"), F.min("probability").alias("probability"))
-    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("k"))
     out = rows.join(small(written(per, "per-document")), "k", "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("templates", F.lit("")).alias("templates"), "probability")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import pick, small, table, written
+from .common import pick, row_key, small, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
@@ -30,9 +30,9 @@ BUCKETS = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _draw(doc_id: Column, weight: Column) -> Column:
-    """An exponential key from a hash of the id, over the weight."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
+def _draw(doc_id: Column, text: Column, weight: Column) -> Column:
+    """An exponential key from a hash of the id, or of the text where there is none, over the weight."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 13), 16, 10).cast("double")
     return -F.ln((bits + 0.5) / float(2**52)) / weight
 
 
@@ -57,11 +57,11 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and k (identifies a row by id and text)."""
     docs = pick(docs, doc_id="long", text="string", source="string")
     tokens = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE, -1), "")
-    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("k"), tokens.alias("w"))
+    rows = docs.select("doc_id", "source", "text", row_key("doc_id", "text").alias("k"), tokens.alias("w"))
     size = F.size("w")
     weight = F.when(size > 0, F.size(F.array_distinct("w")) / size).otherwise(1.0)
-    rows = rows.select("doc_id", "source", "k", size.cast("long").alias("size"), weight.alias("weight"))
-    rows = rows.select("doc_id", "source", "k", "size", _draw(F.col("doc_id"), F.col("weight")).alias("key"))
+    rows = rows.select("doc_id", "source", "text", "k", size.cast("long").alias("size"), weight.alias("weight"))
+    rows = rows.select("doc_id", "source", "k", "size", _draw(F.col("doc_id"), F.col("text"), F.col("weight")).alias("key"))
     # "s..." sorts before "~", so null comes last and joins like any other source.
     rows = rows.withColumn("src", F.when(F.col("source").isNull(), "~").otherwise(F.concat(F.lit("s"), "source")))
     rows = written(rows.withColumn("bucket", F.floor(F.col("key") / (F.col("key") + 1) * BUCKETS)), "sizes")
@@ -89,9 +89,9 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes words of, with all their columns and size, source_size, target, taken."""
     names = docs.columns
     plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
-    k = F.xxhash64(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
-    # Equal rows may be taken in different parts: the n-th row of a key gets the n-th part.
-    nth = F.row_number().over(W.partitionBy("_k").orderBy(F.lit(0)))
+    k = row_key(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
+    # Rows of one id and text may be taken in different parts: the n-th of them, by all columns, gets the n-th part.
+    nth = F.row_number().over(W.partitionBy("_k").orderBy(F.to_json(F.struct(*plain.columns))))
     more = ("size", "source_size", "target", "taken")
     taken = mix(docs).withColumn("_k", F.col("k")).withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(F.desc("taken"))))
     taken = written(taken.select("_k", "_n", *(F.col(c).alias(f"_{c}") for c in more)), "taken")
@@ -109,8 +109,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_sql(documents: str = "documents") -> str:
     """The same mix in DuckDB SQL over a relation with doc_id, text and source."""
     return f"""
-WITH r0 AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
-r AS (SELECT doc_id, source, len(w)::BIGINT AS size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+WITH r0 AS (SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+r AS (SELECT doc_id, source, len(w)::BIGINT AS size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
   / CASE WHEN len(w) > 0 THEN len(list_distinct(w))::DOUBLE / len(w) ELSE 1.0 END AS k FROM r0),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 s1 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight, 2.0::DOUBLE * source_size AS stop, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s0),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, chunked, pick, shingles, table, text_bytes, word_hashes
+from .common import SPACE, chunked, pick, share, shingles, table, text_bytes, word_hashes
 
 #: Bound of the training sample, in rows.
 TRAIN_ROWS = 20_000
@@ -175,9 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     labels = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality is not null")
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.min("quality").alias("label"))
     n = labels.count()
-    if n > rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    chosen = pick(docs, doc_id="long", text="string").join(F.broadcast(labels), "doc_id")
+    labels = labels.where(share(F.xxhash64("doc_id", F.lit("sample")), rows, n))
+    chosen = pick(docs, doc_id="long", text="string").join(F.broadcast(labels), "doc_id")  # bounded by `rows`
     got = chosen.select("text", "label").mapInArrow(_measure, "x array<double>, label int").toPandas()
     if not len(got):
         return train(np.zeros((0, 1)), np.zeros(0))

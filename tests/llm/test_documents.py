@@ -258,31 +258,72 @@ def test_base_scores_match_brute_force(spark, words):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_each_id_is_scored_once_and_causally():
+def test_windows_predict_each_token_once():
+    begin = np.array([0, 3, 4, 90, 203])
+    see, goal, row = lm.windows(begin, np.arange(lm.n_windows(begin)))
+    last = goal[:, -lm.STRIDE :]
+    assert sorted(last[last >= 0].tolist()) == list(range(203))
+    for s, g, r in zip(see, goal, row, strict=True):  # a position sees only its own text, up to the token before its goal
+        assert all(a == -1 or begin[r] <= a < begin[r + 1] for a in s) and all(a == b - 1 or a == -1 and b == begin[r] for a, b in zip(s, g, strict=True) if b >= 0)
+
+
+def test_attention_is_causal_and_sums_to_one():
     rng = np.random.default_rng(2)
-    m = lm.Attention(rng.integers(0, 50, 500).astype(float))
-    ids_ = rng.integers(0, 500, 203)
-    begin = np.array([0, 3, 3, 90, 203])
-    whole = m.log10(ids_, begin)
-    # A later id changes nothing before it; texts do not see each other.
-    changed = ids_.copy()
-    changed[150] = (changed[150] + 1) % 500
-    again = m.log10(changed, begin)
-    assert np.allclose(whole[:150], again[:150]) and np.isfinite(whole).all()
-    alone = m.log10(ids_[90:], np.array([0, 113]))
-    assert np.allclose(whole[90:], alone, atol=1e-5)
-    # Probabilities of all next ids sum to 1.
-    total = sum(10.0 ** float(m.log10(np.append(ids_[:40], x), np.array([0, 41]))[40]) for x in range(500))
-    assert total == pytest.approx(1, abs=1e-3)
-
-
-def test_attention_learns(spark):
-    ids_ = np.tile(np.arange(7), 400)
-    m = lm.Attention(np.bincount(ids_, minlength=20).astype(float))
-    row = np.zeros(len(ids_), np.int64)
-    before = m.log10(ids_, np.array([0, len(ids_)])).mean()
-    m.fit(ids_, row, steps=150)
-    assert m.log10(ids_, np.array([0, len(ids_)])).mean() > before + 0.3
+    m = lm.Attention()
+    x = rng.standard_normal((3, lm.CONTEXT, lm.WIDTH)).astype(np.float32)
+    lp = m.predict(x)
+    assert np.allclose(np.exp(lp).sum(axis=2), 1, atol=1e-4)
+    changed = x.copy()
+    changed[:, -4] += 1
+    again = m.predict(changed)
+    assert np.allclose(lp[:, :-4], again[:, :-4]) and not np.allclose(lp[:, -4:], again[:, -4:])
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    m = lm.Attention(seed=3)
+    start = np.concatenate(([0], np.cumsum(rng.integers(1, 4, 15))))
+    args = (rng.integers(0, 50, start[-1]), start, rng.integers(-1, 15, (3, lm.CONTEXT)), rng.integers(-1, lm.N_CLASSES, (3, lm.CONTEXT)))
+    _, g = m.gradient(*args)
+    for n, d in g.items():
+        i, e = np.unravel_index(np.argmax(np.abs(d)), d.shape), 1e-2
+        m.w[n][i] += e
+        up = m.gradient(*args)[0]
+        m.w[n][i] -= 2 * e
+        down = m.gradient(*args)[0]
+        m.w[n][i] += e
+        assert (up - down) / (2 * e) == pytest.approx(float(d[i]), rel=0.1, abs=2e-4), n
+
+
+def test_attention_learns_order():
+    m = lm.Attention()
+    seq = np.arange(400) % 7
+    see, goal, _ = lm.windows(np.array([0, 400]), np.arange(25))
+    batch = (seq + 2, np.arange(401), see, np.where(goal >= 0, seq[goal], -1))
+    assert m.fit(lambda step: batch, 150, 0.01) < 0.5 < m.gradient(*batch[:3], rng_goal(batch[3]))[0]
+
+
+def rng_goal(goal):
+    return np.where(goal >= 0, np.random.default_rng(1).integers(0, 7, goal.shape), -1)
+
+
+def test_scores_beat_the_base_and_are_probabilities(spark):
+    """Texts of one of two vocabularies: what stands before tells which. The probabilities of all known words and of an
+    unknown one of each class sum to 1 after any text."""
+    import random
+
+    rng = random.Random(3)
+    kinds = [["red", "blue", "green", "pink"], ["one", "two", "three", "four"]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(40))) for i in range(120)]
+    out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_shares_of_a_class_sum_to_one():
+    """A class's known tokens and one unknown have all of its probability: (c + 1) / (N + V + 1) for each, 1 / (N + V + 1) for the unknown."""
+    counts = np.array([5, 3, 9, 1])
+    below = counts.sum() + len(counts) + 1
+    assert sum((counts + 1) / below) + 1 / below == pytest.approx(1)
 
 
 # ---------------------------------------------------------------- passages and licences

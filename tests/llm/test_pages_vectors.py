@@ -32,6 +32,37 @@ def test_wrappers_of_noise_are_skipped():
     assert html.extract("<article><p>text</p><article class='comment'>Said</article></article>") == "text"
 
 
+BARE = "<body><div>Jan</div><div>Feb</div><div>Mar</div><div>Apr</div><p>" + "long text here " * 20 + "</p><p>" + "more of it now " * 20 + "</p><div>May</div><div>Jun</div><div>Jul</div><div>Aug</div></body>"
+
+
+def test_the_clusters_choose_lines(monkeypatch):
+    want = ("long text here " * 20).strip() + "\n" + ("more of it now " * 20).strip()
+    assert html.extract(BARE) == want
+    # Two articles: the one with more text of the upper cluster is the region.
+    assert html.extract(f"<article><ul>{'<li><a>x y</a></li>' * 400}</ul></article><article><p>{'long text here ' * 20}</p></article>") == ("long text here " * 20).strip()
+    monkeypatch.setattr(html, "threshold", lambda values: float("-inf"))
+    assert html.extract(BARE).startswith("Jan")
+
+
+def test_comments_and_links_inside_the_text():
+    links = "<div><p>" + "long text here " * 20 + "</p><p><a>all of this is a link</a></p><p>" + "long text here " * 20 + "</p></div>"
+    assert "all of this is a link" in html.extract(links)
+    assert html.extract(f"<article><p>{'text ' * 20}</p><div id='comments'><p>{'said ' * 400}</p></div></article>") == ("text " * 20).strip()
+
+
+@pytest.mark.parametrize("deep", ["<div>" * 100_000 + "end", "<div>" * 50_000 + "</section>" * 50_000 + "end", "<article>" * 30_000 + "<p>end", "<p>" + "<b>" * 100_000 + "end"])
+def test_deep_pages_take_time_in_proportion(deep):
+    import time
+
+    began = time.time()
+    assert html.extract(deep) == "end" and time.time() - began < 20
+
+
+def test_very_long_page():
+    page = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
+    assert html.extract(page).count("\n") == 49_999
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1)], "page_id long, url string, html string, TEXT long")
     rows = html.extract_pages(pages).collect()
