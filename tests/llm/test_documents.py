@@ -359,6 +359,52 @@ def test_passages_of_parts_that_others_hold(spark, words):
     assert set(got) == {0, 1} and {r.class_id for r in got.values()} == {0} and all(r.n_links == 1 and r.n_words >= 70 for r in got.values())
 
 
+def test_each_pair_among_frequent_lines_is_found(spark, words):
+    """Twelve pairs of texts share 60 words made of two lines of 30 that are common elsewhere."""
+    lines = [words(30) for _ in range(24)]
+    rows = [(2 * i + j, " ".join(words(25) + lines[2 * i] + lines[2 * i + 1] + words(25))) for i in range(12) for j in range(2)]
+    rows += [(100 + i, " ".join(words(20) + lines[i % 24] + words(40))) for i in range(480)]
+    got = {r.doc_id: r for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(24)) and all(got[i].class_id == i - i % 2 for i in got)
+
+
+def test_exact_repeats_match_brute_force(spark, words):
+    """Texts made of common lines: documents with a run of 50 words of another text, their words in such runs, and their classes."""
+    import random
+
+    rng = random.Random(8)
+    lines = [words(rng.randrange(5, 40)) for _ in range(40)]
+    rows = [(i, " ".join(sum((rng.choice(lines) if rng.random() < 0.7 else words(12) for _ in range(rng.randrange(1, 9))), []))) for i in range(250)]
+    texts = [t.split() for _, t in rows]
+    held = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            held[tuple(t[p : p + 50])].add(i)
+    want = {i for s in held.values() if len({rows[i][1] for i in s}) > 1 for i in s}
+    got = {r.doc_id: r for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want and want <= set(got)
+    assert all(got[i].class_id == got[j].class_id for s in held.values() for i in s for j in s if len({rows[i][1] for i in s}) > 1)
+    # Words in such passages are in the spans.
+    for i in want:
+        spans = [tuple(map(int, x.split("-"))) for x in got[i].spans.split(",")]
+        hit = {p + q for p in range(len(texts[i]) - 49) if len(held[tuple(texts[i][p : p + 50])]) > 1 for q in range(50)}
+        assert sum(any(a <= p < b for a, b in spans) for p in hit) >= 0.97 * len(hit)
+
+
+@pytest.mark.parametrize(("every", "least"), [(20, 0.98), (10, 0.95), (8, 0.8)])
+def test_recall_of_edited_passages(spark, words, every, least):
+    """Pairs of texts that share 80 words with every n-th replaced."""
+    import random
+
+    rng, rows = random.Random(every), []
+    for i in range(60):
+        p = words(80)
+        q = [f"x{rng.randrange(10**9)}" if k % every == every // 2 else w for k, w in enumerate(p)]
+        rows += [(2 * i, " ".join(words(30) + p + words(30))), (2 * i + 1, " ".join(words(50) + q + words(10)))]
+    got = {r.doc_id for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(2 * i in got and 2 * i + 1 in got for i in range(60)) >= least * 60
+
+
 def test_chains_follow_order():
     a, b = [0, 5, 10, 15, 3], [100, 105, 110, 115, 400]
     assert (0, 15, 100, 115) in passages.chains(a, b)
