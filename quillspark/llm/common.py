@@ -95,6 +95,18 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, total: int)
     return left.join(F.broadcast(heavy), key).unionByName(rest)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left joined to right, which has one row for each key. Keys with more than HEAVY of left's rows, of which there can only be
+    1 / HEAVY, are dealt by the column spread over several tasks, which all get right's row."""
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = max(1, int(left.count() * HEAVY))
+    heavy = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    copies = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def let(value, body):
     """body(value) with value computed once: the optimizer may copy a column into
     a lambda that names it, where it would be computed for each element."""
