@@ -6,12 +6,15 @@ not none, is one window. Document words inside any occurrence of a window are hi
 
 Winnowing: every run of GRAM words is hashed; of each WINDOW - GRAM + 1 consecutive
 hashes, which cover exactly WINDOW words, the least is kept. Two texts that share WINDOW words share that
-least hash, so joining the kept hashes finds every document that can have a hit. Hits are then extended:
-only windows of candidate documents whose least hash is a benchmark fingerprint are compared,
-word by word, with the benchmark's windows. Items shorter than a window are anchored by their first word instead.
+least hash, so looking up the kept hashes finds every document that can have a hit. Items shorter than a window have one hash, of all
+their words, and texts are looked up by runs of as many. Hits are then extended: only windows and runs whose hash is a benchmark
+fingerprint are compared, word by word, with the benchmark's.
 
-Defined cases: null and empty texts have no words; equal rows repeat their result; items
-with a null item_id hit words but are not counted; several items with one id count once.
+Up to KNOWN fingerprints, of 8 bytes each, are looked up in the scan of the texts itself, so that no text is sent anywhere. Beyond
+that the texts' distinct fingerprints are joined to them, and texts with a hit are scanned again.
+
+Defined cases: null and empty texts have no words; very long texts are looked up whole; equal rows repeat their result; items
+with a null item_id hit words but are not counted; several items with one id count once; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, pick, small, table, written
+from .common import let, pick, row_key, small, table, written
 
 WINDOW = 10
 GRAM = 4
+KNOWN = 20_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,9 +44,31 @@ def _least(words: Column) -> Column:
     return F.when(n >= WINDOW, least).otherwise(F.array().cast("array<long>"))
 
 
+def _run_hash(words: Column, at, n: int) -> Column:
+    """Hash of n words from a place."""
+    return F.xxhash64(*(F.try_element_at(words, (at + j).cast("int") if isinstance(at, Column) else F.lit(at + j)) for j in range(n)), F.lit(n))
+
+
+def _runs(words: Column, n: int) -> Column:
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: _run_hash(words, i, n))).otherwise(F.array().cast("array<long>"))
+
+
+def _windows_of(words: Column, lengths: list[int], known) -> Column:
+    """(start, len, win) of the windows of a text, and its runs of the lengths of short items, whose hash is known."""
+
+    def some(hashes: Column, n: int) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: known(F.element_at(hashes, i)))
+        return F.when(F.size(hashes) > 0, F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), F.array_join(F.slice(words, i, n), " ").alias("win")))).otherwise(F.array().cast("array<struct<start:int,len:int,win:string>>"))
+
+    return F.concat(let(_least(words), lambda m: some(m, WINDOW)), *(_with_runs(words, n, some) for n in lengths))
+
+
+def _with_runs(words: Column, n: int, some) -> Column:
+    return let(_runs(words, n), lambda m: some(m, n))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    docs = pick(docs, doc_id="long", text="string")
-    return docs.withColumn("k", F.xxhash64("doc_id", "text"))
+    return pick(docs, doc_id="long", text="string").withColumn("k", row_key("doc_id", "text"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,31 +82,27 @@ def find_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
         "item_id", F.least(n, F.lit(WINDOW)).alias("len"), F.array_join(F.slice("words", F.col("s"), WINDOW), " ").alias("win")
     )
     windows = written(windows.distinct(), "windows")
-    prints = items.select(F.explode("least").alias("m")).distinct()
+    short = items.where(n < WINDOW)
+    lengths = sorted(r["n"] for r in short.select(n.alias("n")).distinct().collect())  # fewer than WINDOW
+    prints = items.select(F.explode("least").alias("m"))
+    for m in lengths:
+        prints = prints.union(short.where(n == m).select(_run_hash(F.col("words"), 1, m).alias("m")))
+    prints = written(prints.distinct(), "prints")
+    some = [r["m"] for r in prints.limit(KNOWN + 1).collect()]  # bounded by KNOWN
 
     keyed = _keyed(docs)
-    prints_of = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array_distinct(_least(w)).alias("prints")))
-    feats = written(keyed.select("doc_id", "k", prints_of.alias("f")).select("doc_id", "k", "f.*"), "fingerprints")
-    hits = feats.select("k", F.explode("prints").alias("m")).join(small(prints), "m")
-    hits = written(hits.groupBy("k").agg(F.collect_set("m").alias("ms")), "hits")
-    near = keyed.select("k", "text").join(small(hits), "k").dropDuplicates(["k"])
-    cut = lambda w, m: F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(m)), lambda i: F.array_contains("ms", F.element_at(m, i))),
-        lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i, WINDOW), " ").alias("win")),
-    )
-    cut = let(words_of(F.col("text")), lambda w: let(_least(w), lambda m: cut(w, m)))
-    found = near.select("k", F.explode(cut).alias("w")).select("k", "w.start", "w.win").join(small(windows.where(F.col("len") == WINDOW)), "win")
-    found = found.select("k", "start", "len", "item_id")
-
-    short = windows.where(F.col("len") < WINDOW)
-    if not short.isEmpty():
-        anchors = short.select(F.substring_index("win", " ", 1).alias("word"), "len").distinct()
-        placed = keyed.dropDuplicates(["k"]).select("k", words_of(F.col("text")).alias("words"))
-        at = placed.select("k", F.posexplode("words").alias("i", "word"))
-        near = at.join(small(anchors), "word").groupBy("k").agg(F.collect_set(F.struct((F.col("i") + 1).alias("s"), "len")).alias("spots"))
-        cut = let(F.col("words"), lambda w: F.transform("spots", lambda p: F.struct(p["s"].alias("start"), p["len"].alias("len"), F.array_join(F.slice(w, p["s"], p["len"]), " ").alias("win"))))
-        near = placed.join(near, "k").select("k", F.explode(cut).alias("w")).select("k", "w.*")
-        found = found.union(near.join(small(short), ["win", "len"]).select("k", "start", "len", "item_id"))
+    if len(some) <= KNOWN:
+        near = keyed.select("doc_id", "k", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _windows_of(w, lengths, lambda x: x.isin(some)).alias("ws"))).alias("f"))
+        feats = written(near.select("doc_id", "k", "f.*"), "fingerprints")
+        candidates = feats.where(F.size("ws") > 0).select("k", F.explode("ws").alias("w"))
+    else:
+        prints_of = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array_distinct(F.concat(_least(w), *(_runs(w, m) for m in lengths))).alias("prints")))
+        feats = written(keyed.select("doc_id", "k", prints_of.alias("f")).select("doc_id", "k", "f.*"), "fingerprints")
+        hits = feats.select("k", F.explode("prints").alias("m")).join(small(prints), "m")
+        hits = written(hits.groupBy("k").agg(F.collect_set("m").alias("ms")), "hits")
+        near = keyed.select("k", "text").join(small(hits), "k")
+        candidates = near.select("k", F.explode(let(words_of(F.col("text")), lambda w: _windows_of(w, lengths, lambda x: F.array_contains("ms", x)))).alias("w"))
+    found = candidates.select("k", "w.*").join(small(windows), ["win", "len"]).select("k", "start", "len", "item_id").distinct()
     return feats.select("doc_id", "k", "n_words"), written(found, "occurrences")
 
 
@@ -108,7 +130,7 @@ def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark window."""
     _, found = find_windows(docs, items)
     names = docs.columns
-    k = F.xxhash64(F.col("_p%d" % names.index("doc_id")).cast("long"), F.col("_p%d" % names.index("text")).cast("string"))
+    k = row_key(F.col("_p%d" % names.index("doc_id")).cast("long"), F.col("_p%d" % names.index("text")).cast("string"))
     keyed = docs.toDF(*(f"_p{i}" for i in range(len(names)))).withColumn("_k", k)
     kept = keyed.join(small(found.select(F.col("k").alias("_k")).distinct()), "_k", "left_anti")
     return kept.drop("_k").toDF(*names)

@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunked, components, mix, pick, shingles, small, table, text_bytes, unit, word_hashes, written
+from .common import BROADCAST_ROWS, chunked, components, mix, pick, row_key, shingles, small, table, text_bytes, unit, word_hashes, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -207,8 +207,8 @@ def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size (rows of the class), kept, and
     k, which identifies a row by id and text."""
-    rows = pick(docs, doc_id="long", text="string").withColumn("k", F.xxhash64("doc_id", "text"))
-    feats = written(rows.mapInArrow(_features, "doc_id long, k long, bag binary, bands array<long>, weight long, text string"), "minhash")
+    rows = pick(docs, doc_id="long", text="string").withColumn("k", row_key("doc_id", "text"))
+    feats = written(rows.mapInArrow(_features, "doc_id long, k binary, bag binary, bands array<long>, weight long, text string"), "minhash")
     groups = written(feats.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("bands").alias("bands"), F.max("weight").alias("weight")), "bags")
     rows = groups.select("bag", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("bag").alias("hub"), F.max("bag").alias("far")).where("hub <> far").drop("far")
@@ -254,14 +254,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each class."""
     names = docs.columns
     plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
-    k = F.xxhash64(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
+    k = row_key(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(f"_p{names.index('text')}").cast("string"))
     plain = plain.withColumn("_k", k)
     verdict = written(near_duplicates(docs).where("class_size > 1").groupBy(F.col("k").alias("_k")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "verdict")
     rest = plain.join(small(verdict.where("not kept").select("_k")), "_k", "left_anti")
     again = verdict.where("kept and n > 1").select("_k")
     if not again.isEmpty():
         again = small(again)
-        rest = rest.join(again, "_k", "left_anti").unionByName(rest.join(again, "_k", "left_semi").dropDuplicates(["_k"]))
+        # Of rows that differ in other columns only, the first by all columns stays.
+        first = F.row_number().over(Window.partitionBy("_k").orderBy(F.to_json(F.struct(*(c for c in plain.columns if c != "_k")))))
+        one = rest.join(again, "_k", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+        rest = rest.join(again, "_k", "left_anti").unionByName(one)
     return rest.drop("_k").toDF(*names)
 
 

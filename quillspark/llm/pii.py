@@ -3,16 +3,17 @@
 Base kinds (leftmost, non-overlapping per kind): email, ip (parts at most 255), card (12 to 19
 digits that pass Luhn), phone (9 to 15 digits). Offsets are code points, ends exclusive.
 
-Terms: a word of three or more letters within CONTEXT_CHARS code points of a mention of a protected entity (one base
-value) reveals the share PMI(term; entity) / IC(entity) of the entity's information, with document
-frequencies over the whole corpus: PMI = log2(N joint / (df(term) df(entity))), IC = log2(N / df(entity)).
-Where joint mentions have SUPPORT or more different contexts and the share reaches DISCLOSURE, the term is
-reported as kind "term" wherever it stands in a context of that entity, and generalised by sanitise().
+Terms: a word of three or more letters reveals the share PMI(term; entity) / IC(entity) of a protected entity's information (an
+entity is one base value), with PMI = log2(N joint / (df(term) df(entity))), IC = log2(N / df(entity)), and all counts over whole
+documents of the corpus. Candidates are the words that stand within CONTEXT_CHARS code points of mentions of the entity in SUPPORT or
+more different contexts. Where the share reaches DISCLOSURE, the term is reported as kind "term" wherever it stands in any
+document, and generalised by sanitise(): a name that gives an address away does so anywhere.
 
 The patterns are written so that they cannot backtrack over long runs, but find the same leftmost matches: possessive
 runs, and an email starts only after the end of the last match or a character that can't be in one.
 
-Defined cases: null and empty texts have no spans; equal rows repeat their result.
+Defined cases: null and empty texts have no spans; very long texts are searched whole; equal rows repeat their result, and count once; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, pick, small, table, written
+from .common import let, pick, row_key, small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -33,7 +34,7 @@ PATTERNS = {
     "card": (r"[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
 }
-CONTEXT_CHARS = 48
+CONTEXT_CHARS = 80
 SUPPORT = 2
 DISCLOSURE = 0.8
 LETTERS = r"[\p{L}]{3,}+"
@@ -57,7 +58,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return pick(docs, doc_id="long", text="string").withColumn("k", F.xxhash64("doc_id", "text"))
+    return pick(docs, doc_id="long", text="string").withColumn("k", row_key("doc_id", "text"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -76,8 +77,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
             i.alias("i"),
             F.length(F.element_at("gaps", i)).alias("gap"),
             F.element_at("found", i).alias("value"),
-            F.right(F.element_at("gaps", i), F.lit(CONTEXT_CHARS)).alias("before"),
-            F.left(F.element_at("gaps", i + 1), F.lit(CONTEXT_CHARS)).alias("after"),
+            # A match that lies nearer belongs to the context.
+            F.right(F.concat(F.when(i > 1, F.concat(F.right(F.element_at("gaps", F.greatest(i - 1, F.lit(1))), F.lit(CONTEXT_CHARS)), F.element_at("found", F.greatest(i - 1, F.lit(1))))).otherwise(""), F.element_at("gaps", i)), F.lit(CONTEXT_CHARS)).alias("before"),
+            F.left(F.concat(F.element_at("gaps", i + 1), F.coalesce(F.try_element_at("found", i + 1), F.lit("")), F.coalesce(F.left(F.try_element_at("gaps", i + 2), F.lit(CONTEXT_CHARS)), F.lit(""))), F.lit(CONTEXT_CHARS)).alias("after"),
         ),
     )
     cells = one.select("k", "kind", F.explode(row).alias("c")).select("k", "kind", "c.*").repartition("k", "kind").dropDuplicates(["k", "kind", "i"])
@@ -107,35 +109,50 @@ def _words_near(side: Column, origin: Column, cut_left: bool) -> Column:
 
 
 def revealing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(k, start, end) of terms whose co-occurrence reveals a protected entity of the same context."""
+    """(k, term): documents with terms that reveal a protected entity, by co-occurrence in documents."""
     entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value")))
     near = F.concat(_words_near(F.col("before"), F.col("start") - F.length("before"), True), _words_near(F.col("after"), F.col("end"), False))
-    near = base.select("k", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w")).select("k", "entity", "context", "w.term", "w.start", "w.end")
+    mentions = written(base.select("k", entity.alias("entity")).distinct(), "mentions")
+    near = base.select("k", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w")).select("k", "entity", "context", "w.term")
     near = written(near, "contexts")
-    joint = near.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("k").alias("joint")).where(F.col("contexts") >= support)
-    total = float(docs.count())
-    of = base.select("k", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") < total)
-    # A term is in at least as many documents as it is near entities of: pairs whose share
-    # stays below the threshold even so need no count over the corpus.
+    pairs = near.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    total = float(docs.select("k").distinct().count())
+    of = mentions.groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") < total)
+    # A term is in at least as many documents as it is near entities of, and with an entity in at most all of the
+    # entity's: pairs whose share stays below the threshold even so need no count over the corpus.
     seen = near.select("term", "k").distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    share = lambda df: F.log2(F.lit(total) * F.col("joint") / (F.col(df) * F.col("de"))) / F.log2(F.lit(total) / F.col("de"))
-    joint = written(joint.join(of, "entity").join(seen, "term").where(share("seen") >= disclosure), "joint")
-    if joint.isEmpty():
-        return near.select("k", "start", "end").limit(0)
-    terms = joint.select("term").distinct()
-    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_LETTERS, -1))).alias("term"))
-    df = words.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
-    revealing = joint.join(df, "term").where(share("df") >= disclosure).select("term", "entity")
-    spans = near.join(small(written(revealing, "revealing")), ["term", "entity"]).select("k", "start", "end").distinct()
-    apart = base.select("k", F.col("start").alias("s"), F.col("end").alias("e"))
-    return spans.join(apart, (spans["k"] == apart["k"]) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
+    share = lambda joint, df: F.log2(F.lit(total) * joint / (F.col(df) * F.col("de"))) / F.log2(F.lit(total) / F.col("de"))
+    pairs = written(pairs.join(of, "entity").join(seen, "term").where(share(F.col("de"), "seen") >= disclosure).select("term", "entity", "de"), "pairs")
+    words = docs.where("text is not null").select("k", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_LETTERS, -1))).alias("term"))
+    hits = written(words.join(small(pairs.select("term").distinct()), "term").distinct(), "term-hits")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    joint = hits.join(mentions, "k").join(small(pairs), ["term", "entity"]).groupBy("term", "entity", "de").agg(F.count("*").alias("joint"))
+    revealing = joint.join(df, "term").where(share(F.col("joint"), "df") >= disclosure).select("term").distinct()
+    return hits.join(small(written(revealing, "revealing")), "term").select("k", "term")
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, base: DataFrame) -> DataFrame:
+    """(k, start, end) of all places of a document's terms, but those that overlap a base span."""
+    of = terms.groupBy("k").agg(F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
+    one = docs.where("text is not null").select("k", "text").join(small(written(of, "patterns")), "k")
+    one = one.select("k", F.split("text", F.col("pattern"), -1).alias("gaps"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    row = F.transform(F.col("found"), lambda x, i: F.struct(i.alias("i"), F.length(F.element_at("gaps", i + 1)).alias("gap"), F.length(x).alias("size")))
+    cells = one.select("k", F.explode(row).alias("c")).select("k", "c.*").dropDuplicates(["k", "i"])
+    end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))
+    spans = cells.withColumn("end", end).select("k", (F.col("end") - F.col("size")).alias("start"), "end", F.lit(True).alias("term"))
+    both = spans.union(base.join(spans.select("k").distinct(), "k", "left_semi").select("k", "start", "end", F.lit(False)))
+    other = lambda c: F.when(~F.col("term"), F.col(c))
+    by = W.partitionBy("k").orderBy("start", "term")
+    both = both.withColumn("before", F.max(other("end")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("next", F.min(other("start")).over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    return both.where(F.col("term") & (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))).select("k", "start", "end")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """(k, kind, start, end) of base spans and terms; docs has k, doc_id, text."""
     base = written(base_spans(docs), "spans")
-    terms = revealing_terms(docs, base).select("k", F.lit(TERM).alias("kind"), "start", "end")
-    return written(base.select("k", "kind", "start", "end").union(terms), "all-spans")
+    terms = written(revealing_terms(docs, base), "terms")
+    spans = term_spans(docs, terms, base).select("k", F.lit(TERM).alias("kind"), "start", "end")
+    return written(base.select("k", "kind", "start", "end").union(spans), "all-spans")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -159,7 +176,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*(f"_p{i}" for i in range(len(names))))
     at = f"_p{names.index('text')}"
-    plain = plain.withColumn("_k", F.xxhash64(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(at).cast("string")))
+    plain = plain.withColumn("_k", row_key(F.col(f"_p{names.index('doc_id')}").cast("long"), F.col(at).cast("string")))
     spans = all_spans(_keyed(docs))
     upto = F.max("end").over(W.partitionBy("k").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("start") < F.coalesce("upto", F.lit(-1)), 0).otherwise(1)

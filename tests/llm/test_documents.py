@@ -118,7 +118,9 @@ def brute_hits(text, items):
     return len(w), len(hit), found
 
 
-def test_decontamination_matches_brute_force(spark, words):
+@pytest.mark.parametrize("known", [20_000, 0])
+def test_decontamination_matches_brute_force(spark, words, monkeypatch, known):
+    monkeypatch.setattr(decontaminate, "KNOWN", known)
     its = [(i, " ".join(words(25))) for i in range(5)] + [(7, "Alpha-beta, gamma!"), (8, "é È"), (9, None), (10, "")]
     docs = []
     for i in range(40):
@@ -179,6 +181,29 @@ def test_revealing_terms_are_found_and_generalised(spark, words):
     assert "Zyrandel" not in clean[0] and "[EMAIL]" in clean[0] and "office" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_terms_match_brute_force(spark, words):
+    """Terms by plain counts over documents; a revealing name is found in texts without the address as well."""
+    rows = [(i, f"{' '.join(words(10))} near Qorvane{i} ask Zyrandel {i} at q@secret.org or Maro {i} {' '.join(words(10))}") for i in range(8)]
+    rows += [(100 + i, " ".join(words(30)) + (" Zyrandel was here; ZYRANDEL again" if i == 3 else " maro" if i % 2 else "")) for i in range(80)]
+    word = re.compile(r"[^\W\d_]{3,}")
+    texts = [t for _, t in rows]
+    has = [set(w.lower() for w in word.findall(t)) for t in texts]
+    of, n = [i for i, t in enumerate(texts) if "q@secret.org" in t], len(texts)
+    reveals = set()
+    for w in set().union(*has):
+        df, joint = sum(w in h for h in has), sum(w in has[i] for i in of)
+        near = {texts[i] for i in of if w in word.findall(texts[i][max(0, texts[i].index("q@") - 60) : texts[i].index("q@") + 70].lower())}
+        if joint and len(near) >= 2 and math.log2(n * joint / (df * len(of))) / math.log2(n / len(of)) >= 0.8:
+            reveals.add(w)
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zyrandel" in reveals and "maro" not in reveals
+    for i, t in rows:
+        terms = {t[int(a) : int(b)].lower() for a, b in (s.split(":")[1:] for s in got[i].spans.split(",") if s.startswith("term"))}
+        assert terms & {"zyrandel", "maro"} == {w for w in ("zyrandel", "maro") if w in reveals and w in t.lower()}
+        assert terms <= reveals
+    assert got[103].n_term == 2
+
+
 # ---------------------------------------------------------------- mixing
 
 
