@@ -116,7 +116,8 @@ def revealing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, di
     near = base.select("k", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w")).select("k", "entity", "context", "w.term")
     near = written(near, "contexts")
     pairs = near.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    total = float(docs.select("k").distinct().count())
+    copies = docs.groupBy("k").agg(F.count("*").alias("n")).agg(F.count("*").alias("rows"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
+    total, most = float(copies["rows"]), copies["most"]
     of = mentions.groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") < total)
     # A term is in at least as many documents as it is near entities of, and with an entity in at most all of the
     # entity's: pairs whose share stays below the threshold even so need no count over the corpus.
@@ -124,6 +125,10 @@ def revealing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, di
     share = lambda joint, df: F.log2(F.lit(total) * joint / (F.col(df) * F.col("de"))) / F.log2(F.lit(total) / F.col("de"))
     pairs = written(pairs.join(of, "entity").join(seen, "term").where(share(F.col("de"), "seen") >= disclosure).select("term", "entity", "de"), "pairs")
     words = docs.where("text is not null").select("k", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_LETTERS, -1))).alias("term"))
+    # No document repeats more than `most` times, so a term is in at least its rows over that many documents. The rows are
+    # summed before they are shuffled; pairs that this rules out, those of all common words, need no list of documents.
+    rows = words.join(small(pairs.select("term").distinct()), "term").groupBy("term").agg((F.count("*") / F.lit(most)).alias("least"))
+    pairs = written(pairs.join(rows, "term").where(share(F.col("de"), "least") >= disclosure).select("term", "entity", "de"), "rare-pairs")
     hits = written(words.join(small(pairs.select("term").distinct()), "term").distinct(), "term-hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     joint = hits.join(mentions, "k").join(small(pairs), ["term", "entity"]).groupBy("term", "entity", "de").agg(F.count("*").alias("joint"))
