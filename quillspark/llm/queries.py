@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html, licenses, lm, minhash, mixing, passages, pii, quality
+from . import decontaminate, embeddings, html, licenses, lm, middle, minhash, mixing, passages, pii, quality
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_attention": lm.op10_attention,
+    "op13_middle": middle.op13_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_itq": embeddings.OP5_SQL,
     "op7_winnowing": decontaminate.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op13_middle": middle.OP13_SQL,
 }
