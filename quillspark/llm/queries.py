@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html, licenses, lm, middle, minhash, mixing, passages, pii, quality
+from . import decontaminate, embeddings, html, licenses, lines, lm, manifest, middle, minhash, mixing, passages, pii, quality
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_attention": lm.op10_attention,
+    "op11_manifest": manifest.op11_manifest,
+    "op12_lines": lines.op12_lines,
     "op13_middle": middle.op13_middle,
 }
 
@@ -23,5 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_itq": embeddings.OP5_SQL,
     "op7_winnowing": decontaminate.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_manifest": manifest.OP11_SQL,
+    "op12_lines": lines.OP12_SQL,
     "op13_middle": middle.OP13_SQL,
 }
