@@ -1,6 +1,8 @@
 """Thresholds of the analytics. They decide which cohorts, signals and neighbours exist."""
 
 MIN_COHORT_SIZE = 5
+# Cases of the own type from which a cohort too small to stand is still told of.
+THIN_SAME_TYPE = 3
 CONFIDENCE_MEDIUM = 12
 CONFIDENCE_HIGH = 25
 MIN_SUPPORT = 0.6

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as K
-from quillspark.functions.stats import quantiles, whole_days
+from quillspark.functions.stats import exact_quantiles, whole_days
 from quillspark.functions.text import normalize
 from quillspark.functions.text import term as canonical
+from quillspark.sources.scratch import materialize
 
 #: Dimension: whether its buckets partition the cases.
 DIMENSIONS = {
@@ -191,11 +192,13 @@ def stage_benchmark(p, reach: DataFrame, stage: str) -> DataFrame:
     cats = p.documents.groupBy("case_id").agg(F.countDistinct("category").alias("categories"))
     peers = p.cases.join(got, "case_id", "left").where(F.col("reached_at").isNotNull() | (F.col("legal_stage") == stage)).join(cats, "case_id", "left")
     months = whole_days("event_date", F.coalesce("reached_at", "stage_entered_at")) / 30.0
-    peers = peers.select("completion_rate", months.alias("months"), F.coalesce("categories", F.lit(0)).alias("categories"))
-    cols = [F.count("*").alias("peers")]
+    peers = materialize(peers.select("completion_rate", months.alias("months"), F.coalesce("categories", F.lit(0)).alias("categories")), "peers")
+    # All peers are one group, so no buffer holds their values.
+    out = peers.agg(F.count("*").alias("peers")).withColumn("one", F.lit(1))
     for name in ("completion_rate", "months", "categories"):
-        cols += [q.alias(f"{name}_{x}") for q, x in zip(quantiles(F.col(name).cast("double"), 0.25, 0.5, 0.75), ("p25", "p50", "p75"), strict=True)]
-    return peers.agg(*cols)
+        q = exact_quantiles(peers, [], name, **{f"{name}_p25": 0.25, f"{name}_p50": 0.5, f"{name}_p75": 0.75})
+        out = out.join(F.broadcast(q.withColumn("one", F.lit(1))), "one", "left")
+    return out.drop("one")
 
 
 def position(value: Column, p25: Column, p75: Column) -> Column:

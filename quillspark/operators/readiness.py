@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from quillspark import constants as K
 from quillspark.functions.stats import floor_days, weighted_quantiles, whole_days
+from quillspark.sources.scratch import materialize
 
 CONTEXT_KINDS = ("injury", "bodyPart", "insurer", "contactRole")
 
@@ -28,6 +29,18 @@ def pattern(cohort_rows: DataFrame, common: DataFrame, case: DataFrame, stage: s
     return own.select("case_id", "cohort_key", "scope", "members", "confidence").join(common.select("cohort_key", "signal_key", "support", "lift", "weight", "median_lead_days"), "cohort_key")
 
 
+def with_same_type(rows: DataFrame, reach: DataFrame, cases: DataFrame, stage: str | None = None, sub_stage: str = "") -> DataFrame:
+    """rows (case_id, scope, and stage and sub_stage unless they are given) with same_type_members, the cases of the case's type that reached the stage, and
+    thin_same_type: the global cohort was taken although some, but too few for a cohort, are of the own type."""
+    keys = ["stage", "sub_stage"] if stage is None else []
+    there = reach if stage is None else reach.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage))
+    counts = there.where("case_type is not null").groupBy("case_type", *keys).agg(F.countDistinct("case_id").alias("same_type_members"))
+    out = rows.drop("case_type").join(cases.select("case_id", "case_type"), "case_id", "left").join(counts, ["case_type", *keys], "left")
+    n = F.coalesce("same_type_members", F.lit(0).cast("long"))
+    thin = (F.col("scope") == "global") & (n >= K.THIN_SAME_TYPE) & (n < K.MIN_COHORT_SIZE)
+    return out.withColumns({"same_type_members": n, "thin_same_type": thin})
+
+
 def compare(pattern_rows: DataFrame, case_signals: DataFrame) -> DataFrame:
     """pattern rows with status matched, missing or context."""
     seen = case_signals.where("first_observed is not null").select("case_id", "signal_key", "first_observed")
@@ -104,54 +117,56 @@ def sparse_estimate(reach: DataFrame, target: DataFrame, stage: str, as_of: str,
 
 @dataclass
 class ReadinessArtifact:
-    """What a readiness decision rests on: three frames and the reasons for doubt."""
+    """What readiness decisions for a stage rest on, a row or more for each case: pattern, comparison, estimate, and reasons (case_id, basis, peers, reasons)."""
 
-    case_id: int
     stage: str
     pattern: DataFrame
     comparison: DataFrame
     estimate: DataFrame
-    reasons: list[str] = field(default_factory=list)
+    reasons: DataFrame
 
 
 class ArtifactComposer:
-    """Collects the parts of a decision as they are observed, and gives the artifact once for each (case, stage)."""
+    """Collects the parts of a decision as they are observed, and gives the artifact once for each key (a case or a set of them) and stage."""
+
+    PARTS = ("pattern", "comparison", "estimate", "reasons")
 
     def __init__(self):
         self._parts: dict[tuple, dict[str, DataFrame]] = {}
-        self._reasons: dict[tuple, list[str]] = {}
         self._given: set[tuple] = set()
 
-    def observe(self, part: str, case_id: int, stage: str, frame: DataFrame, reasons: tuple[str, ...] = ()) -> ReadinessArtifact | None:
-        if part not in ("pattern", "comparison", "estimate"):
+    def observe(self, part: str, key, stage: str, frame: DataFrame) -> ReadinessArtifact | None:
+        if part not in self.PARTS:
             raise ValueError(part)
-        key = (case_id, stage)
-        self._parts.setdefault(key, {})[part] = frame
-        known = self._reasons.setdefault(key, [])
-        known.extend(r for r in reasons if r not in known)
-        if len(self._parts[key]) < 3 or key in self._given:
+        parts = self._parts.setdefault((key, stage), {})
+        parts[part] = frame
+        if len(parts) < len(self.PARTS) or (key, stage) in self._given:
             return None
-        self._given.add(key)
-        return ReadinessArtifact(case_id, stage, reasons=list(known), **self._parts[key])
-
-
-def availability(cohort_rows: DataFrame, reach: DataFrame, case: DataFrame, stage: str, sub_stage: str = "") -> tuple[str, int]:
-    """cohort, sparse_stage or none, and how many other cases reached the stage. case is one row."""
-    own = applicable_cohorts(cohort_rows.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage)), case)
-    peers = reach.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage)).join(case.select("case_id"), "case_id", "left_anti").agg(F.countDistinct("case_id")).first()[0]
-    return ("none" if not peers else "sparse_stage" if own.isEmpty() else "cohort"), peers
-
-
-def explain(case: DataFrame, stage: str, cohort_rows: DataFrame, common: DataFrame, case_signals: DataFrame, reach: DataFrame, neighbours: DataFrame, as_of: str, sub_stage: str = "") -> ReadinessArtifact:
-    """Pattern, comparison and estimate for one case (a frame of one row), with the reasons for doubt, each once."""
-    row = case.select("case_id", "event_date").first()
-    basis, peers = availability(cohort_rows, reach, case, stage, sub_stage)
-    told = pattern(cohort_rows, common, case, stage, sub_stage)
-    target = case.select("case_id", "event_date")
-    reasons = []
-    if basis != "cohort":
-        reasons.append(f"only {peers} historical peer{'' if peers == 1 else 's'} reached {stage}")
-    if row["event_date"] is None:
-        reasons.append("the case has no eventDate")
-    guess = estimate(reach, target, stage, neighbours, as_of, sub_stage) if basis == "cohort" else sparse_estimate(reach, target, stage, as_of, sub_stage)
-    return ReadinessArtifact(row["case_id"], stage, told, compare(told, case_signals), guess, list(dict.fromkeys(reasons)))
+        self._given.add((key, stage))
+        return ReadinessArtifact(stage, **parts)
+
+
+def availability(cohort_rows: DataFrame, reach: DataFrame, cases: DataFrame, stage: str, sub_stage: str = "") -> DataFrame:
+    """case_id, basis (cohort, sparse_stage or none), peers (how many other cases reached the stage) and what with_same_type tells, for each case."""
+    there = reach.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage))
+    own = applicable_cohorts(cohort_rows.where((F.col("stage") == stage) & (F.col("sub_stage") == sub_stage)), cases).select("case_id", "scope")
+    all_peers = there.agg(F.countDistinct("case_id").alias("reached"), F.lit(1).alias("one"))
+    rows = cases.select("case_id", F.lit(1).alias("one")).join(F.broadcast(all_peers), "one").drop("one").join(own, "case_id", "left")
+    rows = rows.join(there.select("case_id", F.lit(1).alias("_own")).distinct(), "case_id", "left")
+    peers = F.col("reached") - F.coalesce("_own", F.lit(0))
+    basis = F.when(peers == 0, "none").when(F.col("scope").isNull(), "sparse_stage").otherwise("cohort")
+    return with_same_type(rows.select("case_id", "scope", basis.alias("basis"), peers.alias("peers")), reach, cases, stage, sub_stage).select("case_id", "basis", "peers", "same_type_members", F.coalesce("thin_same_type", F.lit(False)).alias("thin_same_type"))
+
+
+def explain(cases: DataFrame, stage: str, cohort_rows: DataFrame, common: DataFrame, case_signals: DataFrame, reach: DataFrame, neighbours: DataFrame, as_of: str, sub_stage: str = "") -> ReadinessArtifact:
+    """Pattern, comparison, estimate and reasons for doubt (codes, with a number after a colon) of the cases. The basis of each case chooses its estimate by a join; nothing comes to the driver."""
+    basis = materialize(availability(cohort_rows, reach, cases, stage, sub_stage), "basis")
+    told = pattern(cohort_rows, common, cases, stage, sub_stage)
+    target = cases.select("case_id", "event_date")
+    good = F.col("basis") == "cohort"
+    by_peers = estimate(reach, target.join(basis.where(good), "case_id", "left_semi"), stage, neighbours, as_of, sub_stage)
+    by_speed = sparse_estimate(reach, target.join(basis.where(~good), "case_id", "left_semi"), stage, as_of, sub_stage)
+    code = lambda name, n: F.concat(F.lit(f"{name}:"), F.col(n).cast("string"))
+    reasons = F.array_compact(F.array(F.when(~good, code("few_peers", "peers")), F.when(F.col("thin_same_type"), code("thin_same_type", "same_type_members")), F.when(F.col("event_date").isNull(), F.lit("no_event_date"))))
+    doubts = basis.join(target, "case_id").select("case_id", "basis", "peers", reasons.alias("reasons"))
+    return ReadinessArtifact(stage, told, compare(told, case_signals), by_peers.unionByName(by_speed), doubts)

@@ -2,7 +2,7 @@
 
 Score of a text: the sum over query terms that prefix one of its words of ln(1 + count) * ln(1 + N / df); ties go to the lesser id.
 Terms are expressions over the words array, so a search is one scan, one aggregate for df, and a top-k. Tables that are searched often
-get an inverted index, of which a search reads only the words with its prefixes."""
+get a kept index (`textindex`), which searches here take instead of the scan where one is given; the results are the same."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ SPINE = ("עמוד שדרה", "שדרה", "תעלת השדרה", "גב", "צוו
 NEUROLOGICAL_INTENT = re.compile("נוירולוג|עצב|עצבי|תחושה|נימול|רדימות|הקרנה|emg", re.I)
 SPINE_INTENT = re.compile("עמוד|שדרה|גב|צוואר|צואר|דיסק|חוליה|מותני|צווארי|צוארי", re.I)
 SPECIALS = re.compile(r"[+\-&|!(){}\[\]^\"~*?:\\/]")
-#: Default of the chunks that the medical search takes from full text; None takes all.
+#: Default of the chunks that the medical search takes from full text; its parameter None takes all.
 CANDIDATES = 500
 
 
@@ -36,12 +36,20 @@ def fold_term(term: str) -> str:
     return re.sub(r"\s+", " ", bare.strip().lower())
 
 
-def fulltext(rows: DataFrame, query: str, key: str, text: str = "text", limit: int = 10) -> DataFrame:
-    """rows that hold a word with one of the query's terms as prefix, with score, best first."""
+def words_of(text: Column) -> Column:
+    """The words of a text, as the scan and the index see them."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w@.-]+")
+
+
+def fulltext(rows: DataFrame, query: str, key: str, text: str = "text", limit: int | None = 10, index=None) -> DataFrame:
+    """rows that hold a word with one of the query's terms as prefix, with score, best first; without limit all. With an index of (at least)
+    these rows' texts no text is read: counts come from the index, and how common a term is from the rows given."""
     terms = query_terms(query)
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w@.-]+")
-    count = lambda t: F.size(F.filter("_words", lambda w: w.startswith(t)))
-    counted = rows.withColumn("_words", words).select("*", *(count(t).alias(f"_c{i}") for i, t in enumerate(terms))).drop("_words")
+    if index is None:
+        count = lambda t: F.size(F.filter("_words", lambda w: w.startswith(t)))
+        counted = rows.withColumn("_words", words_of(F.col(text))).select("*", *(count(t).alias(f"_c{i}") for i, t in enumerate(terms))).drop("_words")
+    else:
+        counted = rows.select(key).join(index.counts(query).withColumnRenamed("key", key), key, "left").fillna(0, [f"_c{i}" for i in range(len(terms))])
     stats = counted.agg(F.count("*").alias("_n"), *(F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(terms)))).withColumn("_one", F.lit(1))
     hit = F.lit(False)
     for i in range(len(terms)):
@@ -50,30 +58,14 @@ def fulltext(rows: DataFrame, query: str, key: str, text: str = "text", limit: i
     score = F.lit(0.0)
     for i in range(len(terms)):
         score = score + F.when(F.col(f"_c{i}") > 0, F.log1p(f"_c{i}") * F.log1p(F.col("_n") / F.col(f"_d{i}"))).otherwise(0.0)
-    return found.select(*rows.columns, score.alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
-
-
-def build_index(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """word, key, count, n (texts in all), to be written sorted by word: prefixes are then pushed down to few row groups."""
-    words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w@.-]+"), lambda w: w != "")).alias("word"))
-    n = rows.agg(F.count("*").alias("n"), F.lit(1).alias("_one"))
-    counted = words.groupBy("word", key).agg(F.count("*").alias("count")).withColumn("_one", F.lit(1))
-    return counted.join(F.broadcast(n), "_one").drop("_one").repartitionByRange("word").sortWithinPartitions("word")
-
-
-def search_index(index: DataFrame, query: str, key: str, limit: int = 10) -> DataFrame:
-    """key, score of the texts that fulltext() would find, from an index."""
-    hits = None
-    for t in query_terms(query):
-        some = index.where(F.col("word").startswith(t)).groupBy(key).agg(F.sum("count").alias("c"), F.max("n").alias("n")).withColumn("term", F.lit(t))
-        hits = some if hits is None else hits.union(some)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(F.log1p("c") * F.log1p(F.col("n") / F.col("df"))).alias("score"))
-    return scored.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+    order = (F.desc(F.round("score", 9)), key)
+    best = found.select(*(rows.columns if index is None else [key]), score.alias("score")).orderBy(*order)
+    best = best if limit is None else best.limit(limit)
+    return best if index is None else rows.join(best, key).orderBy(*order)
 
 
-def search_evidence(chunks: DataFrame, facts: DataFrame, cases: DataFrame, query: str, limit: int = 10, kinds: tuple[str, ...] = (), **equal: str) -> DataFrame:
-    """Chunks and facts that match a query, under filters on case columns and fact kinds, by score and case name."""
+def search_evidence(chunks: DataFrame, facts: DataFrame, cases: DataFrame, query: str, limit: int = 10, kinds: tuple[str, ...] = (), index=None, **equal: str) -> DataFrame:
+    """Chunks and facts that match a query, under filters on case columns and fact kinds, by score and case name; chunks by an index of them if there is one."""
     c = cases
     for column, value in equal.items():
         c = c.where(F.col(column) == value)
@@ -82,7 +74,7 @@ def search_evidence(chunks: DataFrame, facts: DataFrame, cases: DataFrame, query
     first = first.groupBy("chunk_id").agg(F.min("fact_id").alias("fact_id"))
     limit = min(max(limit, 1), 30)
     wide = chunks.join(near, "case_id").join(first, "chunk_id", "inner" if kinds else "left")
-    a = fulltext(wide.select("chunk_id", "case_id", "case_name", "fact_id", "text"), query, "chunk_id", limit=limit).select(F.lit("chunk").alias("hit"), F.col("chunk_id").alias("id"), "case_id", "case_name", F.left("text", F.lit(700)).alias("snippet"), "score")
+    a = fulltext(wide.select("chunk_id", "case_id", "case_name", "fact_id", "text"), query, "chunk_id", limit=limit, index=index).select(F.lit("chunk").alias("hit"), F.col("chunk_id").alias("id"), "case_id", "case_name", F.left("text", F.lit(700)).alias("snippet"), "score")
     told = facts.where(F.col("kind").isin(*kinds)) if kinds else facts
     said = told.join(near, "case_id").withColumn("text", F.concat_ws(" ", "kind", "subtype", "value", "quote"))
     b = fulltext(said.select("fact_id", "case_id", "case_name", "text"), query, "fact_id", limit=limit).select(F.lit("fact").alias("hit"), F.col("fact_id").alias("id"), "case_id", "case_name", F.left("text", F.lit(700)).alias("snippet"), "score")
@@ -107,14 +99,18 @@ def _any(hay: Column, terms: tuple[str, ...]) -> Column:
 
 
 def medical_evidence(cases: DataFrame, injuries: DataFrame, body_parts: DataFrame, chunks: DataFrame, query: str, require_neurological: bool = False, require_spine: bool = False,
-                     neurological: tuple[str, ...] = NEUROLOGICAL, spine: tuple[str, ...] = SPINE, limit: int = 20) -> DataFrame:
+                     neurological: tuple[str, ...] = NEUROLOGICAL, spine: tuple[str, ...] = SPINE, limit: int = 20, candidates: int | None = CANDIDATES, index=None) -> DataFrame:
     """Cases with medical evidence for a query, scored by injuries, body parts and chunk hits; up to five snippets each.
 
-    Candidates come from the main injury, injuries, body parts, and the CANDIDATES best chunks by full text."""
+    Cases come from the main injury, injuries, body parts, and the best `candidates` chunks by full text (None: all that match), by an index of the chunks if there is one."""
     terms = expand_terms(query, require_neurological, require_spine)
     both = lambda ts: tuple(dict.fromkeys(x for t in ts for x in (t.lower(), fold_term(t)) if x))
     neuro, back = both(neurological), both(spine)
-    best = fulltext(chunks, " ".join(terms) if terms else query, "chunk_id", limit=CANDIDATES)
+    said = " ".join(terms) if terms else query
+    if index is not None and candidates is not None:
+        best = chunks.join(F.broadcast(index.top(said, candidates).rows.select(F.col("key").alias("chunk_id"))), "chunk_id", "left_semi")
+    else:
+        best = fulltext(chunks, said, "chunk_id", limit=candidates, index=index)
     match = lambda df: df.where(_any(normalize("name"), terms)).select("case_id")
     pool = cases.where(_any(normalize(F.coalesce("main_injury", F.lit(""))), terms)).select("case_id").union(match(injuries)).union(match(body_parts)).union(best.select("case_id")).distinct()
     hay = F.lower("text")

@@ -1,24 +1,17 @@
 """Explainable case similarity: IDF-weighted Jaccard over signals, blended with embedding cosine.
 
-All cases are compared by pairs of blocks: a case's profile (signals, weights, embedding) is sent to one group for each
-block, and a group holds two blocks. In a group, overlaps are one matrix product over the signals that occur in it, and
-cosines another; only pairs that reach the least score, or only those among the best of either of their cases, leave it. No
-signal is a join key, so a signal that all cases share costs no more than others."""
+Pairs come from `allpairs` (blocks of alike cases, bounds, matrix products). No signal is a join key, so a signal that all cases share costs no more than others."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quillspark import constants as K
 from quillspark.sources.scratch import materialize
 
-#: Cases of a block, and signals of a matrix product.
-BLOCK, SIGNALS = 1024, 4096
+from . import allpairs
 
 
 def idf(case_signals: DataFrame) -> DataFrame:
@@ -29,99 +22,34 @@ def idf(case_signals: DataFrame) -> DataFrame:
     return df.select("signal_key", "cases", (F.ln((1 + F.col("n")) / (1 + F.col("cases"))) + 1).alias("weight"))
 
 
-def weighted_signals(case_signals: DataFrame) -> DataFrame:
-    """case_id, signal_key, weight."""
-    weights = idf(case_signals).select("signal_key", F.round("weight", 12).alias("weight"))
+def signal_weights(case_signals: DataFrame) -> DataFrame:
+    return idf(case_signals).select("signal_key", F.round("weight", 12).alias("weight"))
+
+
+def weighted_signals(case_signals: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """case_id, signal_key, weight; by given weights, signals that have none there leave no trace."""
+    weights = signal_weights(case_signals) if weights is None else weights
     return case_signals.select("case_id", "signal_key").distinct().join(weights, "signal_key").select("case_id", "signal_key", "weight")
 
 
-def _common(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Weights of the shared signals, left x right."""
-    keys = [np.concatenate(side["keys"].to_list()) for side in (left, right)]
-    weights = np.concatenate(left["weights"].to_list())
-    kinds = np.intersect1d(*keys)
-    rows = [np.repeat(np.arange(len(side)), side["keys"].map(len)) for side in (left, right)]
-    out = np.zeros((len(left), len(right)))
-    at = [np.searchsorted(kinds, k) for k in keys]
-    known = [(a < len(kinds)) & (kinds[np.minimum(a, len(kinds) - 1)] == k) if len(kinds) else np.zeros(len(k), bool) for a, k in zip(at, keys, strict=True)]
-    for lo in range(0, len(kinds), SIGNALS):
-        width = min(SIGNALS, len(kinds) - lo)
-        sides = []
-        for n, (row, a, ok) in zip(map(len, (left, right)), zip(rows, at, known, strict=True), strict=True):
-            here = ok & (a >= lo) & (a < lo + width)
-            m = np.zeros((n, width))
-            m[row[here], a[here] - lo] = 1.0 if sides else weights[here]
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-    return out
-
-
-def _cosines(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Cosines, left x right; not a number where one is missing or zero, or lengths differ."""
-    out = np.full((len(left), len(right)), np.nan)
-    sizes = [np.array([-1 if e is None else len(e) for e in side]) for side in (left, right)]
-    for d in np.intersect1d(*sizes):
-        if d > 0:
-            at = [np.flatnonzero(s == d) for s in sizes]
-            x, y = (np.array(side.iloc[i].to_list(), float) for side, i in zip((left, right), at, strict=True))
-            norms = np.sqrt((x**2).sum(axis=1)[:, None] * (y**2).sum(axis=1)[None, :])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[np.ix_(*at)] = np.where(norms > 0, x @ y.T / norms, np.nan)
-    return out
-
-
-def _best(score: np.ndarray, ok: np.ndarray, top: int) -> np.ndarray:
-    """Which cells are among the best `top` of their row; of equal scores the first columns."""
-    order = np.argsort(-np.where(ok, np.round(score, 9), -np.inf), axis=1, kind="stable")[:, :top]
-    keep = np.zeros_like(ok)
-    np.put_along_axis(keep, order, True, axis=1)
-    return keep & ok
-
-
-def _compare(min_score: float, top: int | None):
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("case_id", kind="stable")
-        one = rows["i"].iloc[0] == rows["j"].iloc[0]
-        left = rows if one else rows[rows["own"] == rows["i"]]
-        right = rows if one else rows[rows["own"] == rows["j"]]
-        common = _common(left, right) if len(left) and len(right) else np.zeros((len(left), len(right)))
-        t = [np.array([np.sum(w) for w in side["weights"]]) for side in (left, right)]
-        signal = common / np.maximum(t[0][:, None] + t[1][None, :] - common, 1e-300)
-        semantic = _cosines(left["e"], right["e"])
-        score = np.where(np.isnan(semantic), signal, K.SIGNAL_SHARE * signal + K.SEMANTIC_SHARE * semantic)
-        a, b = left["case_id"].to_numpy(), right["case_id"].to_numpy()
-        ok = (common > 0) & (score >= min_score)
-        if one:
-            np.fill_diagonal(ok, False)
-        if top is not None:
-            ok = _best(score, ok, top) | _best(score.T, ok.T, top).T
-        x, y = np.nonzero(ok)
-        if one:  # each pair lies on both sides of the diagonal
-            x, y = x[x < y], y[x < y]
-        swap = a[x] > b[y]
-        sem = semantic[x, y]
-        return pd.DataFrame({"case_a": np.where(swap, b[y], a[x]), "case_b": np.where(swap, a[x], b[y]), "signal_score": signal[x, y], "semantic_score": pd.Series(sem).where(~np.isnan(sem), None), "combined_score": score[x, y]})
-
-    return group
-
-
-def similar_pairs(case_signals: DataFrame, embeddings: DataFrame | None = None, min_score: float = K.MIN_SIMILARITY, top: int | None = None) -> DataFrame:
-    """case_a < case_b, signal_score, semantic_score, combined_score, for pairs that share a signal and reach the
-    least combined score. With top, pairs that are not among the best `top` of either case in their group may be left out."""
-    profile = weighted_signals(case_signals).groupBy("case_id").agg(F.collect_list(F.struct(F.xxhash64("signal_key").alias("k"), F.col("weight").alias("w"))).alias("s"))
-    profile = profile.select("case_id", F.col("s.k").alias("keys"), F.col("s.w").alias("weights"))
+def profiles(case_signals: DataFrame, embeddings: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """case_id, keys (a number for each signal) and weights in step, e (embedding or null), and stamp, which changes with any of them."""
+    weights = signal_weights(case_signals) if weights is None else weights
+    # Numbers are given once, when the table is written, so no two signals share one.
+    named = materialize(weights.select("signal_key", "weight").withColumn("k", F.monotonically_increasing_id()), "signal-weights")
+    own = case_signals.select("case_id", "signal_key").distinct().join(named, "signal_key")
+    own = own.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("signal_key", "weight", "k"))).alias("s"))
     if embeddings is None:
-        profile = profile.withColumn("e", F.lit(None).cast("array<double>"))
+        own = own.withColumn("e", F.lit(None).cast("array<double>"))
     else:
-        profile = profile.join(embeddings.groupBy("case_id").agg(F.first("embedding").cast("array<double>").alias("e")), "case_id", "left")
-    profile = materialize(profile, "profiles")
-    blocks = max(1, -(-profile.count() // BLOCK))
-    own = F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int")
-    dealt = profile.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
-    case = profile.schema["case_id"].dataType
-    schema = T.StructType([T.StructField(n, t) for n, t in (("case_a", case), ("case_b", case), *((n, T.DoubleType()) for n in ("signal_score", "semantic_score", "combined_score")))])
-    return dealt.groupBy("i", "j").applyInPandas(_compare(min_score, top), schema)
+        own = own.join(embeddings.groupBy("case_id").agg(F.first("embedding").cast("array<double>").alias("e")), "case_id", "left")
+    stamp = F.sha2(F.to_json(F.struct(F.transform("s", lambda x: F.struct(x["signal_key"], x["weight"])).alias("s"), "e")), 256)
+    return materialize(own.select("case_id", F.col("s.k").alias("keys"), F.col("s.weight").alias("weights"), "e", stamp.alias("stamp")), "profiles")
+
+
+def similar_pairs(case_signals: DataFrame, embeddings: DataFrame | None = None, min_score: float = K.MIN_SIMILARITY) -> DataFrame:
+    """case_a < case_b, signal_score, semantic_score, combined_score, for pairs that share a signal and reach the least combined score."""
+    return allpairs.above(profiles(case_signals, embeddings), min_score)
 
 
 def overlaps(pairs: DataFrame, case_signals: DataFrame) -> DataFrame:
@@ -148,15 +76,20 @@ def prune(pairs: DataFrame, top: int = K.TOP_NEIGHBOURS) -> DataFrame:
     return pairs.join(ends.select("case_a", "case_b").distinct(), ["case_a", "case_b"], "left_semi")
 
 
+def undirected(best: DataFrame) -> DataFrame:
+    """The pairs of directed rows, each once."""
+    pairs = best.withColumns({"case_a": F.least("case_id", "other_id"), "case_b": F.greatest("case_id", "other_id")})
+    return pairs.groupBy("case_a", "case_b").agg(*(F.first(c).alias(c) for c in ("signal_score", "semantic_score", "combined_score")))
+
+
 def neighbours(case_signals: DataFrame, embeddings: DataFrame | None = None, top: int = K.TOP_NEIGHBOURS) -> DataFrame:
-    """The edges to publish: pairs among the best `top` of either case. Only those leave the groups that compare them."""
-    return prune(materialize(similar_pairs(case_signals, embeddings, top=top), "pairs"), top)
+    """The edges to publish: pairs among the best `top` of either case."""
+    return undirected(allpairs.nearest(profiles(case_signals, embeddings), top).best)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Each pair from either of its cases: case_id, other_id and the pair's columns."""
-    rest = [c for c in pairs.columns if c not in ("case_a", "case_b")]
-    return pairs.selectExpr("case_a case_id", "case_b other_id", *rest).union(pairs.selectExpr("case_b case_id", "case_a other_id", *rest))
+    return allpairs.directed(pairs)
 
 
 def embedding_text(cases: DataFrame, injuries: DataFrame, body_parts: DataFrame, insurers: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ class Portfolio:
     facts: DataFrame
     embeddings: DataFrame
     texts: DataFrame
+    #: Where the tables come from; what is published of them is kept under this name.
+    name: str = ""
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +107,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         insurers=suppliers.join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("case_id", F.lower("n_name").alias("normalized"), F.col("n_name").alias("name")).distinct(),
         experts=suppliers.where("l_returnflag in ('A', 'R')").select("case_id", F.lower("s_name").alias("key"), F.col("s_name").alias("name"), F.when(F.col("l_returnflag") == "A", "ours").otherwise("court").alias("side")).distinct(),
         contacts=contacts, case_contacts=suppliers.select("case_id", F.col("l_suppkey").alias("contact_id")).distinct(),
-        valuations=valuations, components=wide, facts=facts, embeddings=t("embeddings").select(F.col("vec_id").alias("case_id"), "embedding"), texts=texts,
+        valuations=valuations, components=wide, facts=facts, embeddings=t("embeddings").select(F.col("vec_id").alias("case_id"), "embedding"), texts=texts, name=sf_dir,
     )
 
 

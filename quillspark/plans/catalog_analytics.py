@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import hashlib
 
-from quillspark.functions.stats import weighted_quantiles
-from quillspark.operators import cohorts, signals, similarity
+from pyspark.sql import functions as F
 
-from quillspark.sources.scratch import materialize
+from quillspark.functions.stats import exact_quantiles
+from quillspark.operators import cohorts, edges, signals, similarity
+from quillspark.sources import sinks
+from quillspark.sources.scratch import materialize, scratch_dir, scratch_path
 
 from .registry import Registry
 
@@ -28,10 +30,29 @@ def reach(p):
 
 
 def neighbours(p):
-    """The published similarity edges: a derived table that feeds several joins."""
+    """The similarity edges, compared anew."""
     return materialize(similarity.neighbours(materialize(case_signals(p), "signals"), p.embeddings), "neighbours")
 
 
+def published_path(p) -> str:
+    """Where the edges of these tables lie: the first query that needs them publishes them, once for a session and its tables; all others read them."""
+    spark = p.cases.sparkSession
+    path = f"{scratch_dir(spark)}/similar-{spark.sparkContext.applicationId}-{hashlib.md5(p.name.encode()).hexdigest()}"
+    if sinks.manifest(spark, f"{path}/stamps") is None:
+        edges.publish(path, materialize(case_signals(p), "signals"), p.embeddings)
+    return path
+
+
+def near(p, case_id=None):
+    """The published edges both ways, of all cases or of one, whose part alone is opened."""
+    spark, path = p.cases.sparkSession, published_path(p)
+    return edges.read(spark, path) if case_id is None else edges.read_case(spark, path, case_id)
+
+
+def near_pairs(p):
+    return edges.pairs(p.cases.sparkSession, published_path(p))
+
+
 @R.add("cohort_common_signals", "SELECT cohort_key, scope, scope_type, stage, sub_stage, signal_key, round(support, 6) AS support, round(lift, 6) AS lift, round(weight, 6) AS weight, median_lead_days, position FROM common")
 def _(p):
     return cohorts.common_signals(reach(p), case_signals(p), p.cases).select("cohort_key", *cohorts.KEYS, "signal_key", *r6("support", "lift", "weight"), "median_lead_days", F.col("position").cast("long"))
@@ -100,7 +121,7 @@ def _(p):
 def _(p):
     s = F.col("combined_score")
     q = [F.round(F.percentile(s, F.lit(x)), 6).alias(n) for n, x in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
-    return neighbours(p).agg(F.count("*").alias("pairs"), F.round(F.min(s), 6).alias("lowest"), F.round(F.max(s), 6).alias("highest"), F.round(F.avg(s), 6).alias("mean"), *q)
+    return near_pairs(p).agg(F.count("*").alias("pairs"), F.round(F.min(s), 6).alias("lowest"), F.round(F.max(s), 6).alias("highest"), F.round(F.avg(s), 6).alias("mean"), *q)
 
 
 @R.add(
@@ -114,6 +135,16 @@ def _(p):
     return pairs.select("case_a", "case_b", F.array_join("reasons", ",").alias("reasons"))
 
 
+@R.add("refreshed_similarity", "SELECT case_id, other_id, round(combined_score, 6) AS combined_score FROM near")
+def _(p):
+    """Edges published when every fiftieth embedding was another one, and refreshed since."""
+    spark, path = p.cases.sparkSession, scratch_path(p.cases.sparkSession, "refreshed")
+    own = materialize(case_signals(p), "signals")
+    edges.publish(path, own, p.embeddings.withColumn("embedding", F.when(F.col("case_id") % 50 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    edges.refresh(path, own, p.embeddings)
+    return edges.read(spark, path).select("case_id", "other_id", *r6("combined_score"))
+
+
 @R.add(
     "embedding_texts",
     """, x AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM injuries GROUP BY 1), y AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM body_parts GROUP BY 1), z AS (SELECT case_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM insurers GROUP BY 1)
@@ -145,4 +176,5 @@ def _(p):
   FROM (SELECT *, sum(client_age) OVER (PARTITION BY case_type ORDER BY months_since_event RANGE UNBOUNDED PRECEDING) AS run, sum(client_age) OVER (PARTITION BY case_type) AS total FROM cases WHERE months_since_event IS NOT NULL) GROUP BY 1""",
 )
 def _(p):
-    return weighted_quantiles(p.cases, ["case_type"], "months_since_event", "client_age", p25=0.25, p50=0.5, p75=0.75)
+    q = exact_quantiles(p.cases, ["case_type"], "months_since_event", "client_age", p25=0.25, p50=0.5, p75=0.75)
+    return q.select("case_type", *(F.col(c).cast("long").alias(c) for c in ("p25", "p50", "p75")))

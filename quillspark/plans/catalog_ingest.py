@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunks, facts, ingest, search
-from quillspark.sources.scratch import materialize
+from quillspark.operators import chunks, facts, ingest, search, textindex
+from quillspark.sources.scratch import scratch_dir, scratch_path
 
 from .registry import Registry
 
@@ -130,11 +132,32 @@ def _(spark, sf_dir):
     return search.fulltext(docs, "licen* apache", "doc_id", limit=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def kept_index(spark, name, rows, key):
+    """The index of a table's texts: the first query that needs it builds it, once for a session; all others read it."""
+    path = f"{scratch_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(name.encode()).hexdigest()}"
+    index = textindex.TextIndex(spark, path)
+    if not index.segments():
+        index.add(rows, key)
+    return index
+
+
 @R.add("fulltext_index_search", ORACLE_SQL["fulltext_search"], base=False)
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = materialize(search.build_index(docs, "doc_id"), "index")
-    return search.search_index(index, "licen* apache", "doc_id", limit=20).select("doc_id", F.round("score", 6).alias("score"))
+    found = kept_index(spark, f"{sf_dir}/documents", docs, "doc_id").top("licen* apache", 20)
+    return found.rows.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@R.add("fulltext_index_delta", ORACLE_SQL["fulltext_search"], base=False)
+def _(spark, sf_dir):
+    """An index of other texts for every third id and of ids that are gone, brought up to date by a delta segment and a removal."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    third = F.col("doc_id") % 3 == 0
+    index = textindex.TextIndex(spark, scratch_path(spark, "index"))
+    index.add(docs.withColumn("text", F.when(third, F.concat(F.lit("apache "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))).union(docs.where(third).select(-F.col("doc_id") - 1, "text")), "doc_id")
+    index.add(docs.where(third), "doc_id")
+    index.remove(docs.where(third).select((-F.col("doc_id") - 1).alias("doc_id")), "doc_id")
+    return index.top("licen* apache", 20).rows.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _NEURO, _SPINE = ("ther", "promo"), ("tion", "brand#2")
@@ -149,7 +172,8 @@ SELECT case_id, case_name, 8 + CASE WHEN EXISTS (SELECT 1 FROM body_parts b WHER
 )
 def _(p):
     rows = p.texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "case_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("char_count", F.length("text"))
-    return search.medical_evidence(p.cases, p.injuries, p.body_parts, rows, "promo", neurological=_NEURO, spine=_SPINE).drop("snippets")
+    index = kept_index(p.cases.sparkSession, f"{p.name}/chunks", rows.select("chunk_id", "text"), "chunk_id")
+    return search.medical_evidence(p.cases, p.injuries, p.body_parts, rows, "promo", neurological=_NEURO, spine=_SPINE, index=index).drop("snippets")
 
 
 @R.add("reach_from_log_only", "SELECT case_id, stage, min(occurred_at) AS reached_at FROM stage_events WHERE source = 'activity_log' GROUP BY 1, 2")
@@ -172,5 +196,6 @@ SELECT hit, id, case_id, round(score, 6) AS score FROM top WHERE r <= 12 ORDER B
 )
 def _(p):
     rows = p.texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "case_id", "text")
+    index = kept_index(p.cases.sparkSession, f"{p.name}/chunks", rows.select("chunk_id", "text"), "chunk_id")
     said = p.facts.select("fact_id", "case_id", "kind", "subtype", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("quote"))
-    return search.search_evidence(rows, said, p.cases, "licensed permanent", limit=12, case_type="BUILDING").select("hit", "id", "case_id", F.round("score", 6).alias("score"))
+    return search.search_evidence(rows, said, p.cases, "licensed permanent", limit=12, index=index, case_type="BUILDING").select("hit", "id", "case_id", F.round("score", 6).alias("score"))

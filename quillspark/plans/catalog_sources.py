@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import dates
 from quillspark.functions import text as tx
-from quillspark.operators import chunks, cohorts, facts, ingest, readiness, similarity
+from quillspark.operators import chunks, cohorts, edges, facts, ingest, readiness
 from quillspark.sources import contracts, sinks
 from quillspark.sources.scratch import materialize, scratch_path
 
 from .adapter import AS_OF
-from .catalog_analytics import case_signals, neighbours, reach
+from .catalog_analytics import case_signals, near, reach
 from .catalog_tools import CASE, STAGE
 from .registry import Registry
 
@@ -382,8 +382,8 @@ def _(spark, sf_dir):
 def _(p):
     spark = p.cases.sparkSession
     path = scratch_path(spark, "similar-to")
-    sinks.replace_table(similarity.both_ways(neighbours(p)), path)
-    return sinks.read_table(spark, path).select("case_id", "other_id", F.round("combined_score", 6).alias("combined_score"))
+    edges.publish(path, materialize(case_signals(p), "signals"), p.embeddings)
+    return edges.read(spark, path).select("case_id", "other_id", F.round("combined_score", 6).alias("combined_score"))
 
 
 @R.add("published_cohorts", "SELECT cohort_key, members, confidence FROM (SELECT cohort_key, members, CASE WHEN members >= 25 AND logged >= 25 THEN 'high' WHEN members >= 12 THEN 'medium' ELSE 'low' END AS confidence FROM coh)")
@@ -410,11 +410,11 @@ SELECT {CASE}::BIGINT AS case_id, '{STAGE}' AS stage, (SELECT count(*) FROM cmp)
 def _(p):
     spark = p.cases.sparkSession
     r, sig = reach(p), materialize(case_signals(p), "signals")
-    near = materialize(similarity.both_ways(neighbours(p)), "near")
     # The case itself is no peer of its own.
-    told = readiness.explain(p.cases.where(F.col("case_id") == CASE), STAGE, cohorts.cohorts(r), cohorts.common_signals(r, sig, p.cases), sig, r.where(F.col("case_id") != CASE), near, AS_OF)
+    told = readiness.explain(p.cases.where(F.col("case_id") == CASE), STAGE, cohorts.cohorts(r), cohorts.common_signals(r, sig, p.cases), sig, r.where(F.col("case_id") != CASE), near(p, CASE), AS_OF)
     composer = readiness.ArtifactComposer()
-    for part in ("pattern", "comparison", "estimate"):
-        made = composer.observe(part, CASE, STAGE, getattr(told, part), tuple(told.reasons))
-    status = made.comparison.groupBy().agg(F.count("*").alias("pattern"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "missing").alias("missing"))
-    return made.estimate.select("case_id", F.lit(made.stage).alias("stage"), "timed_peers", F.lit("; ".join(made.reasons)).alias("reasons")).join(F.broadcast(status), F.lit(True))
+    for part in composer.PARTS:
+        made = composer.observe(part, CASE, STAGE, getattr(told, part))
+    status = made.comparison.groupBy("case_id").agg(F.count("*").alias("pattern"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "missing").alias("missing"))
+    doubts = made.reasons.select("case_id", F.array_join("reasons", "; ").alias("reasons"))
+    return made.estimate.select("case_id", F.lit(made.stage).alias("stage"), "timed_peers").join(doubts, "case_id").join(status, "case_id", "left").fillna(0, ["pattern", "matched", "missing"])

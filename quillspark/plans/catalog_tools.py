@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, cohorts, comparables, lookup, portfolio, readiness, signals, similarity
+from quillspark.functions.stats import exact_quantiles
+from quillspark.operators import audit, cohorts, comparables, lookup, portfolio, readiness, signals
 from quillspark.operators.portfolio import CaseFilter
+from quillspark.sources.scratch import materialize
 
 from .adapter import AS_OF
-from .catalog_analytics import case_signals, neighbours, r6, reach
+from .catalog_analytics import case_signals, near, near_pairs, r6, reach
 from .registry import Registry
 
 R = Registry()
@@ -176,16 +178,16 @@ def _(p):
 
 @R.add("similar_cases_for_seed", f"SELECT other_id, case_name, round(combined_score, 6) AS combined_score FROM near JOIN cases c ON c.case_id = other_id WHERE near.case_id = {CASE} AND EXISTS (SELECT 1 FROM reaches r WHERE r.case_id = other_id AND stage = '{STAGE}') ORDER BY round(near.combined_score, 9) DESC, case_name LIMIT 5")
 def _(p):
-    near = similarity.both_ways(neighbours(p)).where(F.col("case_id") == CASE).select("other_id", "combined_score")
+    own = near(p, CASE).select("other_id", "combined_score")
     there = reach(p).where(F.col("stage") == STAGE).select(F.col("case_id").alias("other_id")).distinct()
     names = p.cases.select(F.col("case_id").alias("other_id"), "case_name")
-    return near.join(there, "other_id", "left_semi").join(names, "other_id").orderBy(F.desc(F.round("combined_score", 9)), "case_name").limit(5).select("other_id", "case_name", *r6("combined_score"))
+    return own.join(there, "other_id", "left_semi").join(names, "other_id").orderBy(F.desc(F.round("combined_score", 9)), "case_name").limit(5).select("other_id", "case_name", *r6("combined_score"))
 
 
 @R.add("most_similar_pairs", "SELECT case_a, case_b, round(combined_score, 6) AS combined_score FROM sim JOIN cases a ON a.case_id = case_a JOIN cases b ON b.case_id = case_b WHERE a.case_type = b.case_type ORDER BY round(combined_score, 9) DESC, a.case_name, b.case_name LIMIT 10")
 def _(p):
     side = lambda x: p.cases.select(F.col("case_id").alias(f"case_{x}"), F.col("case_type").alias(f"type_{x}"), F.col("case_name").alias(f"name_{x}"))
-    rows = neighbours(p).join(side("a"), "case_a").join(side("b"), "case_b").where("type_a = type_b")
+    rows = near_pairs(p).join(side("a"), "case_a").join(side("b"), "case_b").where("type_a = type_b")
     return rows.orderBy(F.desc(F.round("combined_score", 9)), "name_a", "name_b").limit(10).select("case_a", "case_b", *r6("combined_score"))
 
 
@@ -202,7 +204,7 @@ comp AS (SELECT sc.*, valuation_id, compensation_min, compensation_max, m + CASE
 
 
 def _comparables(p):
-    return comparables.comparable_cases(p, comparables.ComparableFilter(case_id=CASE), similarity.both_ways(neighbours(p)))
+    return comparables.comparable_cases(p, comparables.ComparableFilter(case_id=CASE), near(p, CASE))
 
 
 @R.add("comparable_cases", f", {_FACTSEED} SELECT case_id, case_name, case_type, legal_stage, round(score::DOUBLE, 6) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence, valuation_id FROM comp")
@@ -243,9 +245,27 @@ pat AS (SELECT a.case_id, a.cohort_key, a.members, k.signal_key, k.support, k.li
 cmp AS (SELECT p.*, first_observed, CASE WHEN first_observed IS NOT NULL THEN 'matched' WHEN split_part(signal_key, ':', 1) IN ('injury', 'bodyPart', 'insurer', 'contactRole') THEN 'context' ELSE 'missing' END AS status FROM pat p LEFT JOIN sig USING (case_id, signal_key))"""
 
 
-@R.add("derive_readiness_pattern", f", {_PAT} SELECT case_id, cohort_key, signal_key, round(support, 6) AS support, round(lift, 6) AS lift, round(weight, 6) AS weight FROM pat WHERE case_id = {CASE}")
+@R.add(
+    "derive_readiness_pattern",
+    f""", {_PAT}, st AS (SELECT count(DISTINCT r.case_id) AS m FROM reaches r JOIN cases c ON c.case_id = {CASE} AND r.case_type = c.case_type WHERE stage = '{STAGE}' AND sub_stage = '')
+SELECT pat.case_id, cohort_key, signal_key, round(support, 6) AS support, round(lift, 6) AS lift, round(weight, 6) AS weight, m AS same_type_members, starts_with(cohort_key, 'global') AND m BETWEEN 3 AND 4 AS thin_same_type FROM pat, st WHERE case_id = {CASE}""",
+)
+def _(p):
+    rows = readiness.with_same_type(_pattern(p, CASE)[0], reach(p), p.cases, STAGE)
+    return rows.select("case_id", "cohort_key", "signal_key", *r6("support", "lift", "weight"), "same_type_members", "thin_same_type")
+
+
+@R.add(
+    "selected_cohorts",
+    f""", app AS (SELECT * FROM (SELECT c.case_id, c.case_type, coh.*, row_number() OVER (PARTITION BY c.case_id, stage, sub_stage ORDER BY (coh.scope = 'global')::INT) AS r FROM cases c JOIN coh ON coh.scope_type IN ('all', c.case_type)) WHERE r = 1),
+st AS (SELECT case_type, stage, sub_stage, count(DISTINCT case_id) AS m FROM reaches GROUP BY ALL)
+SELECT case_id, app.stage, app.sub_stage, cohort_key, members, coalesce(m, 0) AS same_type_members, scope = 'global' AND coalesce(m, 0) BETWEEN 3 AND 4 AS thin_same_type FROM app LEFT JOIN st ON st.case_type = app.case_type AND st.stage = app.stage AND st.sub_stage = app.sub_stage""",
+)
 def _(p):
-    return _pattern(p, CASE)[0].select("case_id", "cohort_key", "signal_key", *r6("support", "lift", "weight"))
+    """The cohort of each case and stage, and how many of the case's own type stand behind a widened one."""
+    r = reach(p)
+    own = readiness.applicable_cohorts(cohorts.cohorts(r), p.cases)
+    return readiness.with_same_type(own, r, p.cases).select("case_id", "stage", "sub_stage", "cohort_key", "members", "same_type_members", "thin_same_type")
 
 
 @R.add("compare_case_to_pattern", f", {_PAT} SELECT case_id, cohort_key, signal_key, status FROM cmp")
@@ -272,7 +292,7 @@ SELECT c.case_id, CASE WHEN coalesce(n, 0) < 3 THEN 'no_estimate' WHEN p50 < 0 T
 )
 def _(p):
     target = p.cases.select("case_id", "event_date")
-    out = readiness.estimate(reach(p), target, STAGE, similarity.both_ways(neighbours(p)), AS_OF)
+    out = readiness.estimate(reach(p), target, STAGE, near(p), AS_OF)
     return out.withColumns({c: F.col(c).cast("double") for c in ("median_days", "p25_days", "p75_days")})
 
 
@@ -303,8 +323,8 @@ def _(p):
 
 @R.add("stage_position", f", {_TRANS}, d AS (SELECT case_id, date_sub('day', event_date, at_stage) AS days FROM tr WHERE at_stage IS NOT NULL) SELECT case_id, CASE WHEN days < (SELECT quantile_cont(days, 0.25) FROM d) THEN 'below' WHEN days > (SELECT quantile_cont(days, 0.75) FROM d) THEN 'above' ELSE 'within' END AS position FROM d")
 def _(p):
-    rows = portfolio.stage_transitions(reach(p), p.cases, STAGE).select("case_id", "days", F.lit(1).alias("one"))
-    q = rows.agg(F.percentile("days", F.lit(0.25)).alias("p25"), F.percentile("days", F.lit(0.75)).alias("p75"), F.lit(1).alias("one"))
+    rows = materialize(portfolio.stage_transitions(reach(p), p.cases, STAGE).select("case_id", "days", F.lit(1).alias("one")), "transitions")
+    q = exact_quantiles(rows, [], "days", p25=0.25, p75=0.75).withColumn("one", F.lit(1))
     return rows.join(F.broadcast(q), "one").select("case_id", portfolio.position(F.col("days"), F.col("p25"), F.col("p75")).alias("position"))
 
 
@@ -338,7 +358,7 @@ def _(p):
 
 @R.add("similarity_buckets", "SELECT CASE WHEN combined_score >= 0.7 THEN '0.7+' WHEN combined_score >= 0.5 THEN '0.5-0.7' WHEN combined_score >= 0.3 THEN '0.3-0.5' ELSE '<0.3' END AS bucket, count(*) AS pairs FROM sim GROUP BY 1")
 def _(p):
-    return audit.similarity_buckets(neighbours(p))
+    return audit.similarity_buckets(near_pairs(p))
 
 
 @R.add("conversation_last_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3", base=False)

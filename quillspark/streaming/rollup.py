@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.sinks import read_table, replace_table
+from quillspark.sources.sinks import merge_rows, read_table
 
 SCHEMA = "event_id long, user_id long, ts timestamp, event_type string, value double, props string"
 WATERMARK = "1 day"
@@ -42,15 +42,12 @@ def fold(rows: DataFrame) -> DataFrame:
 
 
 def rollup_into(path: str):
-    """A foreachBatch function that folds a batch of observations into the table at path; a batch that is repeated counts once."""
+    """A foreachBatch function that folds a batch of observations into the table at path; only parts with the batch's keys are
+    rewritten, and a batch that is repeated counts once."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = read_table(batch.sparkSession, path)
-        if old is not None and old.agg(F.max("batch_id")).first()[0] >= batch_id:
-            return
         new = fold(batch.selectExpr("case_id", "signal_key", "observed_at first_observed", "observed_at last_observed", "1L observations"))
-        both = new if old is None else fold(old.select(*new.columns).unionByName(new))
-        replace_table(both.withColumn("batch_id", F.lit(batch_id)), path)
+        merge_rows(new, path, ["case_id", "signal_key"], lambda old, rows: fold(old.unionByName(rows)), step=batch_id)
 
     return step
 
@@ -59,4 +56,4 @@ def run_rollup(spark: SparkSession, source: str, path: str, checkpoint: str) ->
     """Drains the source into the table and returns it."""
     q = observations(event_stream(spark, source)).writeStream.foreachBatch(rollup_into(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return read_table(spark, path).drop("batch_id")
+    return read_table(spark, path)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -71,3 +72,21 @@ def test_cosine(spark):
 
 def test_content_hash_ignores_white_space(spark):
     assert one(spark, text.content_hash("x"), x=" a \n b ") == one(spark, text.content_hash("x"), x="a b")
+
+
+@pytest.mark.parametrize(("most", "splits"), [(3, 2), (20, 8), (10**6, 1024)])
+def test_exact_quantiles_equal_percentile(spark, most, splits):
+    rng = random.Random(most)
+    rows = [(rng.choice(["a", "b", None]), None if i % 50 == 0 else rng.choice([1e-9, 1.0, 1.0, rng.random() * 10 ** rng.randrange(9), -rng.random(), float(rng.randrange(5))]), rng.choice([0, 1, 2, 5])) for i in range(600)] + [("one", 7.0, 1), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    ps = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = stats.exact_quantiles(df, ["g"], "v", most=most, splits=splits, **ps)
+    want = df.where("v is not null").groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(x) for x, p in ps.items()))
+    near = lambda t: {r.g: [pytest.approx(r[x], rel=1e-12) for x in ps] for r in t.collect()}
+    assert {r.g: [r[x] for x in ps] for r in got.collect()} == near(want)
+    weighted = stats.exact_quantiles(df, ["g"], "v", "w", most=most, splits=splits, p25=0.25, p50=0.5, p75=0.75).collect()
+    plain = stats.weighted_quantiles(df, ["g"], "v", "w", p25=0.25, p50=0.5, p75=0.75).collect()
+    assert sorted(map(tuple, weighted), key=repr) == sorted(map(tuple, plain), key=repr)
+    whole = stats.exact_quantiles(df, [], "v", most=most, splits=splits, p50=0.5).first().p50
+    assert whole == pytest.approx(df.agg(F.percentile("v", F.lit(0.5))).first()[0])
+    assert stats.exact_quantiles(df.limit(0), [], "v", p50=0.5).count() == 0

@@ -87,9 +87,11 @@ def test_estimate_shapes(spark):
 
 def test_artifact_once(spark):
     c, df = readiness.ArtifactComposer(), spark.range(1)
-    assert c.observe("pattern", 1, "s", df, ("few",)) is None and c.observe("comparison", 1, "s", df, ("few", "old")) is None
-    assert c.observe("estimate", 1, "s", df).reasons == ["few", "old"]
+    assert all(c.observe(part, 1, "s", df) is None for part in c.PARTS[:-1])
+    assert c.observe("reasons", 1, "s", df).reasons is df
     assert c.observe("estimate", 1, "s", df) is None
+    with pytest.raises(ValueError):
+        c.observe("other", 1, "s", df)
 
 
 @pytest.mark.parametrize(("months", "left", "near"), [(24, 60, False), (73, 11, True), (91, -7, True), (100, -16, False), (None, None, False)])
@@ -238,10 +240,26 @@ def test_decision_for_target_and_sparse_stage(spark):
     assert {r.members for r in rows.collect()} == {12}
     a = readiness.explain(cases.where("case_id = 0"), "file_claim", rows, common, sig, reach, near, "2026-02-10")
     assert {(r.signal_key, r.status) for r in a.comparison.collect()} == {("documentCategory:evidence", "missing"), ("documentCategory:medical", "matched")}
-    assert 0 < readiness.coverage(a.comparison).first().coverage < 1 and a.reasons == []
+    said = lambda x: [r for row in x.reasons.collect() for r in row.reasons]
+    assert 0 < readiness.coverage(a.comparison).first().coverage < 1 and said(a) == []
     e = a.estimate.first()
     assert (e.status, e.median_days, e.timed_peers, e.confidence) == ("future", 94 - 40, 8, "medium")
     undated = readiness.explain(cases.where("case_id = 1"), "file_claim", rows, common, sig, reach, near, "2026-02-10")
-    assert undated.estimate.first().status == "no_estimate" and "eventDate" in undated.reasons[0]
+    assert undated.estimate.first().status == "no_estimate" and said(undated) == ["no_event_date"]
     sparse = readiness.explain(cases.where("case_id = 0"), "rare", rows, common, sig, reach, near, "2026-02-10")
-    assert sparse.estimate.first().confidence == "low" and sparse.estimate.first().median_days == 60 and sparse.reasons == ["only 1 historical peer reached rare"]
+    assert sparse.estimate.first().confidence == "low" and sparse.estimate.first().median_days == 60 and said(sparse) == ["few_peers:1"]
+    both = readiness.explain(cases.where("case_id < 2"), "file_claim", rows, common, sig, reach, near, "2026-02-10")
+    assert {r.case_id: (r.status, r.timed_peers) for r in both.estimate.collect()} == {0: ("future", 8), 1: ("no_estimate", undated.estimate.first().timed_peers)}
+
+
+def test_thin_same_type_context(spark):
+    """Four cases of a type reached the stage: too few for their cohort, enough to be told of."""
+    n = {"car": 4, "work": 9, "other": 2}
+    cases = spark.createDataFrame([(100 * k + i, t, T0) for k, (t, m) in enumerate(n.items()) for i in range(m)] + [(901, "car", T0), (902, "work", T0), (903, "other", T0), (904, None, T0)], "case_id long, case_type string, event_date timestamp")
+    events = [(100 * k + i, "file_claim", None, T0 + DAY, "activity_log") for k, m in enumerate(n.values()) for i in range(m)]
+    reach = cohorts.reaches(spark.createDataFrame(events, "case_id long, stage string, sub_stage string, occurred_at timestamp, source string"), cases)
+    asked = cases.where("case_id > 900")
+    own = readiness.with_same_type(readiness.applicable_cohorts(cohorts.cohorts(reach), asked), reach, asked)
+    assert {r.case_id: (r.scope, r.same_type_members, r.thin_same_type) for r in own.collect()} == {901: ("global", 4, True), 902: ("caseType", 9, False), 903: ("global", 2, False), 904: ("global", 0, False)}
+    got = {r.case_id: (r.basis, r.peers, r.thin_same_type) for r in readiness.availability(cohorts.cohorts(reach), reach, asked, "file_claim").collect()}
+    assert got == {901: ("cohort", 15, True), 902: ("cohort", 15, False), 903: ("cohort", 15, False), 904: ("cohort", 15, False)}
