@@ -52,25 +52,30 @@ def members(reach: DataFrame, min_size: int = K.MIN_COHORT_SIZE) -> DataFrame:
 
 def common_signals(reach: DataFrame, case_signals: DataFrame, cases: DataFrame, top: int = K.TOP_SIGNALS, min_support: float = K.MIN_SUPPORT, min_lift: float = K.MIN_LIFT, min_size: int = K.MIN_COHORT_SIZE) -> DataFrame:
     """Per cohort the signals that members show before the stage more often than the other cases of the scope."""
-    # Both sides are read several times: counts first, and lead times of the signals that stay.
+    # Cohorts and signals are counted by number; their names come back when few rows are left.
     m = materialize(members(reach, min_size), "members")
-    signals = materialize(case_signals.where("first_observed is not null").select("case_id", "signal_key", "first_observed"), "signals")
+    ids = materialize(m.select("cohort_key", *KEYS, "n").distinct().withColumn("cid", F.monotonically_increasing_id()), "cohort-ids")
+    m = materialize(m.select("cohort_key", "case_id", "reached_at").join(ids.select("cohort_key", "cid"), "cohort_key").select("cid", "case_id", "reached_at"), "numbered-members")
+    seen = materialize(case_signals.where("first_observed is not null").select("case_id", "signal_key", "first_observed"), "signals")
+    names = materialize(seen.select("signal_key").distinct().withColumn("sid", F.monotonically_increasing_id()), "signal-ids")
+    seen = materialize(seen.join(names, "signal_key").select("case_id", "sid", "first_observed"), "numbered-signals")
     scope_size = _scoped(cases.select("case_id", "case_type")).groupBy("scope", "scope_type").agg(F.count("*").alias("scope_n"))
     # Cases of the scope with the signal, whenever observed; less the members among them.
-    in_scope = _scoped(signals.join(cases.select("case_id", "case_type"), "case_id")).groupBy("scope", "scope_type", "signal_key").agg(F.count("*").alias("scope_hits"))
-    both = m.select("cohort_key", *KEYS, "n", "case_id", "reached_at").join(signals.where("signal_key not like 'caseType:%'"), "case_id")
+    in_scope = _scoped(seen.join(cases.select("case_id", "case_type"), "case_id")).groupBy("scope", "scope_type", "sid").agg(F.count("*").alias("scope_hits"))
+    told = names.where("signal_key not like 'caseType:%'").select("sid")
+    both = m.join(seen.join(told, "sid", "left_semi"), "case_id")
     before = F.col("first_observed") < F.col("reached_at")
     lead = floor_days("first_observed", "reached_at")
-    hits = both.groupBy("cohort_key", *KEYS, "n", "signal_key").agg(F.count_if(before).alias("member_hits"), F.count("*").alias("member_any"))
+    hits = both.groupBy("cid", "sid").agg(F.count_if(before).alias("member_hits"), F.count("*").alias("member_any")).join(ids, "cid")
     # At most as many rows are left as cohorts have signals of the least support.
     hits = hits.withColumn("support", F.col("member_hits") / F.col("n")).where(F.col("support") >= min_support)
-    out = hits.join(scope_size, ["scope", "scope_type"]).join(in_scope, ["scope", "scope_type", "signal_key"])
+    out = hits.join(scope_size, ["scope", "scope_type"]).join(in_scope, ["scope", "scope_type", "sid"])
     controls = F.col("scope_n") - F.col("n")
     share = F.when(controls > 0, F.greatest((F.col("scope_hits") - F.col("member_any")) / controls, F.lit(0.01))).otherwise(F.lit(0.01))
     out = out.withColumn("lift", F.col("support") / share).where(F.col("lift") >= min_lift).withColumn("weight", F.col("support") * F.log1p("lift"))
     rank = F.row_number().over(W.partitionBy("cohort_key").orderBy(F.desc(F.round("weight", 9)), "signal_key"))
-    out = materialize(out.withColumn("position", rank).where(F.col("position") <= top), "common")
+    out = materialize(out.join(names, "sid").withColumn("position", rank).where(F.col("position") <= top), "common")
     # Medians of the few signals that stay; days are few, so a buffer holds them.
-    spans = both.join(out.select("cohort_key", "signal_key"), ["cohort_key", "signal_key"], "left_semi").where(before & (lead >= 0))
-    medians = spans.groupBy("cohort_key", "signal_key").agg(F.percentile(lead, F.lit(0.5)).alias("median_lead_days"))
-    return out.join(medians, ["cohort_key", "signal_key"], "left").select("cohort_key", *KEYS, "signal_key", "support", "lift", "weight", "median_lead_days", "position")
+    spans = both.join(out.select("cid", "sid"), ["cid", "sid"], "left_semi").where(before & (lead >= 0))
+    medians = spans.groupBy("cid", "sid").agg(F.percentile(lead, F.lit(0.5)).alias("median_lead_days"))
+    return out.join(medians, ["cid", "sid"], "left").select("cohort_key", *KEYS, "signal_key", "support", "lift", "weight", "median_lead_days", "position")

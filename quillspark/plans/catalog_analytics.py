@@ -34,12 +34,33 @@ def neighbours(p):
     return materialize(similarity.neighbours(materialize(case_signals(p), "signals"), p.embeddings), "neighbours")
 
 
+def kept(p, name: str, build):
+    """A derived table of these source tables (signals, cohorts, their common signals) that tools read: made by the first query that needs it, once for a session and its tables."""
+    spark = p.cases.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(p.name.encode()).hexdigest()}"
+    if sinks.manifest(spark, path) is None:
+        sinks.replace_table(build(), path)
+    return sinks.read_table(spark, path)
+
+
+def kept_signals(p):
+    return kept(p, "signals", lambda: case_signals(p))
+
+
+def kept_cohorts(p):
+    return kept(p, "cohorts", lambda: cohorts.cohorts(reach(p)))
+
+
+def kept_common(p):
+    return kept(p, "common", lambda: cohorts.common_signals(reach(p), kept_signals(p), p.cases))
+
+
 def published_path(p) -> str:
     """Where the edges of these tables lie: the first query that needs them publishes them, once for a session and its tables; all others read them."""
     spark = p.cases.sparkSession
     path = f"{scratch_dir(spark)}/similar-{spark.sparkContext.applicationId}-{hashlib.md5(p.name.encode()).hexdigest()}"
     if sinks.manifest(spark, f"{path}/stamps") is None:
-        edges.publish(path, materialize(case_signals(p), "signals"), p.embeddings)
+        edges.publish(path, kept_signals(p), p.embeddings)
     return path
 
 

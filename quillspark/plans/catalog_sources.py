@@ -14,7 +14,7 @@ from quillspark.sources import contracts, sinks
 from quillspark.sources.scratch import materialize, scratch_path
 
 from .adapter import AS_OF
-from .catalog_analytics import case_signals, near, reach
+from .catalog_analytics import case_signals, kept_cohorts, kept_common, kept_signals, near, reach
 from .catalog_tools import CASE, STAGE
 from .registry import Registry
 
@@ -408,10 +408,9 @@ SELECT {CASE}::BIGINT AS case_id, '{STAGE}' AS stage, (SELECT count(*) FROM cmp)
   (SELECT count(*) FROM t8 WHERE source = 'activity_log' AND days >= 0) AS timed_peers, '' AS reasons""",
 )
 def _(p):
-    spark = p.cases.sparkSession
-    r, sig = reach(p), materialize(case_signals(p), "signals")
+    r = reach(p)
     # The case itself is no peer of its own.
-    told = readiness.explain(p.cases.where(F.col("case_id") == CASE), STAGE, cohorts.cohorts(r), cohorts.common_signals(r, sig, p.cases), sig, r.where(F.col("case_id") != CASE), near(p, CASE), AS_OF)
+    told = readiness.explain(p.cases.where(F.col("case_id") == CASE), STAGE, kept_cohorts(p), kept_common(p), kept_signals(p), r.where(F.col("case_id") != CASE), near(p, CASE), AS_OF)
     composer = readiness.ArtifactComposer()
     for part in composer.PARTS:
         made = composer.observe(part, CASE, STAGE, getattr(told, part))

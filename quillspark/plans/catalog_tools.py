@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.stats import exact_quantiles
-from quillspark.operators import audit, cohorts, comparables, lookup, portfolio, readiness, signals
+from quillspark.operators import audit, comparables, lookup, portfolio, readiness, signals
 from quillspark.operators.portfolio import CaseFilter
 from quillspark.sources.scratch import materialize
 
 from .adapter import AS_OF
-from .catalog_analytics import case_signals, near, near_pairs, r6, reach
+from .catalog_analytics import kept_cohorts, kept_common, kept_signals, near, near_pairs, r6, reach
 from .registry import Registry
 
 R = Registry()
@@ -235,9 +235,7 @@ def _(p):
 
 def _pattern(p, case_id=None):
     target = p.cases if case_id is None else p.cases.where(F.col("case_id") == case_id)
-    r = reach(p)
-    sig = case_signals(p)
-    return readiness.pattern(cohorts.cohorts(r), cohorts.common_signals(r, sig, p.cases), target, STAGE), sig
+    return readiness.pattern(kept_cohorts(p), kept_common(p), target, STAGE), kept_signals(p)
 
 
 _PAT = f"""app AS (SELECT * FROM (SELECT c.case_id, coh.*, row_number() OVER (PARTITION BY c.case_id ORDER BY (coh.scope = 'global')::INT) AS r FROM cases c JOIN coh ON coh.stage = '{STAGE}' AND coh.sub_stage = '' AND coh.scope_type IN ('all', c.case_type)) WHERE r = 1),
@@ -264,7 +262,7 @@ SELECT case_id, app.stage, app.sub_stage, cohort_key, members, coalesce(m, 0) AS
 def _(p):
     """The cohort of each case and stage, and how many of the case's own type stand behind a widened one."""
     r = reach(p)
-    own = readiness.applicable_cohorts(cohorts.cohorts(r), p.cases)
+    own = readiness.applicable_cohorts(kept_cohorts(p), p.cases)
     return readiness.with_same_type(own, r, p.cases).select("case_id", "stage", "sub_stage", "cohort_key", "members", "same_type_members", "thin_same_type")
 
 
