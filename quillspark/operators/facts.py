@@ -6,14 +6,19 @@ match counts. Results carry dates of the sentence or the context, a value, a num
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser as sre_parser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions.dates import dates_in
 from quillspark.functions.text import WHITE, normalize, strip_white
+from quillspark.sources.scratch import materialize
 
 RADIUS = 190
 QUOTE = 700
@@ -87,6 +92,56 @@ GENERIC_PACK: tuple[Rule, ...] = (
 )
 
 
+def literals(pattern: str) -> tuple[frozenset[str], bool] | None:
+    """Strings of which any match of the pattern holds one, and whether to look for them in the lower-cased text; None if there are none.
+
+    Of parts in sequence the one whose strings are longest is taken; alternatives add up; optional parts and classes of several characters end a string."""
+
+    def worth(found):
+        return 0 if found is None else min(map(len, found))
+
+    def of(items) -> frozenset[str] | None:
+        best, run = None, ""
+
+        def better(found):
+            nonlocal best
+            if worth(found) > worth(best):
+                best = found
+
+        for op, arg in items:
+            if op is sre.LITERAL:
+                run += chr(arg)
+                continue
+            better(frozenset({run}) if run else None)
+            run = ""
+            if op is sre.SUBPATTERN:
+                better(of(arg[-1]))
+            elif op is sre.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                better(None if any(x is None for x in parts) else frozenset().union(*parts))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                better(of(arg[2]))
+        better(frozenset({run}) if run else None)
+        return best
+
+    parsed = sre_parser.parse(pattern)
+    found, folded = of(parsed), bool(parsed.state.flags & re.IGNORECASE)
+    return None if found is None else (frozenset(x.lower() for x in found) if folded else found, folded)
+
+
+def _may_match(rules: tuple[Rule, ...]) -> Column:
+    """A cheap condition that a text meets if any of the rules matches in it."""
+    found = [literals(r.pattern) for r in rules]
+    if None in found:
+        return F.lit(True)
+    out = F.lit(False)
+    for folded in (False, True):
+        strings = sorted({x for some, f in found if f is folded for x in some})
+        if strings:
+            out = out | (F.exists(F.lit(strings), lambda x: F.contains(F.lower("text"), x)) if folded else F.exists(F.lit(strings), lambda x: F.contains("text", x)))
+    return out
+
+
 def _matches(pattern: str) -> Column:
     """(at, matched) of all matches in a text: positions follow from the lengths of gaps and matches. Chunks are short, so the sums are cheap."""
     gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
@@ -114,8 +169,10 @@ def extract_facts(chunks: DataFrame, pack: tuple[Rule, ...] = HEBREW_PACK, sourc
 
     def found(number: int, r: Rule) -> Column:
         all_of = F.transform(_matches(r.pattern), lambda m: F.struct(F.lit(number).alias("rule"), m["at"].alias("at"), m["matched"].alias("matched")))
-        return F.when(F.col("text").rlike(r.pattern), all_of)
+        return F.when(_may_match((r,)) & F.col("text").rlike(r.pattern), all_of)
 
+    # Texts without any of the pack's literals are done with before a pattern runs.
+    chunks = chunks.where(_may_match(pack))
     per = F.array(*(found(i, r) for i, r in enumerate(pack)))
     rows = chunks.select("*", F.explode(F.flatten(F.filter(per, lambda x: x.isNotNull()))).alias("m")).select(*chunks.columns, "m.*")
     rows = rows.join(F.broadcast(_rule_rows(chunks.sparkSession, pack)), "rule")
@@ -166,24 +223,60 @@ def merge_facts(regex: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def _in_batches(provider, size: int):
-    """The provider, called with at most `size` chunks at once."""
+    """The provider, called with at most `size` chunks at once. Each call's drafts are followed by a row without kind that tells what the call took."""
 
     def run(frames):
         for f in frames:
             for at in range(0, len(f), size):
-                yield from provider(iter([f.iloc[at : at + size]]))
+                asked = f.iloc[at : at + size]
+                made = [d for d in provider(iter([asked])) if len(d)]
+                yield from made
+                took = {c: sum(float(d[c].fillna(0).sum()) for d in made if c in d.columns) for c in ("tokens_in", "tokens_out")}
+                yield pd.DataFrame([{"calls": 1, "chunks": len(asked), "drafts": sum(map(len, made))} | took])
 
     return run
 
 
-def with_provider(chunks: DataFrame, provider, cache: DataFrame | None = None, version: str = VERSION, batch: int = 5, calls: int = 8) -> DataFrame:
+def _metered(frames_of, columns: list[str]):
+    """frames_of's frames with all of the columns, in order."""
+
+    def run(frames):
+        for d in frames_of(frames):
+            wide = d.reindex(columns=columns).astype(object)
+            yield wide.where(wide.notna(), None)
+
+    return run
+
+
+METER = "calls long, chunks long, drafts long, tokens_in double, tokens_out double"
+
+
+def asked(chunks: DataFrame, provider, batch: int = 5, calls: int = 8, price_in: float = 0.0, price_out: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Drafts of a provider, and one row of progress: calls, chunks, drafts, tokens_in, tokens_out, cost by prices a token.
+
+    A provider may give tokens_in and tokens_out with its drafts. What calls took is written with their drafts, by the same tasks, and summed from the
+    table: a task that fails or runs twice leaves one output, so it counts once, which accumulators don't promise."""
+    schema = f"{DRAFTS}, {METER}"
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    rows = chunks.select("chunk_id", "text").repartition(calls, "chunk_id").mapInPandas(_metered(_in_batches(provider, batch), names), schema)
+    rows = materialize(rows, "drafts")
+    drafts = rows.where("calls is null").select(*(c.strip().split(" ")[0] for c in DRAFTS.split(",")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    meter = rows.where("calls is not null").agg(*(total(c.strip().split(" ")[0]) for c in METER.split(",")))
+    return drafts, meter.withColumn("cost", F.col("tokens_in") * price_in + F.col("tokens_out") * price_out)
+
+
+def with_provider(chunks: DataFrame, provider, cache: DataFrame | None = None, version: str = VERSION, batch: int = 5, calls: int = 8, told=None) -> DataFrame:
     """Drafts of a provider (a mapInPandas function from chunk_id, text to DRAFTS) for chunks that the cache (chunk_hash, version
     and draft columns) doesn't hold, and the cache's for the others, under the ids of these chunks.
 
-    The provider gets `batch` chunks in a call, and at most `calls` calls run at once. Where chunks have an observed_date, drafts get it."""
+    The provider gets `batch` chunks in a call, and at most `calls` calls run at once; told is called with the row of progress (see asked). Where
+    chunks have an observed_date, drafts get it."""
     keyed = chunks.withColumn("version", F.lit(version))
     fresh = keyed if cache is None else keyed.join(cache.select("chunk_hash", "version").distinct(), ["chunk_hash", "version"], "left_anti")
-    made = fresh.select("chunk_id", "text").repartition(calls, "chunk_id").mapInPandas(_in_batches(provider, batch), DRAFTS)
+    made, meter = asked(fresh, provider, batch, calls)
+    if told is not None:
+        told(meter)
     if cache is not None:
         old = keyed.select("chunk_id", "chunk_hash", "version").join(cache.drop("chunk_id"), ["chunk_hash", "version"]).select(*made.columns)
         made = made.unionByName(old)

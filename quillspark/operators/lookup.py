@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,12 @@ def overview(p, case_id: int | None = None) -> DataFrame:
     return out.select("case_id", "case_name", "case_type", "legal_stage", "phase", "status", "client_name", *(F.coalesce(n, F.lit(0)).alias(n) for n in names), left.alias("months_to_limitation"), near.alias("limitation_near"))
 
 
+def of_case(p, case_id):
+    """The portfolio of one case: whatever is asked of it reads that case's rows alone where tables are sorted by case."""
+    tables = {f.name: getattr(p, f.name) for f in dataclasses.fields(p)}
+    return dataclasses.replace(p, **{n: df.where(F.col("case_id") == case_id) for n, df in tables.items() if isinstance(df, DataFrame) and "case_id" in df.columns})
+
+
 def evidence_by_category(p, examples: int = 3) -> DataFrame:
     """Per case and document category: distinct documents and the first file names."""
     names = F.slice(F.array_sort(F.collect_set("file_name")), 1, examples)
@@ -78,7 +85,8 @@ def facts_of(p, case_id: int, kinds: tuple[str, ...] = (), limit: int = 40) -> D
     """A case's evidence facts with their documents, by kind, confidence and date."""
     f = p.facts.where(F.col("case_id") == case_id)
     f = f.where(F.col("kind").isin(*kinds)) if kinds else f
-    docs = p.documents.select("document_id", "file_name", "category")
+    # A document belongs to the case of its facts, so both sides are sought by case.
+    docs = p.documents.where(F.col("case_id") == case_id).select("document_id", "file_name", "category")
     return f.join(docs, "document_id").orderBy("kind", F.desc("confidence"), F.desc_nulls_first("observed_date"), "fact_id").limit(min(max(limit, 1), 100))
 
 

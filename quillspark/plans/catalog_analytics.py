@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.stats import exact_quantiles
 from quillspark.operators import cohorts, edges, signals, similarity
-from quillspark.sources import sinks
+from quillspark.sources import layout, sinks
 from quillspark.sources.scratch import materialize, scratch_dir, scratch_path
 
 from .registry import Registry
@@ -43,6 +43,12 @@ def kept(p, name: str, build):
     return sinks.read_table(spark, path)
 
 
+def sought(p):
+    """The portfolio with its tables sorted by case, for lookups of single cases; laid out once for a session and its tables."""
+    spark = p.cases.sparkSession
+    return layout.laid_out(p, f"{scratch_dir(spark)}/sorted-{spark.sparkContext.applicationId}-{hashlib.md5(p.name.encode()).hexdigest()}")
+
+
 def kept_signals(p):
     return kept(p, "signals", lambda: case_signals(p))
 

@@ -272,6 +272,10 @@ def _(spark, sf_dir):
 _TEXTS = (
     "נקבעה נכות זמנית של {p}% מיום 1/2/2020 עד 3/4/2021.", "תקנה 15 לא הופעלה בתיק {p}.", "המוסד לביטוח לאומי דוחה את התביעה {p} ביום 05.06.2019.", "זכאות {p}: ניתן לפנות תוך 60 יום.", "אנא לשלוח טופס בל/250 מספר {p}.",
     "ירידה בהכנסה {p} מיום 1.1.2018.", "ועדה רפואית {p}: בדיקה נוירולוגית נמשכה.", "תאונת עבודה {p} ביום 7/8/2017.", "{p} אחוזי נכות צמיתה.",
+    # One for each rule that the first nine don't hit.
+    "התביעה {p} אושרה במוסד לביטוח לאומי ביום 02.03.2018.", "החלטת הוועדה {p} הועברה לביטוח לאומי.", "הוגש ערר {p} לביטוח לאומי.", "זכאות {p}: ניתן לפנות תוך שישים יום.", "זכאות מספר {p}: ניתן לפנות תוך 12 חודשים.",
+    "זכאות {p}: ניתן לפנות בתוך שנים עשר חודשים.", "אנא לשלוח תלושי שכר {p}.", "אנא לשלוח מכתב מהמעסיק {p}.", "נדרש רופא תעסוקתי {p}.", "חסר תיעוד רפואי {p}.", "נדרש דיסק של בדיקות {p}.", "נדרש אישור משטרה {p}.",
+    "עבודה {p} בהיקף חצי משרה מיום 1.2.2019.", "העובד {p} חזר לעבודה ביום 3.4.2019.", "תביעת נפגעי עבודה {p} הוגשה ביום 5.6.2019.", "דמי פגיעה {p} שולמו.", "תאריך פגיעה {p}: 7.8.2019.",
 )
 
 
@@ -287,11 +291,16 @@ _H = f"""h AS (SELECT doc_id AS k, doc_id % 120 + 1 AS p, (doc_id % {len(_TEXTS)
 e(t, kind, subtype, value, numeric_value, unit, from_date, to_date, confidence) AS (VALUES (0, 'disability_period', 'temporary', '%', NULL, 'percent', '2020-02-01', '2021-04-03', 0.86), (1, 'regulation_15', 'not_applied', 'not_applied', NULL, NULL, NULL, NULL, 0.9),
   (2, 'nii_decision', 'rejected', 'rejected', NULL, NULL, '2019-06-05', NULL, 0.86), (3, 'appeal_deadline', 'days', '60 days', 60, 'days', NULL, NULL, 0.84), (4, 'required_document', 'btl_250_form', 'btl_250_form', NULL, NULL, NULL, NULL, 0.78),
   (5, 'income_evidence', 'income_reduction', 'income_reduction', NULL, NULL, '2018-01-01', NULL, 0.82), (6, 'medical_committee', 'נוירולוגי', 'נוירולוגי', NULL, NULL, NULL, NULL, 0.82), (7, 'work_accident', 'work_accident', 'work_accident', NULL, NULL, '2017-08-07', NULL, 0.82),
-  (8, 'disability_period', 'permanent', '%', NULL, 'percent', NULL, NULL, 0.86)),
-x AS (SELECT chunk_id, k, e.t, kind, subtype, CASE WHEN value = '%' THEN p || '%' ELSE value END AS value, CASE WHEN value = '%' THEN p ELSE numeric_value END::DOUBLE AS numeric_value, unit, from_date, to_date, confidence::DOUBLE AS confidence, text AS quote FROM h JOIN e ON h.t = e.t WHERE value <> '%' OR p <= 100)"""
+  (8, 'disability_period', 'permanent', '%', NULL, 'percent', NULL, NULL, 0.86), (9, 'nii_decision', 'accepted', 'accepted', NULL, NULL, '2018-03-02', NULL, 0.82), (10, 'nii_decision', 'committee_decision', 'committee_decision', NULL, NULL, NULL, NULL, 0.84),
+  (11, 'nii_decision', 'appeal_notice', 'appeal_notice', NULL, NULL, NULL, NULL, 0.78), (12, 'appeal_deadline', 'days', '60 days', 60, 'days', NULL, NULL, 0.84), (13, 'appeal_deadline', 'months', '12 months', 12, 'months', NULL, NULL, 0.84), (14, 'appeal_deadline', 'months', '12 months', 12, 'months', NULL, NULL, 0.84),
+  (15, 'required_document', 'salary_slips', 'salary_slips', NULL, NULL, NULL, NULL, 0.78), (15, 'income_evidence', 'salary_slips', 'salary_slips', NULL, NULL, NULL, NULL, 0.78), (16, 'required_document', 'employer_letter', 'employer_letter', NULL, NULL, NULL, NULL, 0.78), (16, 'income_evidence', 'employer_letter', 'employer_letter', NULL, NULL, NULL, NULL, 0.78),
+  (17, 'required_document', 'occupational_doctor', 'occupational_doctor', NULL, NULL, NULL, NULL, 0.78), (18, 'required_document', 'medical_records', 'medical_records', NULL, NULL, NULL, NULL, 0.78), (19, 'required_document', 'imaging_discs', 'imaging_discs', NULL, NULL, NULL, NULL, 0.78), (20, 'required_document', 'police_report', 'police_report', NULL, NULL, NULL, NULL, 0.78),
+  (21, 'income_evidence', 'reduced_work_capacity', 'reduced_work_capacity', NULL, NULL, '2019-02-01', NULL, 0.82), (22, 'income_evidence', 'returned_to_work', 'returned_to_work', NULL, NULL, '2019-04-03', NULL, 0.78), (23, 'work_accident', 'work_injury_claim', 'work_injury_claim', NULL, NULL, '2019-06-05', NULL, 0.82),
+  (24, 'work_accident', 'injury_allowance', 'injury_allowance', NULL, NULL, NULL, NULL, 0.82), (25, 'work_accident', 'injury_date', 'injury_date', NULL, NULL, '2019-08-07', NULL, 0.82)),
+x AS (SELECT chunk_id, CASE WHEN e.t IN (15, 16) AND kind = 'income_evidence' THEN 2 ELSE 1 END AS nth, k, e.t, kind, subtype, CASE WHEN value = '%' THEN p || '%' ELSE value END AS value, CASE WHEN value = '%' THEN p ELSE numeric_value END::DOUBLE AS numeric_value, unit, from_date, to_date, confidence::DOUBLE AS confidence, text AS quote FROM h JOIN e ON h.t = e.t WHERE value <> '%' OR p <= 100)"""
 
 
-@R.add("evidence_facts_hebrew", f"WITH {_H} SELECT chunk_id || ':fact:1' AS fact_id, chunk_id, kind, subtype, value, numeric_value, unit, from_date, to_date, confidence, quote, '1' AS version, sha256(quote) AS chunk_hash FROM x", base=False)
+@R.add("evidence_facts_hebrew", f"WITH {_H} SELECT chunk_id || ':fact:' || nth AS fact_id, chunk_id, kind, subtype, value, numeric_value, unit, from_date, to_date, confidence, quote, '1' AS version, sha256(quote) AS chunk_hash FROM x", base=False)
 def _(spark, sf_dir):
     rows = facts.extract_facts(_hebrew(spark, sf_dir))
     said = lambda n: F.get_json_object("metadata", f"$.{n}").alias(n)

@@ -10,7 +10,7 @@ from quillspark.operators.portfolio import CaseFilter
 from quillspark.sources.scratch import materialize
 
 from .adapter import AS_OF
-from .catalog_analytics import kept_cohorts, kept_common, kept_signals, near, near_pairs, r6, reach
+from .catalog_analytics import kept_cohorts, kept_common, kept_signals, near, near_pairs, r6, reach, sought
 from .registry import Registry
 
 R = Registry()
@@ -135,17 +135,25 @@ def _(p):
 
 @R.add("case_documents", f"SELECT * FROM docs WHERE case_id = {CASE} ORDER BY document_date DESC NULLS FIRST, uploaded_at DESC NULLS FIRST, document_id LIMIT 20")
 def _(p):
-    return lookup.documents_of(p, CASE)
+    return lookup.documents_of(sought(p), CASE)
 
 
 @R.add("case_communications", f"SELECT comm_id, case_id, direction, sender_type, sent_at, CASE WHEN length(preview) > 300 THEN left(preview, 300) || '…' ELSE preview END AS preview FROM comms WHERE case_id = {CASE} AND sender_type = 'user' ORDER BY sent_at DESC, comm_id LIMIT 10")
 def _(p):
-    return lookup.communications_of(p, CASE, sender_type="user")
+    return lookup.communications_of(sought(p), CASE, sender_type="user")
+
+
+@R.add("case_card", f"SELECT case_id, case_name, legal_stage, (SELECT count(*) FROM docs d WHERE d.case_id = c.case_id) AS documents, (SELECT string_agg(name || ':' || status, ',' ORDER BY name || ':' || status) FROM injuries i WHERE i.case_id = c.case_id) AS injuries FROM cases c WHERE case_id = {CASE}")
+def _(p):
+    """Overview and injuries of one case, by seeks."""
+    own = lookup.of_case(sought(p), CASE)
+    card = lookup.overview(own).select("case_id", "case_name", "legal_stage", "documents")
+    return card.join(lookup.injury_profile(own).select("case_id", F.array_join("injuries", ",").alias("injuries")), "case_id")
 
 
 @R.add("case_document_facts", f"SELECT f.fact_id, f.kind, f.subtype, f.numeric_value, f.confidence, file_name, category FROM facts f JOIN docs d USING (document_id) WHERE f.case_id = {CASE} AND kind IN ('disability_period', 'income_evidence') ORDER BY kind, confidence DESC, observed_date DESC, fact_id LIMIT 40")
 def _(p):
-    return lookup.facts_of(p, CASE, ("disability_period", "income_evidence")).select("fact_id", "kind", "subtype", "numeric_value", "confidence", "file_name", "category")
+    return lookup.facts_of(sought(p), CASE, ("disability_period", "income_evidence")).select("fact_id", "kind", "subtype", "numeric_value", "confidence", "file_name", "category")
 
 
 @R.add("case_injury_profile", "SELECT case_id, (SELECT string_agg(name || ':' || status, ',' ORDER BY name || ':' || status) FROM injuries i WHERE i.case_id = c.case_id) AS injuries, (SELECT string_agg(name, ',' ORDER BY name) FROM body_parts b WHERE b.case_id = c.case_id) AS body_parts FROM cases c")

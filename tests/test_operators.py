@@ -263,3 +263,66 @@ def test_thin_same_type_context(spark):
     assert {r.case_id: (r.scope, r.same_type_members, r.thin_same_type) for r in own.collect()} == {901: ("global", 4, True), 902: ("caseType", 9, False), 903: ("global", 2, False), 904: ("global", 0, False)}
     got = {r.case_id: (r.basis, r.peers, r.thin_same_type) for r in readiness.availability(cohorts.cohorts(reach), reach, asked, "file_claim").collect()}
     assert got == {901: ("cohort", 15, True), 902: ("cohort", 15, False), 903: ("cohort", 15, False), 904: ("cohort", 15, False)}
+
+
+def test_literals_of_patterns():
+    words = lambda p: facts.literals(p)
+    assert words(r"ab+c\s+long(?:er)?words") == (frozenset({"words"}), False)
+    assert words(r"(?i)Licensed under|released under") == (frozenset({"licensed under", "released under"}), True)
+    assert words(r"x\d|[ab]") is None and words(r"(?:abc)?") is None and words(r"(abc|de)f*") == (frozenset({"abc", "de"}), False)
+    assert all(facts.literals(r.pattern) for r in (*facts.HEBREW_PACK, *facts.GENERIC_PACK))
+
+
+def test_every_rule_is_hit_by_the_registered_texts(spark):
+    from quillspark.plans.catalog_sources import _TEXTS
+
+    import re
+
+    hit = {i for i, r in enumerate(facts.HEBREW_PACK) for t in _TEXTS if re.search(r.pattern, t.replace("{p}", "33"))}
+    assert hit == set(range(27)) == set(range(len(facts.HEBREW_PACK)))
+
+
+RETRIED = """
+import os, sys
+from pyspark.sql import SparkSession
+from quillspark.operators import facts
+
+def lost_once(frames):
+    import pandas as pd
+    from pyspark import TaskContext
+    for f in frames:
+        yield pd.DataFrame([{"chunk_id": i, "kind": "k", "quote": t, "tokens_in": 10.0, "tokens_out": 2.0} for i, t in zip(f["chunk_id"], f["text"], strict=True)])
+        if TaskContext.get().attemptNumber() == 0:
+            raise RuntimeError("lost after a call")
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+ch = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(23)], "chunk_id string, text string")
+drafts, meter = facts.asked(ch, lost_once, batch=5, calls=3)
+print("TOLD", drafts.count(), meter.first().chunks, meter.first().tokens_in)
+"""
+
+
+def test_retried_partitions_count_once():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", RETRIED], capture_output=True, text=True, timeout=300, check=False)
+    assert "TOLD 23 23 230.0" in out.stdout, out.stderr[-2000:]
+
+
+def test_cost_counts_each_chunk_once(spark):
+    def steady(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([{"chunk_id": i, "kind": "work_accident", "subtype": "x", "quote": t, "tokens_in": 10.0, "tokens_out": 2.0} for i, t in zip(f["chunk_id"], f["text"], strict=True)])
+
+    ch = spark.createDataFrame([(f"c{i}", f"text number {i}") for i in range(23)], "chunk_id string, text string")
+    drafts, meter = facts.asked(ch, steady, batch=5, calls=3, price_in=0.5, price_out=1.0)
+    m = meter.first()
+    assert drafts.count() == 23 and (m.chunks, m.drafts, m.tokens_in, m.tokens_out, m.cost) == (23, 23, 230.0, 46.0, 161.0) and 5 <= m.calls <= 7
+    seen = []
+    facts.with_provider(ch, steady, told=seen.append)
+    assert seen[0].first().chunks == 23
+    assert facts.asked(ch.limit(0), steady)[1].first().chunks == 0
