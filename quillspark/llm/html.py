@@ -5,13 +5,13 @@ the ratio of its text to its tags is taken, smoothed with a Gaussian over its ne
 clustered in two by a threshold; lines of mostly links are never of the upper cluster. The text of the upper cluster selects the
 region: the article-like element that holds most of it, whose lines are all text, or, on pages without one, the innermost block
 element that holds nearly all of it. There the upper cluster selects the lines as well: those from its first to its last line, and
-those of blocks that directly hold one of it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+those of containers that directly hold one of it, with the lists and tables in them that are not mostly links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments never count, by element, role or class and id names; an element that is only named so counts if it
 holds the article or, on pages without one, WRAPS of the text.
 
 Defined cases: null and empty pages, and pages without content, give an empty text; unclosed elements end with
-their parent or the page; very long and deeply nested pages take time in proportion; equal rows repeat their result; columns that
-differ from the three only in case do no harm.
+their parent or the page; markup that nothing ends is text; very long and deeply nested pages, and those full of such markup, take time in proportion; equal rows repeat their result; columns that
+differ from the three only in case, or have names used here, do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,19 +40,27 @@ BLOCK = {"html", "body", "div", "article", "main", "section", "p", "h1", "h2", "
 FRAME = BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "hr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|aside|widget|related|recommend\w*|share|sharing|social|comments?|disqus|repl(?:y|ies)|discussion|footer|header|masthead|toolbar|pagination|pager|copyright|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Elements that order the text of the container they stand in, and are no containers of their own.
+TEXTUAL = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "blockquote", "pre", "figure", "figcaption", "details"}
+# A class or id names something beside the content if the whole name is one of these, alone or with one of the customary words before or behind it.
+_BESIDE = "ads?|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|widgets?|related|recommended|recommendations|share|sharing|social|comments?|disqus|repl(?:y|ies)|footer|header|masthead|toolbar|pagination|pager|copyright"
+_BEFORE = "main|site|page|top|bottom|left|right|post|article|entry|global|primary|secondary|mobile|user|blog|reader|cookie|social|google|sub|site-main"
+_BEHIND = "wrap|wrapper|container|box|area|section|list|links|buttons?|bar|block|slot|unit|banner|notice|consent|popup|modal|signup|form|posts|articles|stories|thread|inner|menu|nav|[0-9]+"
+NOISE = re.compile(f"(?:(?:{_BEFORE})[-_])?(?:{_BESIDE})(?:[-_](?:{_BEHIND}))?", re.I)
 MAIN_NAMES = {"article", "main"}
-#: Class names that tell of a page's layout or state, not of what an element is.
-LAYOUT = re.compile(r"^(?:has|no|with|without|is)[_-]|[_-](?:open|opened|closed|enabled|disabled)$|^(?:content|main|page|site)[_-].*[_-](?:wrap|wrapper)$", re.I)
-
-
 def noisy(value: str) -> bool:
     """Whether a class or id names something beside the content."""
-    return any(NOISE.search(name) and not LAYOUT.search(name) for name in value.split())
+    return any(NOISE.fullmatch(name) for name in value.split())
+
+
+def closable(html: str) -> str:
+    """html with markup that nothing ends turned into text: comments that are never closed, and what looks like tags behind the last
+    end of one. The parser would look for their ends anew at each of them."""
+    i = html.rfind("-->") + 3
+    head, rest = (html[:i], html[i:]) if i > 2 else ("", html)
+    rest = rest.replace("<!--", "&lt;!--")
+    j = rest.rfind(">") + 1
+    return head + rest[:j] + rest[j:].replace("<", "&lt;")
 
 
 class _Page(HTMLParser):
@@ -61,7 +69,7 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines, self.stack, self.parents, self.mains, self.named = [], [], [0], set(), set()
+        self.lines, self.stack, self.parents, self.kinds, self.mains, self.named = [], [], [0], [""], set(), set()
         self.skipped = self.links = self.open_mains = 0
         self.open: dict[str, int] = {}
         self.parts, self.tags, self.linked = [], 0, 0
@@ -114,6 +122,7 @@ class _Page(HTMLParser):
         if (tag in FRAME or tag in SKIP or bad or named) and tag not in VOID:
             at = len(self.parents)
             self.parents.append(self.stack[-1][1] if self.stack else 0)
+            self.kinds.append(tag)
             self.stack.append((tag, at, int(bad)))
             self.open[tag] = self.open.get(tag, 0) + 1
             self.skipped += bad
@@ -205,7 +214,7 @@ def _content(page: _Page) -> list[tuple[str, int, int, int]]:
 def extract(html: str | None) -> str:
     """The main text of one page, blocks joined by a newline."""
     page = _Page()
-    page.feed(html or "")
+    page.feed(closable(html or ""))
     page.close()
     page.cut()
     lines = _content(page)
@@ -236,8 +245,14 @@ def extract(html: str | None) -> str:
     tops = [i for i in own if upper[i]]
     tops = [i for i in tops if raw[i] >= cut] or tops
     if not mains and tops:
-        blocks = {lines[i][3] for i in tops}
-        own = [i for i in own if tops[0] <= i <= tops[-1] or lines[i][3] in blocks]
+        # Lists and tables belong to the container they stand in, like its paragraphs; those that are mostly links are menus.
+        place = list(range(n))
+        for at in range(1, n):
+            if page.kinds[at] in TEXTUAL and at not in page.named:
+                place[at] = place[page.parents[at]]
+        blocks = {place[lines[i][3]] for i in tops}
+        held_by = lambda i: lines[i][3] in blocks or place[lines[i][3]] in blocks and lines[i][2] <= LINKS * len(lines[i][0])
+        own = [i for i in own if tops[0] <= i <= tops[-1] or held_by(i)]
     return "\n".join(lines[i][0] for i in own)
 
 

@@ -58,6 +58,55 @@ def test_deep_pages_take_time_in_proportion(deep):
     assert html.extract(deep) == "end" and time.time() - began < 20
 
 
+@pytest.mark.parametrize("name", ['div class="share-price"', 'section id="alert-systems"', 'section class="discussion"', 'ul id="menu-for-dinner"', 'p class="notice-period"', 'div class="header-files"', 'div class="commentary"'])
+def test_names_that_only_begin_like_noise_are_content(name):
+    tag = name.split()[0]
+    assert html.extract(f"<article><p>{'text ' * 20}</p><{name}>kept words</{tag}><p>end</p></article>").split("\n")[1] == "kept words"
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "google-ad", "cookie-banner", "cookie_notice", "newsletter-signup", "post-comments", "comment-list", "site-footer", "top-nav", "main-menu", "breadcrumb", "related-posts", "social-share", "share-buttons", "left-sidebar", "widget", "widget-3"])
+def test_customary_names_are_noise(name):
+    assert html.extract(f"<article><p>{'text ' * 20}</p><div class='x {name}'><p>noise</p></div></article>") == ("text " * 20).strip()
+
+
+def test_lists_and_tables_at_the_end_without_an_article():
+    text = "<p>" + "long text here " * 20 + "</p><p>" + "more of it now " * 20 + "</p>"
+    rest = "<h2>In short</h2><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table>"
+    menu = "<ul><li><a>Home</a></li><li><a>About</a></li></ul>"
+    out = html.extract(f"<body><div>Jan</div><div id=c>{menu}{text}{rest}{menu}</div><div>Feb</div></body>").split("\n")
+    assert out[2:] == ["In short", "one", "two", "a", "b"] and len(out) == 7
+
+
+def test_the_ratio_decides_on_pages_without_articles(monkeypatch):
+    """A labelled set: text of a few long paragraphs among many short lines in containers of their own, in all orders."""
+    import random
+
+    rng = random.Random(5)
+    pages = []
+    for i in range(60):
+        before, after = ([f"<div><span>{w}</span></div>" for w in rng.sample(["Jan", "Feb", "Mar", "Home", "Log in", "Top", "Next", "Tags"], rng.randrange(2, 6))] for _ in range(2))
+        paragraphs = [" ".join(rng.choice(["words", "of", "a", "long", "story"]) for _ in range(rng.randrange(30, 90))) for _ in range(rng.randrange(2, 5))]
+        pages.append(("<body>" + "".join(before) + "".join(f"<p>{x}</p>" for x in paragraphs) + "".join(after) + "</body>", "\n".join(paragraphs)))
+    right = [html.extract(page) == want for page, want in pages]
+    assert sum(right) == len(pages)
+    monkeypatch.setattr(html, "smoothed", lambda ratios: [1.0] * len(ratios))
+    assert sum(html.extract(page) == want for page, want in pages) < len(pages) / 10
+
+
+@pytest.mark.parametrize("mark", ["<!--", "<a ", '<a href="', "<b x='", "</a ", "<![CDATA[", "<?", "<!doctype "])
+@pytest.mark.parametrize("end", ["", "<p>end</p>"])
+def test_markup_that_nothing_ends_takes_time_in_proportion(mark, end):
+    import time
+
+    began = time.time()
+    out = html.extract("<article><p>text</p>" + mark * 20_000 + end)
+    assert time.time() - began < 5 and out.startswith("text")
+
+
+def test_comments_end_or_are_text():
+    assert html.extract("<article><p>a<!-- x --></p><p>b<!-- y\n--></p><p>c<!-- z</p><p>d</p>") == "a\nb\nc<!-- z\nd"
+
+
 def test_very_long_page():
     page = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
     assert html.extract(page).count("\n") == 49_999
