@@ -12,7 +12,11 @@ without words count for nothing. One counts only if no shorter one of the same f
 Texts and paragraphs without any of MARKS are left out of the scan without loss: a paragraph that holds CONTAINED of a
 template's 3-grams holds one of its marks. Weights are a fixed, small table, joined to the n-grams.
 
-Defined cases: null and empty texts have no licences; equal rows repeat their result.
+Paragraphs are made only around places where a template's 3-gram stands (found in the scan, by a join with the few there are), and only
+n-grams with a weight are written, so ordinary prose with words like "under" leaves no trace. One paragraph gives one family, the likeliest.
+
+Defined cases: null and empty texts have no licences; equal rows repeat their result; very long texts are scanned whole; an
+empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,7 +104,7 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(filler: list[str], seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
     """Vocabulary, weights (n-grams x families), biases, temperature, and least probability.
 
-    Every fifth template of a family, with all rows made of it, is held out of a first fit, which gives temperature and least
+    The last template of each family, with all rows made of it, is held out of a first fit, which gives temperature and least
     probability: they come from wordings that it hasn't seen. The weights are then fitted on all rows."""
     rng = np.random.default_rng(seed)
     vocabulary = sorted(set().union(*(_grams(_tokens(t)) for ts in TEMPLATES.values() for t in ts)))
@@ -110,16 +114,16 @@ def train(filler: list[str], seed: int = 3) -> tuple[list[str], np.ndarray, np.n
     rows: list[tuple[list[str], int, bool]] = []
     for y, family in enumerate(FAMILIES):
         for i, t in enumerate(TEMPLATES.get(family, ())):
-            words = [w for w in _tokens(t)]
+            words, last = _tokens(t), i == len(TEMPLATES[family]) - 1
             for c in range(COPIES):
                 part = list(words)
                 if c % 4 == 3 and len(part) > 6:  # a cut end
                     part = part[: len(part) - int(rng.integers(1, 3))]
-                rows.append((some(12 * (c > 0)) + part + some(40 * (c > 0)), y, i % 5 == 4))
+                rows.append((some(12 * (c > 0)) + part + some(40 * (c > 0)), y, last))
                 # The same words, but not the wording.
                 mixed = list(words)
                 rng.shuffle(mixed)
-                rows.append((some(12) + (mixed[: int(rng.integers(1, 4))] if c % 2 else mixed) + some(30), 0, i % 5 == 4))
+                rows.append((some(12) + (mixed[: int(rng.integers(1, 4))] if c % 2 else mixed) + some(30), 0, last))
     rows += [(w, 0, i % 5 == 4) for i, w in enumerate(lines)]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, (words, _, _) in enumerate(rows):
@@ -152,8 +156,37 @@ def _has_mark(text: Column) -> Column:
     return out
 
 
-def _paragraphs(lines: Column) -> Column:
-    """Lines (line, p, n words) to all paragraphs (line, last, p): a line, and as many of the next as LONGEST words need."""
+def _words(p: Column) -> Column:
+    return F.array_remove(F.split(F.lower(p), "[^a-z0-9]+", -1), "")
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text that have words: line, p, n (words)."""
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("p"), F.size(_words(p)).alias("n"))), lambda x: x["n"] > 0)
+
+
+def _runs(lines: Column, n: int) -> Column:
+    """Runs of n words (gram, at): at is the place of the line that the first word is in, from 1."""
+    words = F.flatten(F.transform(lines, lambda x, at: F.transform(_words(x["p"]), lambda w: F.struct(w.alias("w"), (at + 1).alias("at")))))
+
+    def of(ws):
+        runs = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.struct(F.array_join(F.transform(F.slice(ws, i, n), lambda x: x["w"]), " ").alias("gram"), F.element_at(ws, i)["at"].alias("at")))
+        return F.when(F.size(ws) >= n, runs).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
+
+    return let(words, of)
+
+
+def places(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """k and at: the places of lines where a run of words stands that is one of grams. A paragraph that a template confirms holds such a place."""
+    sizes = sorted({len(g.split()) for ts in TEMPLATES.values() for t in ts for g in _of(t)})
+    lines = docs.select("k", _lines(F.col("text")).alias("lines"))
+    runs = lines.select("k", F.inline(F.flatten(F.array(*(_runs(F.col("lines"), n) for n in sizes)))))
+    found = runs.join(F.broadcast(grams), "gram", "left_semi")
+    return written(found.groupBy("k").agg(F.collect_set("at").alias("places")), "places")
+
+
+def _paragraphs(lines: Column, starts: Column) -> Column:
+    """Lines (line, p, n words) to paragraphs (line, last, p) from each of starts: a line, and as many of the next as LONGEST words need."""
 
     def from_line(i):
         rest = F.slice(lines, i + 1, F.least(F.size(lines) - i, F.lit(LONGEST)))
@@ -161,7 +194,7 @@ def _paragraphs(lines: Column) -> Column:
         many = F.size(F.filter(F.transform(rest, lambda x, at: F.aggregate(F.slice(rest, 1, at), F.lit(0), lambda a, y: a + y["n"])), lambda before: before < LONGEST))
         return F.transform(F.sequence(F.lit(0), many), lambda m: let(F.slice(lines, i, m + 1), lambda ls: F.struct(F.element_at(ls, 1)["line"].alias("line"), F.element_at(ls, -1)["line"].alias("last"), F.array_join(F.transform(ls, lambda x: x["p"]), "\n").alias("p"))))
 
-    return F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), from_line)))
+    return F.flatten(F.transform(starts, from_line))
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -178,17 +211,20 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     triples = {(f, f"{f}/{i}", g, len(gs)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) if (gs := sorted(set(_of(t)))) for g in gs}
     templates = spark.createDataFrame(sorted(triples), "family string, template string, gram string, of int")
 
-    hit = keyed.where(_has_mark(F.col("text"))).dropDuplicates(["k"])
-    count = lambda p: F.size(F.array_remove(F.split(F.lower(p), "[^a-z0-9]+", -1), ""))
-    numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("p"), count(p).alias("n"))), lambda x: x["n"] > 0)
-    lines = hit.select("k", F.inline(let(numbered, _paragraphs))).where(_has_mark(F.col("p")))
-    words = F.array_remove(F.split(F.lower("p"), "[^a-z0-9]+", -1), "")
+    # Only paragraphs around places of the templates' own runs are made: what has a mark by chance is left in the scan.
+    marked = keyed.where(_has_mark(F.col("text")))
+    near = places(marked, templates.select("gram").distinct())
+    hit = marked.join(near, "k").dropDuplicates(["k"])
+    reach = F.array_distinct(F.flatten(F.transform("places", lambda m: F.sequence(F.greatest(m - LONGEST, F.lit(1)), m))))
+    lines = hit.select("k", reach.alias("starts"), _lines(F.col("text")).alias("lines")).select("k", F.inline(_paragraphs(F.col("lines"), F.col("starts")))).where(_has_mark(F.col("p")))
 
     def grams(v: Column) -> Column:
         of = lambda m: F.when(F.size(v) >= m, F.transform(F.sequence(F.lit(1), F.size(v) - m + 1), lambda i: F.array_join(F.slice(v, i, m), " "))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
-    grams_of = written(lines.select("k", "line", "last", F.explode(let(words, grams)).alias("gram")), "grams")
+    # Grams without a weight add nothing, and a template's own all have one.
+    exploded = lines.select("k", "line", "last", F.explode(let(_words(F.col("p")), grams)).alias("gram"))
+    grams_of = written(exploded.join(F.broadcast(weights.select("gram")), "gram", "left_semi"), "grams")
     sums = [F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(len(FAMILIES))]
     logits = grams_of.join(F.broadcast(weights), "gram").groupBy("k", "line", "last").agg(*sums)
     z = F.array(*(F.struct(((F.col(f"z{i}") + float(b[i])) / temperature).alias("z"), F.lit(f).alias("family")) for i, f in enumerate(FAMILIES)))

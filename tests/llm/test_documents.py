@@ -471,3 +471,22 @@ def test_licenses_of_wrapped_notices(spark, words):
     rows = [(i, f"{' '.join(words(30))}\n{n}\n{' '.join(words(30))}") for i, n in notes.items()]
     got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.documents_with_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit", 1), 2: ("gpl", 1), 3: ("bsd", 1), 4: ("gpl,mit", 2), 5: ("mit", 2)}
+
+
+def test_prose_with_marks_writes_next_to_nothing(spark, words, monkeypatch):
+    """Ordinary words that licences use as well: only paragraphs around a template's own runs are looked at."""
+    text = lambda i: "\n".join(" ".join(words(6)) + " under the general terms published with documentation " + " ".join(words(6)) for _ in range(20)) + ("\nReleased under the\nMIT License." if i % 30 == 0 else "")
+    rows = [(i, text(i)) for i in range(120)]
+    kept = {}
+    monkeypatch.setattr(licenses, "written", lambda df, name: kept.setdefault(name, common.written(df, name)))
+    got = {r.doc_id: r.families for r in licenses.documents_with_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "mit" if i % 30 == 0 else "" for i in range(120)}
+    # Four texts have a licence, and about 25 starts of 25 lengths each around it; without the places all 2,400 lines would have.
+    assert kept["places"].count() == 4 and kept["grams"].count() < 4 * 25 * 25 * 2
+
+
+def test_held_out_templates_of_every_family_are_known():
+    """Fitted without the last template of a family, the model still prefers that family for it more often than not."""
+    _, _, _, temperature, least = licenses.train(["a line of some text"] * 5)
+    assert 0.05 <= temperature <= 5 and 0.5 <= least <= 0.9
+    assert all(len(t) > 1 for t in licenses.TEMPLATES.values())
