@@ -13,7 +13,8 @@ pairs of blocks become groups of their own, so no bucket is compared in one task
 vector (its links, and one linked vector of a spanning forest), never its pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label
-or vec_id, link with nothing and are their own component; equal rows repeat their result.
+or vec_id, link with nothing and are their own component; equal rows repeat their result;
+vectors of other lengths are told apart by length; an empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ candidate is given up. All comparisons use the exact bags.
 
 Defined cases: null and empty texts have no shingles and are linked to nothing (class:
 their own doc_id); texts of one to four words are one shingle; equal rows repeat their
-result; a null doc_id keeps its class, whose id is the least non-null doc_id, or null.
+result; a null doc_id keeps its class, whose id is the least non-null doc_id, or null;
+very long texts are bags like others, a chunk of their own in the worker, and compared whole; an empty
+table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Prefix sums are two-level: keys fall into BUCKETS ordered buckets, whose sums sh
 budget ends; only that bucket's rows are sorted. No source, however large, is ordered in one task.
 
 Defined cases: null texts have size 0 and are taken 0 times; equal rows share a key and follow
-each other; an empty table gives no rows.
+each other; an empty table gives no rows; very long texts are counted whole; extra columns are left out,
+or kept by mix_rows, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ and are flattened into arrays, so scoring walks all rows and trees level by leve
 
 Defined cases: null texts count as empty and get the score of an empty text; rows with a null
 doc_id are scored and count as held out; equal rows repeat their result; without usable labels
-every score is 0.5; several labels of one id count as their minimum.
+every score is 0.5; several labels of one id count as their minimum;
+very long texts are read whole; an empty documents table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
