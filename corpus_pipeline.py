@@ -6,6 +6,10 @@
 4. pii: personal data and terms that reveal it are generalised in the text.
 5. mixing: the mix over what is left; documents it takes nothing of go, and size, source_size,
    target and taken say how many words it takes of each of the others, repeats counted.
+
+Defined cases: a null text is an empty one at every stage: it is scored as such, is no near duplicate of anything, holds no window and no personal data, and
+has size 0, so that the mix takes nothing of it; rows with a null doc_id are kept like others; equal rows are one class, of which one stays; very
+long texts are worked on whole; an empty table, at the start or after any stage, gives no rows; extra columns go through all stages, whatever their names.
 """
 
 from __future__ import annotations
