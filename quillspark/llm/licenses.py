@@ -149,11 +149,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _has_mark(text: Column) -> Column:
-    lower = F.lower(text)
-    out = lower.contains(MARKS[0])
-    for m in MARKS[1:]:
-        out = out | lower.contains(m)
-    return out
+    def of(lower):
+        out = lower.contains(MARKS[0])
+        for m in MARKS[1:]:
+            out = out | lower.contains(m)
+        return out
+
+    # Named once: in a chain of alternatives the lower-cased text would be made anew for each.
+    return let(F.lower(text), of)
 
 
 def _words(p: Column) -> Column:
@@ -165,22 +168,24 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("p"), F.size(_words(p)).alias("n"))), lambda x: x["n"] > 0)
 
 
-def _runs(lines: Column, n: int) -> Column:
-    """Runs of n words (gram, at): at is the place of the line that the first word is in, from 1."""
-    words = F.flatten(F.transform(lines, lambda x, at: F.transform(_words(x["p"]), lambda w: F.struct(w.alias("w"), (at + 1).alias("at")))))
+def _runs(lines: Column, sizes: list[int]) -> Column:
+    """Runs of so many words (gram, at): at is the place of the line that the first word is in, from 1."""
+    per = F.transform(lines, lambda x, at: F.struct(_words(x["p"]).alias("w"), (at + 1).alias("at")))
+    flat = let(per, lambda ls: F.struct(F.flatten(F.transform(ls, lambda x: x["w"])).alias("w"), F.flatten(F.transform(ls, lambda x: F.array_repeat(x["at"], F.size(x["w"])))).alias("at")))
+    none = F.array().cast("array<struct<gram:string,at:int>>")
 
-    def of(ws):
-        runs = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.struct(F.array_join(F.transform(F.slice(ws, i, n), lambda x: x["w"]), " ").alias("gram"), F.element_at(ws, i)["at"].alias("at")))
-        return F.when(F.size(ws) >= n, runs).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
+    def of(s, n):
+        run = lambda i: F.struct(F.concat_ws(" ", *(F.get(s["w"], i + j) for j in range(n))).alias("gram"), F.get(s["at"], i).alias("at"))
+        return F.when(F.size(s["w"]) >= n, F.transform(F.sequence(F.lit(0), F.size(s["w"]) - n), run)).otherwise(none)
 
-    return let(words, of)
+    return let(flat, lambda s: F.flatten(F.array(*(of(s, n) for n in sizes))))
 
 
 def places(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """k and at: the places of lines where a run of words stands that is one of grams. A paragraph that a template confirms holds such a place."""
     sizes = sorted({len(g.split()) for ts in TEMPLATES.values() for t in ts for g in _of(t)})
     lines = docs.select("k", _lines(F.col("text")).alias("lines"))
-    runs = lines.select("k", F.inline(F.flatten(F.array(*(_runs(F.col("lines"), n) for n in sizes)))))
+    runs = lines.select("k", F.inline(_runs(F.col("lines"), sizes)))
     found = runs.join(F.broadcast(grams), "gram", "left_semi")
     return written(found.groupBy("k").agg(F.collect_set("at").alias("places")), "places")
 
