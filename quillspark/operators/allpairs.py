@@ -28,6 +28,8 @@ from quillspark.sources.scratch import materialize
 
 #: Cases of a block, signals of a matrix product, summaries that a group bounds at once.
 BLOCK, SIGNALS, SUMMARIES = 1024, 4096, 512
+#: Blocks up to which all pairs are compared at once: bounds would take longer than they save.
+DIRECT = 8
 #: Partners that a block visits in the first round, and how many times more in each later one.
 FIRST, MORE = 2, 4
 #: Scores are compared after rounding to nine digits; bounds get that much more.
@@ -223,12 +225,22 @@ def promising(blocks: DataFrame, sums: DataFrame, least: DataFrame | None, min_s
 # ---------------------------------------------------------------- pairs
 
 
-def above(profiles: DataFrame, min_score: float, block: int = BLOCK) -> DataFrame:
+def _dealt(profiles: DataFrame, block: int, direct: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """Few profiles dealt to blocks by hash, all pairs of blocks, and how many; None for more than `direct` blocks of them."""
+    wanted = max(1, -(-profiles.count() // block))
+    if wanted > direct:
+        return None
+    blocks = profiles.withColumn("block", F.pmod(F.xxhash64("case_id"), F.lit(wanted)).cast("string"))
+    pairs = [(str(i), str(j)) for i in range(wanted) for j in range(i, wanted)]
+    return blocks, profiles.sparkSession.createDataFrame(pairs, "i string, j string"), len(pairs)
+
+
+def above(profiles: DataFrame, min_score: float, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """All pairs that reach min_score: case_a < case_b and their scores."""
+    few = _dealt(profiles, block, direct)
+    if few is not None:
+        return compare(few[0], few[0], few[1], min_score)
     blocks = with_blocks(profiles, block)
-    ids = blocks.select("block").distinct()
-    if ids.limit(2).count() < 2:
-        return compare(blocks, blocks, ids.select(F.col("block").alias("i"), F.col("block").alias("j")), min_score)
     pairs = promising(blocks, summaries(blocks), None, min_score).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     return compare(blocks, blocks, materialize(pairs, "pairs"), min_score)
 
@@ -255,14 +267,16 @@ class Search:
     rounds: int
 
 
-def nearest(profiles: DataFrame, top: int = K.TOP_NEIGHBOURS, min_score: float = K.MIN_SIMILARITY, block: int = BLOCK) -> Search:
+def nearest(profiles: DataFrame, top: int = K.TOP_NEIGHBOURS, min_score: float = K.MIN_SIMILARITY, block: int = BLOCK, direct: int = DIRECT) -> Search:
     """The best `top` neighbours of each case, exactly."""
+    few = _dealt(profiles, block, direct)
+    if few is not None:
+        best = best_of(directed(compare(few[0], few[0], few[1], min_score, top)), top)
+        return Search(materialize(best, "best"), max(1, -(-profiles.count() // block)), few[2], 1)
     blocks = with_blocks(profiles, block)
     ids = blocks.select("block").distinct()
     n = ids.count()
     own = ids.select(F.col("block").alias("i"), F.col("block").alias("j"))
-    if n < 2:
-        return Search(materialize(best_of(directed(compare(blocks, blocks, own, min_score, top)), top), "best"), n, n, 1)
     sums = summaries(blocks)
     best, visited, visits, rounds = None, own.limit(0), FIRST, 0
     while True:

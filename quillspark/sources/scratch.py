@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that materialize has written and release has not deleted, by application.
+_MADE: dict[str, list[str]] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder; a cluster must name one,
@@ -25,7 +28,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a Parquet table; used where a derived table feeds several joins."""
-    path = scratch_path(df.sparkSession, name)
+    """df as a Parquet table; used where a derived table feeds several joins. It stays until release()."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialize has written for this application, and returns how many. Results that are still to be read need
+    them: call it when a query's result has been written or collected. What is published or kept for a session stays."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

@@ -1,10 +1,12 @@
 """Seeks read few row groups, by the scans' own metrics."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import lookup
 from quillspark.plans.adapter import portfolio
-from quillspark.sources import layout
+from quillspark.sources import layout, scratch
 
 
 def test_seeks_open_few_row_groups(spark, tmp_path):
@@ -28,3 +30,10 @@ def test_lookups_on_sorted_tables_equal_those_on_any(spark, tmp_path):
     for ask in (lookup.documents_of, lookup.communications_of, lookup.facts_of):
         assert rows(ask(q, case)) == rows(ask(p, case)) == rows(ask(again, case))
     assert rows(lookup.overview(lookup.of_case(q, case))) == rows(lookup.overview(p).where(F.col("case_id") == case))
+
+
+def test_written_tables_are_deleted_when_a_result_is_done(spark):
+    scratch.release(spark)
+    made = [scratch.materialize(spark.range(5), "released") for _ in range(3)]
+    assert [t.count() for t in made] == [5, 5, 5] and scratch.release(spark) == 3 and scratch.release(spark) == 0
+    assert not list(Path(scratch.scratch_dir(spark).removeprefix("file:")).glob("released-*"))

@@ -77,18 +77,18 @@ def test_most_blocks_are_skipped_where_cases_cluster(spark):
     assert found.blocks >= 15 and found.compared < 0.4 * all_pairs and found.rounds >= 2
 
 
-@pytest.mark.parametrize("block, noise", [(16, 3.0), (50, 0.5), (1000, 0.05)])
-def test_best_of_any_blocks_are_exact(spark, block, noise):
+@pytest.mark.parametrize("block, noise, direct", [(16, 3.0, 1), (50, 0.5, 8), (1000, 0.05, 0)])
+def test_best_of_any_blocks_are_exact(spark, block, noise, direct):
     signals, vectors = portfolio(4, 30, seed=block, noise=noise)
     s, e = tables(spark, signals, vectors)
     want = {i: x for i, x in plainly(signals, vectors, top=3).items() if x}
-    assert lists(allpairs.nearest(similarity.profiles(s, e), top=3, block=block).best.collect()) == want
+    assert lists(allpairs.nearest(similarity.profiles(s, e), top=3, block=block, direct=direct).best.collect()) == want
 
 
 def test_pairs_above_a_score_are_exact(spark):
     signals, vectors = portfolio(6, 15)
     s, e = tables(spark, signals, vectors)
-    got = {(r.case_a, r.case_b) for r in allpairs.above(similarity.profiles(s, e), 0.5, block=12).collect()}
+    got = {(r.case_a, r.case_b) for r in allpairs.above(similarity.profiles(s, e), 0.5, block=12, direct=1).collect()}
     want = plainly(signals, vectors, top=10**6, least=0.5)
     assert got == {(min(a, b), max(a, b)) for a, x in want.items() for b in x}
 
