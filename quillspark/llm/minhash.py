@@ -194,7 +194,7 @@ def _crossing(state: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFram
     shared = groups.select("bag", "bands", "weight").join(slots.select("bag", "shared", filled.alias("slots")), "bag")
     # A bag with too much of its own is like no other.
     shared = written(shared.where(F.col("shared") >= SIMILARITY * F.col("weight") - 1e-6), "shared")
-    full = state.select("band", "h", "bag", "component").join(small(shared, BROADCAST_ROWS // 4), "bag")
+    full = state.select("band", "h", "bag", "component").join(small(shared, rows=BROADCAST_ROWS // 4), "bag")
     most = full.groupBy("band", "h", "component").agg(F.count("*").alias("m")).groupBy("band", "h").agg(F.max(F.struct("m", "component")).alias("top"))
     minor = full.join(most, ["band", "h"]).where("component <> top.component").selectExpr("band", "h", "bag x", "component cx", "bands bx", "weight wx", "shared sx", "slots vx")
     both = minor.join(full.selectExpr("band", "h", "bag y", "component cy", "bands by", "weight wy", "shared sy", "slots vy"), ["band", "h"])
