@@ -80,10 +80,21 @@ def _bytes(field: T.StructField):
     return F.lit(8)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most `most` bytes and `rows` rows, which are counted; else it joins by shuffle."""
+def fits(df: DataFrame, most: int | None = None, rows: int | None = None) -> bool:
+    """Whether df has at most `most` bytes (BROADCAST_BYTES) and `rows` rows (BROADCAST_ROWS), which are counted."""
+    most, rows = BROADCAST_BYTES if most is None else most, BROADCAST_ROWS if rows is None else rows
     sized = df.limit(rows + 1).select(sum((_bytes(f) for f in df.schema), F.lit(16)).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if sized["n"] <= rows and sized["b"] <= most else df
+    return sized["n"] <= rows and sized["b"] <= most
+
+
+def small(df: DataFrame, most: int | None = None, rows: int | None = None) -> DataFrame:
+    """Marks df for broadcast if it fits; else it joins by shuffle."""
+    return F.broadcast(df) if fits(df, most, rows) else df
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, rows: int | None = None) -> DataFrame:
+    """left joined to right, which is sent to all tasks if it fits; else both are shuffled, and left's hot keys are dealt by the column spread."""
+    return left.join(F.broadcast(right), key) if fits(right, rows=rows) else join_salted(left, right, key, spread)
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -95,16 +106,17 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, total: int)
     return left.join(F.broadcast(heavy), key).unionByName(rest)
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
-    """left joined to right, which has one row for each key. Keys with more than HEAVY of left's rows, of which there can only be
-    1 / HEAVY, are dealt by the column spread over several tasks, which all get right's row."""
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+def join_salted(left: DataFrame, right: DataFrame, key: str | list[str], spread: str) -> DataFrame:
+    """left joined to right, which has one row, or few, for each key. Keys with more than HEAVY of left's rows, of which there can only be
+    1 / HEAVY, are dealt by the column spread over several tasks, which all get right's rows."""
+    key = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*key).agg(F.count("*").alias("_n"))
     limit = max(1, int(left.count() * HEAVY))
-    heavy = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    heavy = F.broadcast(counts.where(F.col("_n") > limit).select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
     copies = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    return dealt.join(copies, [*key, "_salt"]).drop("_salt")
 
 
 def let(value, body):

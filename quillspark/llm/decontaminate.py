@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, pick, row_key, small, table, written
+from .common import join_sized, let, pick, row_key, small, table, written
 
 WINDOW = 10
 GRAM = 4
 KNOWN = 20_000
+#: Fingerprints (8 bytes each) beyond that which are sent to all tasks for a join inside the scan of the texts.
+PRINTS = 600_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,11 +100,11 @@ def find_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     else:
         prints_of = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.array_distinct(F.concat(_least(w), *(_runs(w, m) for m in lengths))).alias("prints")))
         feats = written(keyed.select("doc_id", "k", prints_of.alias("f")).select("doc_id", "k", "f.*"), "fingerprints")
-        hits = feats.select("k", F.explode("prints").alias("m")).join(small(prints), "m")
+        hits = join_sized(feats.select("k", F.explode("prints").alias("m")), prints, "m", "k", PRINTS)
         hits = written(hits.groupBy("k").agg(F.collect_set("m").alias("ms")), "hits")
         near = keyed.select("k", "text").join(small(hits), "k")
         candidates = near.select("k", F.explode(let(words_of(F.col("text")), lambda w: _windows_of(w, lengths, lambda x: F.array_contains("ms", x)))).alias("w"))
-    found = candidates.select("k", "w.*").join(small(windows), ["win", "len"]).select("k", "start", "len", "item_id").distinct()
+    found = join_sized(candidates.select("k", "w.*"), windows, ["win", "len"], "k").select("k", "start", "len", "item_id").distinct()
     return feats.select("doc_id", "k", "n_words"), written(found, "occurrences")
 
 

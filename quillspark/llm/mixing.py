@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import pick, row_key, small, table, written
+from .common import join_sized, pick, row_key, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
@@ -76,7 +76,7 @@ def mix(docs: DataFrame) -> DataFrame:
     ends = sums.withColumn("upto", upto).join(targets, "src").where("upto > rest").groupBy("src").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
     targets = written(targets.join(ends, "src", "left"), "targets")
 
-    placed = rows.join(small(targets), "src")
+    placed = join_sized(rows, targets, "src", "k")
     cols = ["doc_id", "source", "k", "size", "source_size", "target", "epochs"]
     # Without a cut (an empty source) nothing is taken beyond whole epochs.
     below = placed.where("cut is null or bucket <> cut.bucket").select(*cols, F.when(F.col("bucket") < F.col("cut.bucket"), F.col("size")).otherwise(0).alias("part"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, pick, row_key, small, table, written
+from .common import fits, join_sized, let, pick, row_key, small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -127,11 +127,13 @@ def revealing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, di
     words = docs.where("text is not null").select("k", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_LETTERS, -1))).alias("term"))
     # No document repeats more than `most` times, so a term is in at least its rows over that many documents. The rows are
     # summed before they are shuffled; pairs that this rules out, those of all common words, need no list of documents.
-    rows = words.join(small(pairs.select("term").distinct()), "term").groupBy("term").agg((F.count("*") / F.lit(most)).alias("least"))
+    terms = written(pairs.select("term").distinct(), "near-terms")
+    some = words.join(F.broadcast(terms), "term") if fits(terms) else words
+    rows = some.groupBy("term").agg((F.count("*") / F.lit(most)).alias("least"))
     pairs = written(pairs.join(rows, "term").where(share(F.col("de"), "least") >= disclosure).select("term", "entity", "de"), "rare-pairs")
-    hits = written(words.join(small(pairs.select("term").distinct()), "term").distinct(), "term-hits")
+    hits = written(join_sized(words, pairs.select("term").distinct(), "term", "k").distinct(), "term-hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joint = hits.join(mentions, "k").join(small(pairs), ["term", "entity"]).groupBy("term", "entity", "de").agg(F.count("*").alias("joint"))
+    joint = join_sized(hits.join(mentions, "k"), pairs, ["term", "entity"], "k").groupBy("term", "entity", "de").agg(F.count("*").alias("joint"))
     revealing = joint.join(df, "term").where(share(F.col("joint"), "df") >= disclosure).select("term").distinct()
     return hits.join(small(written(revealing, "revealing")), "term").select("k", "term")
 
