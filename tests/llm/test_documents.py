@@ -444,6 +444,37 @@ def test_recall_of_edited_passages(spark, words, every, least):
     assert sum(2 * i in got and 2 * i + 1 in got for i in range(60)) >= least * 60
 
 
+def test_links_are_counted_to_all_holders(spark, words):
+    """Thirty texts share an exact passage, thirty others one with every tenth word replaced: each is linked to all of its group."""
+    import random
+
+    rng = random.Random(6)
+    exact, edited, rows = words(60), words(100), []
+    for i in range(60):
+        p = [f"x{rng.randrange(10**9)}" if k % 10 == 5 and i >= 30 else w for k, w in enumerate(exact if i < 30 else edited)]
+        rows.append((i, " ".join(words(30) + p + words(30))))
+    got = {r.doc_id: r for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_links == 29 for i in range(30))
+    assert sum(got[i].n_links for i in range(30, 60)) >= 0.95 * 30 * 29
+
+
+def test_edited_pairs_of_frequent_lines_are_linked(spark, words):
+    """Twelve pairs of texts share 60 words of two lines that are common elsewhere, one side with five of them replaced."""
+    import random
+
+    rng = random.Random(9)
+    lines, rows = [words(30) for _ in range(24)], []
+    for i in range(12):
+        p = lines[2 * i] + lines[2 * i + 1]
+        q = list(p)
+        for k in (6, 17, 29, 40, 52):
+            q[k] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words(25) + p + words(25))), (2 * i + 1, " ".join(words(25) + q + words(25)))]
+    rows += [(100 + i, " ".join(words(20) + lines[i % 24] + words(40))) for i in range(720)]
+    got = {r.doc_id: r for r in passages.documents_with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(24)) and all(got[i].class_id == i - i % 2 and got[i].n_links == 1 for i in got)
+
+
 def test_chains_follow_order():
     a, b = [0, 5, 10, 15, 3], [100, 105, 110, 115, 400]
     assert (0, 15, 100, 115) in passages.chains(a, b)
