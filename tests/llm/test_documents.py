@@ -359,6 +359,15 @@ def test_scores_beat_the_base_and_are_probabilities(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
 
 
+def test_attention_is_fitted_to_all_training_windows(spark, words, monkeypatch):
+    """Each token of all training texts is predicted once, however many windows there are; held-out texts give none."""
+    monkeypatch.setattr(lm, "FIT_LEAST", 100)
+    rows, models, fit = [(i, " ".join(words(1 + 7 * (i % 40)))) for i in range(300)], [], lm.fit_attention
+    monkeypatch.setattr(lm, "fit_attention", lambda *args: models.append(fit(*args)) or models[0])
+    lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert models[0].fitted == sum(-(-(len(t.split()) + 1) // lm.CONTEXT) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_shares_of_a_class_sum_to_one():
     """A class's known tokens and one unknown have all of its probability: (c + 1) / (N + V + 1) for each, 1 / (N + V + 1) for the unknown."""
     counts = np.array([5, 3, 9, 1])
