@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -484,6 +485,42 @@ def test_edited_pairs_of_frequent_lines_are_linked(spark, words):
     assert set(got) == set(range(24)) and all(got[i].class_id == i - i % 2 and got[i].n_links == 1 for i in got)
 
 
+def test_texts_that_repeat_their_seeds_give_each_key_once():
+    """A text of three seeds over and over has nine keys, not one for each two of its places; the text behind it keeps its own."""
+    c, seed, pos = np.append(np.zeros(3000, np.int64), [1, 1, 1]), np.append(np.arange(3000) % 3, [7, 8, 9]), np.append(np.arange(3000), [0, 25, 30])
+    cut = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(x[lo:hi]) for x in (c, seed, pos)], ["c", "seed", "pos"])
+    got = [(r["c"], r["key"]) for b in passages._seed_pairs(iter([cut(0, 1500), cut(1500, 3001), cut(3001, 3003)])) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and sorted(collections.Counter(t for t, _ in got).items()) == [(0, 9), (1, 2)]
+
+
+def test_tables_that_are_read_no_more_are_deleted(spark):
+    kept, gone = (common.written(spark.range(9), n) for n in ("kept", "gone"))
+    files = [f.removeprefix("file://") for f in gone.inputFiles()]
+    assert all(map(os.path.exists, files))
+    common.release(gone)
+    assert not any(map(os.path.exists, files)) and kept.count() == 9
+
+
+def test_rounds_of_comparing_give_the_same_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]  # noqa: E731  other tests keep their draws
+    p = words(70)
+    rows = [(i, " ".join(words(20) + [f"x{rng.randrange(10**9)}" if k % 10 == 5 + i % 2 else w for k, w in enumerate(p)] + words(20))) for i in range(40)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for share in (1e9, 1.5):
+        made, kept = [], common.written
+        monkeypatch.setattr(passages, "ROUND", share)
+        monkeypatch.setattr(passages, "written", lambda df, name, made=made, kept=kept: made.append(name) or kept(df, name))
+        rows = sorted(passages.documents_with_passages(docs).collect())
+        got.append((made.count("chains"), rows))
+        monkeypatch.setattr(passages, "written", kept)
+    (one, whole), (many, parts) = got
+    assert one == 1 < many < 30
+    assert whole == parts and len(whole) == 40
+
+
 def test_chains_follow_order():
     a, b = [0, 5, 10, 15, 3], [100, 105, 110, 115, 400]
     assert (0, 15, 100, 115) in passages.chains(a, b)
