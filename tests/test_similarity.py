@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import allpairs, edges, similarity
-from quillspark.sources import sinks
+from quillspark.sources import scratch, sinks
 
 
 def portfolio(groups, each, seed=1, dims=6, noise=0.05):
@@ -157,3 +157,45 @@ def test_empty_tables(spark, tmp_path):
     assert edges.read(spark, str(tmp_path / "none")).where(F.col("case_id") == 1).count() == 0
     one = spark.createDataFrame([(1, "a")], "case_id long, signal_key string")
     assert allpairs.nearest(similarity.profiles(one)).best.count() == 0
+
+
+def test_equal_cases_are_compared_once(spark):
+    """Forty kinds of seven equal cases, and one of 300: what is compared follows from the kinds."""
+    signals, vectors = portfolio(5, 8)
+    more = [(i + 100 * k, s) for i, s in signals for k in range(7)] + [(i, s) for i in range(2000, 2300) for s in ("all", "g1:2", "g2:3")]
+    vectors = {i + 100 * k: v for i, v in vectors.items() for k in range(7)}
+    s, e = tables(spark, more, vectors)
+    want = plainly(more, vectors)
+    found = allpairs.nearest(similarity.profiles(s, e), block=16, direct=1)
+    assert lists(found.best.collect()) == {i: x for i, x in want.items() if x}
+    assert found.blocks <= 12
+    got = [(r.case_a, r.case_b) for r in allpairs.above(similarity.profiles(s, e), 0.6, block=16, direct=1).collect()]
+    want = plainly(more, vectors, top=10**6, least=0.6)
+    assert len(got) == len(set(got)) and set(got) == {(min(a, b), max(a, b)) for a, x in want.items() for b in x}
+
+
+def test_rounds_move_few_profiles_at_once_and_leave_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(allpairs, "MOVED", 4)
+    monkeypatch.setattr(allpairs, "LEAST_MOVED", 0)
+    moved, compare = [], allpairs.compare
+    monkeypatch.setattr(allpairs, "compare", lambda left, right, pairs, *a, **k: (moved.append(pairs.count()), compare(left, right, pairs, *a, **k))[1])
+    signals, vectors = portfolio(4, 30, seed=16, noise=3.0)
+    s, e = tables(spark, signals, vectors)
+    scratch.release(spark)
+    found = allpairs.nearest(similarity.profiles(s, e), block=16, direct=1)
+    assert lists(found.best.collect()) == {i: x for i, x in plainly(signals, vectors).items() if x}
+    # A round has 2 pairs for each block on average; they are dealt by hash.
+    assert max(moved) <= 5 * found.blocks and len(moved) > found.rounds
+    kept = [x.rpartition("/")[2].rpartition("-")[0] for x in scratch._MADE[spark.sparkContext.applicationId]]
+    assert scratch.release(spark) == len(kept) and kept.count("visited") <= 1 and kept.count("todo") <= 1
+
+
+def test_what_is_shuffled_for_a_table_goes_with_its_write(spark):
+    def shuffled():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+
+    before = shuffled()
+    table = scratch.materialize(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).count(), "counted")
+    assert len(table.collect()) == 50 and scratch.drop(table) is None
+    assert not [x for x in scratch._MADE.get(spark.sparkContext.applicationId, []) if "counted" in x]
+    assert shuffled() <= before
