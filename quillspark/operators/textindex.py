@@ -1,8 +1,8 @@
 """A kept full-text index with exact top-k by block maxima.
 
 Texts are dealt to blocks of like length, at most about TEXTS of them, and numbered within. For each word and block one table has the
-greatest count of the word in a text of the block, and a bitmap of the texts that hold it; another has the counts by text, in a folder for each block.
-A search reads the first table for the words that its terms prefix. Bitmaps, united over words, give each term's document frequency exactly; maxima, added over words,
+greatest count of the word in a text of the block, and the numbers of the texts that hold it; another has the counts by text, in a folder for each block.
+A search reads the first table for the words that its terms prefix. Bitmaps of the numbers, united over words, give each term's document frequency exactly; maxima, added over words,
 give the most that a text of a block can score. The most promising blocks are read first, and then those blocks alone that
 could still reach the k-th score found there. What comes out equals `search.fulltext` over all texts.
 
@@ -14,17 +14,25 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.sources import sinks
-from quillspark.sources.scratch import materialize
+from quillspark.sources.scratch import drop, materialize, shuffles_freed
 
 from .search import query_terms, words_of
 
 #: Texts of a block (a bitmap has room for 32768), blocks that are read first, segments that are not merged.
 TEXTS, FIRST, SEGMENTS = 4096, 4, 8
+#: Words of a block's texts, about, so that no block of long texts is much more work than others; and words that are counted at once. One text may have more.
+MOST_WORDS, WORDS = 1 << 21, 1 << 20
+
+
+#: A text's different words and how often they occur.
+COUNTS = "counts array<struct<word:string,count:bigint>>"
 
 
 @dataclass
@@ -44,6 +52,26 @@ def _prefixed(terms: list[str]) -> Column:
     return out
 
 
+def _counted(batches):
+    """Each text's words to its different words and how often they occur; no text's words are shuffled for that."""
+    for b in batches:
+        words = b.column("words")
+        ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right")))
+            part = b.slice(lo, hi - lo)
+            own = part.column("words")
+            sizes = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            coded = own.flatten().dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pairs, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(), return_counts=True)
+            counts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % kinds)), pa.array(n.astype(np.int64))], ["word", "count"])
+            offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * kinds).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, counts)], ["key", "length", "counts"])
+            lo = hi
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, path: str, texts: int = TEXTS):
         self.spark, self.path, self.texts = spark, path, texts
@@ -69,43 +97,55 @@ class TextIndex:
 
     def add(self, rows: DataFrame, key: str, text: str = "text") -> None:
         """Indexes new texts, and anew those whose key is there."""
-        counted = rows.select(F.col(key).alias("key"), F.filter(words_of(F.col(text)), lambda w: w != "").alias("words"))
-        self._segment(materialize(counted.select("key", F.size("words").alias("length"), "words"), "words"), explode=True)
+        words = rows.select(F.col(key).alias("key"), F.filter(words_of(F.col(text)), lambda w: w != "").alias("words"))
+        kind = words.schema["key"].dataType.simpleString()
+        self._segment(materialize(words.mapInArrow(_counted, f"key {kind}, length int, {COUNTS}"), "words"))
         if len(self.segments()) > SEGMENTS:
             self.merge()
 
     def remove(self, keys: DataFrame, key: str) -> None:
         """Takes texts out: a segment without texts that marks them as dead."""
-        self._segment(materialize(keys.select(F.col(key).alias("key"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("words")).distinct(), "removed"), explode=True, only_dead=True)
-
-    def _segment(self, texts: DataFrame, explode: bool, only_dead: bool = False, replaces=None) -> None:
+        self._segment(materialize(keys.select(F.col(key).alias("key"), F.lit(0).alias("length")).distinct(), "removed"), only_dead=True)
+
+    def _segment(self, texts: DataFrame, only_dead: bool = False, replaces=None) -> None:
+        """Writes a segment of texts (key, length, counts), a table of materialize that is deleted then."""
+        conf, key = self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+        before = conf.get(key)
+        conf.set(key, "false")  # tables dealt by block alone are joined as they lie
+        try:
+            with shuffles_freed(self.spark):
+                self._write(texts, only_dead, replaces)
+        finally:
+            conf.set(key, before)
+        drop(texts)
+
+    def _write(self, texts: DataFrame, only_dead: bool, replaces) -> None:
         old = self.segments() if replaces is None else []
         name = f"segment-{max((int(s['name'].split('-')[1]) for s in (old or replaces or [])), default=-1) + 1:06d}-{uuid.uuid4().hex}"
         path = f"{self.path}/{name}"
         if only_dead:
-            docs = texts.limit(0).select("key", F.lit("").alias("block"), F.lit(0).alias("at"))
+            texts = texts.withColumns({"block": F.lit(""), "counts": F.lit(None).cast(COUNTS.partition(" ")[2])})
+            docs = texts.limit(0).select("key", "block", F.lit(0).alias("at"))
         else:
             # Blocks of like length: maxima then tell blocks apart. There are few classes, and each is cut into pieces by hash.
-            docs = texts.select("key", F.floor(F.log2(F.col("length") + 1) * 2).cast("int").alias("class"))
-            pieces = docs.groupBy("class").agg(F.ceil(F.count("*") / self.texts).cast("int").alias("pieces"))
+            texts = texts.withColumn("class", F.floor(F.log2(F.col("length") + 1) * 2).cast("int"))
+            pieces = texts.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / self.texts, F.sum("length") / MOST_WORDS)).cast("int").alias("pieces"))
             block = F.concat_ws("-", F.lit(name[8:20]), "class", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("string"))
-            docs = docs.join(F.broadcast(pieces), "class").select("key", block.alias("block"))
-            docs = docs.withColumn("at", F.row_number().over(W.partitionBy("block").orderBy("key")) - 1)
+            texts = texts.join(F.broadcast(pieces), "class").select("key", block.alias("block"), "counts")
+            docs = texts.select("key", "block").withColumn("at", F.row_number().over(W.partitionBy("block").orderBy("key")) - 1)
         docs.write.parquet(f"{path}/docs")
         docs = self.spark.read.parquet(f"{path}/docs")
         dead = self._live(old).join(texts.select("key"), "key", "left_semi").select("block", "at") if old else docs.limit(0).select("block", "at")
         dead.write.parquet(f"{path}/dead")
-        if explode:
-            words = texts.select("key", F.explode("words").alias("word")).groupBy("word", "key").agg(F.count("*").alias("count"))
-        else:
-            words = texts.select("key", F.inline("counts"))
-        postings = words.join(docs, "key").groupBy("block", "word").agg(F.collect_list(F.struct("key", "at", "count")).alias("texts"))
-        postings.repartition("block").sortWithinPartitions("block", "word").write.partitionBy("block").parquet(f"{path}/postings")
-        if only_dead or self.spark.read.parquet(f"{path}/docs").isEmpty():
-            postings = None
+        # Whole texts go to their block, where they meet their numbers and words are brought together without another shuffle.
+        own = texts.repartition("block").join(docs.repartition("block").hint("shuffle_hash"), ["block", "key"])
+        postings = own.select("block", "key", "at", F.inline("counts")).groupBy("block", "word").agg(F.collect_list(F.struct("key", "at", "count")).alias("texts"))
+        postings.sortWithinPartitions("block", "word").write.partitionBy("block").parquet(f"{path}/postings")
+        if only_dead or docs.isEmpty():
+            meta = self.spark.createDataFrame([], "word string, block string, most long, at array<int>")
         else:
-            postings = self.spark.read.parquet(f"{path}/postings").withColumn("block", F.col("block").cast("string"))
-        meta = self._meta(postings) if postings is not None else self.spark.createDataFrame([], "word string, block string, most long, bits binary")
+            postings = self.spark.read.parquet(f"{path}/postings")
+            meta = postings.select("word", F.col("block").cast("string").alias("block"), F.array_max("texts.count").alias("most"), F.col("texts.at").alias("at"))
         meta.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/meta")
         row = self.spark.createDataFrame([(name, docs.count(), self.spark.read.parquet(f"{path}/dead").count())], "name string, texts long, dead long")
         if replaces is None:
@@ -113,11 +153,6 @@ class TextIndex:
         else:
             sinks.replace_table(row, f"{self.path}/segments", ["name"], 1)
 
-    @staticmethod
-    def _meta(postings: DataFrame) -> DataFrame:
-        each = postings.select("word", "block", F.explode("texts").alias("t"))
-        return each.groupBy("word", "block").agg(F.max("t.count").alias("most"), F.bitmap_construct_agg(F.bitmap_bit_position(F.col("t.at") + 1)).alias("bits"))
-
     def _live(self, segments) -> DataFrame:
         return self._table("docs", segments).join(self._table("dead", segments), ["block", "at"], "left_anti")
 
@@ -129,7 +164,7 @@ class TextIndex:
         texts = each.groupBy("key").agg(F.sum("count").cast("int").alias("length"), F.collect_list(F.struct("word", "count")).alias("counts"))
         # Texts without words count among all texts.
         texts = self._live(segments).select("key").join(texts, "key", "left").select("key", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("counts", F.array().cast("array<struct<word:string,count:bigint>>")).alias("counts"))
-        self._segment(materialize(texts, "merged"), explode=False, replaces=segments)
+        self._segment(materialize(texts, "merged"), replaces=segments)
 
     def _postings(self, segments) -> DataFrame:
         held = [s for s in segments if s["texts"]]
@@ -160,9 +195,10 @@ class TextIndex:
         if not held:
             return Found(none, 0, 0)
         which = F.filter(F.array(*(F.when(F.col("word").startswith(t), F.lit(i)) for i, t in enumerate(terms))), lambda x: x.isNotNull())
-        meta = self._table("meta", held).where(_prefixed(terms)).select("block", "most", "bits", F.explode(which).alias("term"))
+        meta = self._table("meta", held).where(_prefixed(terms)).select("block", "most", "at", F.explode(which).alias("term"))
         dead = self._table("dead", segments).groupBy("block").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("dead"), F.count("*").alias("n_dead"))
-        each = meta.groupBy("block", "term").agg(F.sum("most").alias("most"), F.bitmap_or_agg("bits").alias("bits"))
+        meta = meta.select("block", "term", "most", F.posexplode("at").alias("i", "at"))
+        each = meta.groupBy("block", "term").agg(F.sum(F.when(F.col("i") == 0, F.col("most"))).alias("most"), F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
         if any(s["dead"] for s in segments):
             rows = each.select("block", "term", "bits").union(each.select("block", "term").join(dead, "block").select("block", "term", "dead"))
             living = rows.groupBy("block", "term").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).join(dead.select("block", "n_dead"), "block", "left")

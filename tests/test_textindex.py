@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import search, textindex
+from quillspark.sources import scratch
 
 WORDS = [f"{s}{e}" for s in ("contract", "claim", "court", "insur", "medic", "apache", "licen", "report") for e in ("", "s", "ed", "ance")]
 
@@ -97,3 +98,16 @@ def test_medical_candidates_by_index_without_a_limit(spark, tmp_path):
     run = lambda **more: [tuple(r) for r in search.medical_evidence(cases, names, names, chunks, "spine", neurological=("pain",), spine=("spine",), **more).collect()]
     assert run(candidates=None) == run(candidates=None, index=x) and len(run(candidates=None)) == 11
     assert run(candidates=3) == run(candidates=3, index=x)
+
+
+def test_blocks_are_bounded_by_words_and_an_index_leaves_nothing_in_scratch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "MOST_WORDS", 500, raising=False)
+    rows = [(i, "court " * (i % 3) + "claim " * 200) for i in range(40)] + [(100, None), (101, "claim")]
+    x = textindex.TextIndex(spark, str(tmp_path / "index"))
+    scratch.release(spark)
+    x.add(table(spark, rows), "id")
+    x.remove(table(spark, rows[:3]), "id")
+    assert not scratch._MADE.get(spark.sparkContext.applicationId)
+    assert x.top("court", 3).blocks >= 8
+    for query in ("court", "claim cour*"):
+        assert told(x.top(query, 9).rows, "key") == told(search.fulltext(table(spark, rows[3:]), query, "id", limit=9))
